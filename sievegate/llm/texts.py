@@ -88,13 +88,19 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, stop and row of each maximal run of bytes other than space and 0x09-0x0D; runs end with their row."""
+#: Bytes of words that white space parts: all but space and 0x09-0x0D.
+SOLID = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
+#: Bytes of words of letters: ASCII letters and all parts of longer characters.
+LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and row of each maximal run of bytes of a ``kind``; runs end with their row."""
     n = len(data)
     if not n:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    solid = kind[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     start = np.flatnonzero(solid & (edge[:n] | ~np.concatenate(([False], solid[:-1]))))
