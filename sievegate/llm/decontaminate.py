@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import free_name
 from .texts import U64, byte_view, chunks, lower_ascii
 
 Q = 8
@@ -225,15 +226,15 @@ def _blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[Needl
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` in whose text no window of an item is found, with all columns."""
     for needles in _blocks(items, item_key, item_text, block):
-        docs = docs.withColumn("_scan", F.col(text).cast("string")).mapInArrow(_find(needles, True), docs.schema)
+        docs = docs.withColumn(free_name(docs, "_scan"), F.col(text).cast("string")).mapInArrow(_find(needles, True), docs.schema)
     return docs
 
 
 def find_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: key, contaminated, n_items, items (sorted ids of the items found) and n_windows (windows found)."""
-    rows = docs.select(F.col(key).alias(key), F.array().cast("array<bigint>").alias("_all"), F.lit(0).cast("long").alias("_n"), F.col(text).cast("string").alias("_scan"))
+    rows = docs.select(F.col(key).alias("_key"), F.array().cast("array<bigint>").alias("_all"), F.lit(0).cast("long").alias("_n"), F.col(text).cast("string").alias("_scan"))
     for needles in _blocks(items, item_key, item_text, block):
         kept = T.StructType([*rows.schema.fields[:-1], T.StructField("_scan", T.StringType()), T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_windows", T.LongType())])
         rows = rows.withColumn("_again", F.col("_scan")).mapInArrow(_find(needles, False), kept)
-        rows = rows.select(key, F.array_union("_all", "_items").alias("_all"), (F.col("_n") + F.col("_windows")).alias("_n"), "_scan")
-    return rows.select(key, (F.size("_all") > 0).alias("contaminated"), F.size("_all").cast("long").alias("n_items"), F.array_sort("_all").alias("items"), F.col("_n").alias("n_windows"))
+        rows = rows.select("_key", F.array_union("_all", "_items").alias("_all"), (F.col("_n") + F.col("_windows")).alias("_n"), "_scan")
+    return rows.select(F.col("_key").alias(key), (F.size("_all") > 0).alias("contaminated"), F.size("_all").cast("long").alias("n_items"), F.array_sort("_all").alias("items"), F.col("_n").alias("n_windows"))

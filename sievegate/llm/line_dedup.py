@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store
+from .store import Store, free_name
 
 RATIO = 0.1
 LEAST = 3
@@ -45,17 +45,19 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     """``docs`` with boilerplate lines taken out of the text; with ``counts`` also n_lines and n_dropped."""
     found = Store(docs.sparkSession, "lines").put("boilerplate", host_boilerplate(docs, host, text, ratio, least))
     size = found.agg(F.sum(F.size("lines") * 8 + F.coalesce(F.octet_length(F.col("h").cast("string")), F.lit(0)))).first()[0] or 0
-    found = found.select(F.col("h").alias("_h"), F.col("lines").alias("_lines"))
+    h, of = free_name(docs, "_h"), free_name(docs, "_lines")
+    found = found.select(F.col("h").alias(h), F.col("lines").alias(of))
     lists = F.broadcast(found) if size <= SMALL else found
-    joined = docs.join(lists, F.col(host).eqNullSafe(F.col("_h")), "left")
+    joined = docs.join(lists, F.col(host).eqNullSafe(F.col(h)), "left")
     split = F.split(F.col(text), "\n")
-    stays = lambda x: F.coalesce(~F.array_contains(F.col("_lines"), F.xxhash64(F.trim(x))), F.lit(True)) | (F.trim(x) == "")
+    stays = lambda x: F.coalesce(~F.array_contains(F.col(of), F.xxhash64(F.trim(x))), F.lit(True)) | (F.trim(x) == "")
     left = F.filter(split, stays)
-    new = F.when(F.col("_lines").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    new = F.when(F.col(of).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     out = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
-    more = [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), (F.size(split) - F.size(left)).cast("long").alias("n_dropped")]
-    more[0] = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines")
-    more[1] = F.when(F.col(text).isNull() | F.col("_lines").isNull(), 0).otherwise(F.size(split) - F.size(left)).cast("long").alias("n_dropped")
+    more = [
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.when(F.col(text).isNull() | F.col(of).isNull(), 0).otherwise(F.size(split) - F.size(left)).cast("long").alias("n_dropped"),
+    ]
     return joined.select(*out, *(more if counts else []))
 
 

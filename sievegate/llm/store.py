@@ -55,3 +55,11 @@ class Store:
 def parts(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which deployments size with their data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
