@@ -369,6 +369,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
 
     seen = store.put("all", only.mapInArrow(_occurrences(length, gram), "t1 long, t2 long, lo int, hi int, at int, key long, ctx long"))
     again = seen.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("several"))
+    # written first, so that the join deals both sides itself and may split a hot hash
+    again = store.put("again", again)
     hits = store.put("hits", seen.join(again, "key"))
     store.drop("all")
 
@@ -387,8 +389,9 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         sizes = cut.groupBy("key", "part").agg(F.sum("times").alias("times")).groupBy("key").agg(F.count("*").alias("parts"), F.sum("times").alias("uses"))
         sizes = store.put(f"sizes{depth}", sizes.where("uses > 1"))
         once = cut.join(sizes.where(F.lit(width == 1) | (F.col("parts") <= wide)).select("key"), "key", "left_semi")
-        uses = once.groupBy("key", "part").agg(F.sum("times").alias("times"), F.min("bytes").alias("bytes"))
-        indexed = uses.repartition(n, "key").select("part", "bytes").mapInArrow(_index_partition(length, batch_bytes), "part long, ranges array<int>")
+        uses = store.put(f"uses{depth}", once.groupBy("key", "part").agg(F.sum("times").alias("times"), F.min("bytes").alias("bytes")))
+        # twice the usual partitions: suffix arrays take some tens of bytes for each byte
+        indexed = uses.repartition(2 * n, "key").select("part", "bytes").mapInArrow(_index_partition(length, batch_bytes), "part long, ranges array<int>")
         # `part` hashes a stretch and its place to its anchor: equal parts are equal stretches
         repeated = store.put(f"ranges{depth}", indexed.groupBy("part").agg(F.first("ranges").alias("ranges")))
         whole = uses.where("times > 1").select("part").distinct().withColumn("whole", F.lit(True))
