@@ -9,16 +9,21 @@ bands, each with its own m; a set also takes part in the next band if a partner
 there is possible. Documents that share a part are candidates.
 
 A part with fewer than ``INFO`` shingles says little and would put strangers
-together, so m has some parts to spare and such parts are left out. A set that
-has too many of them for the pigeonhole argument sends them too: of a similar
-pair either one side has parts enough, which then match, or both send all.
+together. A set sends its first rich parts, one more than its symmetric
+difference to a partner can be; of two similar sets, the one whose parts end
+first has a match among them, which the other sends too. A set with too few
+rich parts sends all parts: of a similar pair either one side has rich parts
+enough, which then match, or both send all.
 
 Candidates of one part are first checked against its smallest set only; those
-links make components. Where a part still holds several components, all of its
-pairs across components are compared in blocks, by a second parity sketch whose
-Hamming distance bounds the symmetric difference from below, and verified. So
-every link that joins two components is found, while groups of copies never
-become pairs. Equal sets are one node throughout.
+links make components. Sets of parts that still hold several components form
+families (components of the candidates). Inside a family, pairs across
+components are compared in blocks by a second, longer parity sketch, whose
+Hamming distance bounds the symmetric difference from below, and verified where
+that allows; a pair that is connected by then is passed over. A family of more
+than ``FAMILY`` sets is compared part by part instead. So every link that joins
+two components is found, while groups of copies never become pairs. Equal sets
+are one node throughout.
 
 Defined cases: texts that are null or have no word have an empty set and link
 with nothing; texts shorter than a shingle are one shingle; rows with a null
@@ -42,6 +47,8 @@ from .texts import U64, Rolling, byte_view, chunks, lower_ascii, mix64, words
 RATIO = 1.6
 INFO = 2
 SKETCH_BITS = 512
+#: Sets that one task compares with each other.
+FAMILY = 20_000
 
 
 # ---------------------------------------------------------------- sets
@@ -126,18 +133,8 @@ class Bands:
         if band not in self._parts:
             low, high = self.low[band], self.low[band + 1] - 1
             most = self.most(2 * high)
-            if most == 0:
-                self._parts[band] = (0, 1)
-            elif most < 8:
-                self._parts[band] = (most + 2, 1)
-            else:
-                m = most + 1
-                for _ in range(20):  # room for the parts that a set of the lowest size leaves with too little
-                    x = low / m
-                    poor = np.exp(-x) * (1 + x)
-                    m = int(np.ceil((most * low / high + 2 + 3 * np.sqrt(m * poor)) / max(1 - poor, 0.2)))
-                    m = max(m, most + 1)
-                self._parts[band] = (m, INFO)
+            # five to six shingles a part at the low end, with parts to spare for those that say little
+            self._parts[band] = (0, 1) if most == 0 else (most + 2, 1) if most < 8 else (max(most + 2, int(low / 5.5)) + 2, INFO)
         return self._parts[band]
 
     def joins(self, n: int) -> list[int]:
@@ -161,12 +158,13 @@ class Bands:
             at = part[first]
             rich = size >= info
             high = min(self.low[j + 1] - 1, n * self.den // self.num)
-            if int(rich.sum()) <= self.most(n + high):
-                # too few parts that say much: send all, the empty ones too
+            need = self.most(n + high) + 1  # so many rich parts, the first ones, and one of them must match
+            rich = np.flatnonzero(size >= info)
+            if len(rich) >= need:
+                at, value = at[rich[:need]], value[rich[:need]]
+            else:  # too few parts that say much: send all, the empty ones too
                 empty = np.setdiff1d(np.arange(m), at)
                 at, value = np.concatenate((at, empty)), np.concatenate((value, np.zeros(len(empty), dtype=U64)))
-            else:
-                at, value = at[rich], value[rich]
             out.append(mix64(value + mix64(at.astype(U64) * U64(4096) + U64(j))))
         return np.concatenate(out) if out else np.zeros(0, dtype=U64)
 
@@ -254,15 +252,89 @@ def _verify(num: int, den: int):
             good = np.zeros(batch.num_rows, dtype=bool)
             left, right = batch.column(2), batch.column(3)
             for r in range(batch.num_rows):
-                x, y = np.frombuffer(left[r].as_buffer(), dtype=U64), np.frombuffer(right[r].as_buffer(), dtype=U64)
-                both = np.sort(np.concatenate((x, y)))
-                shared = int((both[1:] == both[:-1]).sum())
-                good[r] = den * shared >= num * (len(x) + len(y) - shared)
+                good[r] = _similar(np.frombuffer(left[r].as_buffer(), dtype=U64), np.frombuffer(right[r].as_buffer(), dtype=U64), num, den)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = np.concatenate((x, y))
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return den * shared >= num * (len(x) + len(y) - shared)
+
+
+def family_links(comp: list[int], sets_: list[np.ndarray], num: int, den: int, block: int = 256) -> list[tuple[int, int]]:
+    """Places of sets whose similarity joins components that nothing has joined before."""
+    order = sorted(range(len(sets_)), key=lambda i: len(sets_[i]))
+    n = np.array([len(sets_[i]) for i in order])
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (p := up.get(c, c)) != c:
+            up[c] = up.get(p, p)
+            c = p
+        return c
+
+    bits = 1 << max(9, min(16, int(16 * 2 * n[-1] * (den - num) // (den + num)).bit_length()))
+
+    def unpacked(i: int) -> np.ndarray:
+        part = [sets_[k] for k in order[i : i + block]]
+        at = np.repeat(np.arange(len(part)), [len(p) for p in part]) * bits + (np.concatenate(part) & U64(bits - 1)).astype(np.int64)
+        return (np.bincount(at, minlength=len(part) * bits) & 1).astype(np.float32).reshape(len(part), bits)
+
+    found, comps = [], np.array([comp[i] for i in order])
+    for i in range(0, len(order), block):
+        left = unpacked(i)
+        roots = np.array([root(c) for c in comps.tolist()])
+        for j in range(i, len(order), block):
+            if num * n[j] > den * n[min(i + block, len(order)) - 1]:
+                break  # from here on all are too large for all of this block
+            rl, rr = roots[i : i + block], roots[j : j + block]
+            total = n[i : i + block][:, None] + n[j : j + block][None, :]
+            ok = (rl[:, None] != rr[None, :]) & (n[i : i + block][:, None] * den >= num * n[j : j + block][None, :])
+            if i == j:
+                ok &= np.triu(np.ones_like(ok), 1)
+            if not ok.any():
+                continue
+            right = left if i == j else unpacked(j)
+            far = left.sum(axis=1)[:, None] + right.sum(axis=1)[None, :] - 2 * (left @ right.T)
+            ok &= far <= total * (den - num) // (den + num)
+            x, y = np.nonzero(ok)
+            for p, q in zip(x.tolist(), y.tolist(), strict=True):
+                a, b = root(int(comps[i + p])), root(int(comps[j + q]))
+                if a != b and _similar(sets_[order[i + p]], sets_[order[j + q]], num, den):
+                    up[max(a, b)] = min(a, b)
+                    found.append((order[i + p], order[j + q]))
+            if len(x):
+                roots = np.array([root(c) for c in comps.tolist()])
+    return found
+
+
+def _families(num: int, den: int):
+    """From rows (family, doc, comp, shingles) sorted by family: links between documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, docs, comp, held = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            links = family_links(comp, held, num, den) if held else []
+            return _pairs(("a", np.array([docs[x] for x, _ in links], dtype=np.int64)), ("b", np.array([docs[y] for _, y in links], dtype=np.int64)))
+
+        for batch in batches:
+            for f, d, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if f != now:
+                    yield done()
+                    now, docs, comp, held = f, [], [], []
+                docs.append(d)
+                comp.append(c)
+                held.append(np.frombuffer(s, dtype=U64))
+        yield done()
+
+    return run
+
+
 def _near(num: int, den: int, block: int = 512):
     """From rows sorted by key: the pairs across components that size and sketch allow, block by block."""
     bands = (den - num, den + num)
@@ -309,7 +381,7 @@ def _near(num: int, den: int, block: int = 512):
 # ---------------------------------------------------------------- the operator
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_: int = 5, num: int = 80, den: int = 100, family_size: int = FAMILY) -> DataFrame:
     """Per row of ``docs``: key, n_shingles and component_id, where documents link at Jaccard >= num / den.
 
     ``key`` is an integer column. component_id is the smallest key that links
@@ -359,12 +431,23 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
     tails = comp_of.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
     members = stars.join(tails, "b").join(heads, "a")
     open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("comp_a") != F.col("comp_b")).alias("mixed")).where("mixed and n > 1").select("key")
-    still = members.join(open_keys, "key").select("key", F.col("b").alias("node"), F.col("comp_b").alias("comp"))
-    still = still.join(sizes, "node").select("key", "node", "comp", "n", "sketch")
-    near = still.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_near(num, den), "a long, b long").distinct()
-    more = store.put("links2", verified(near))
+    still = store.put("open", members.join(open_keys, "key").select("key", "a", "b", "comp_b"))
+    more = None
+    if not still.isEmpty():
+        family = store.put("family", connected_components(still.select("a", "b"), store, "fam"))
+        large = family.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > family_size).select("component")
+        large = store.put("large", large)
+        small = family.join(large, "component", "left_anti").join(comp_of, "node").join(sets, "node").select("component", "doc", "comp", "shingles")
+        more = small.repartition(2 * n_parts, "component").sortWithinPartitions("component", "doc").mapInArrow(_families(num, den), "a long, b long")
+        if not large.isEmpty():
+            inside = family.join(large, "component", "left_semi").select(F.col("node").alias("b"))
+            near = still.join(inside, "b", "left_semi").select("key", F.col("b").alias("node"), F.col("comp_b").alias("comp"))
+            near = near.join(sizes, "node").select("key", "node", "comp", "n", "sketch")
+            near = near.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_near(num, den), "a long, b long").distinct()
+            more = more.unionByName(verified(near))
+        more = store.put("links2", more)
     final = first
-    if not more.isEmpty():
+    if more is not None and not more.isEmpty():
         final = store.put("comp2", connected_components(links.union(more), store, "cc2"))
 
     final = final.select(F.col("node").alias("doc"), "component")

@@ -37,6 +37,13 @@ def test_equals_brute_force(spark, k, num):
     assert got == brute_force(items, k, num, 100)
 
 
+def test_large_families_go_part_by_part(spark):
+    items = corpus(8)
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(df, words_=3, num=75, family_size=2).collect()}
+    assert got == brute_force(items, 3, 75, 100)
+
+
 def test_null_keys_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "A b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join(df).collect())
