@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import decisions, scan
+
+QUERIES: dict = {**scan.QUERIES, **decisions.QUERIES}
+ORACLES: dict = {**scan.ORACLES, **decisions.ORACLES}
