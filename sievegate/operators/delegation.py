@@ -42,8 +42,8 @@ def violators(child: Column, parent: Column) -> Column:
 def chain_errors(leases: DataFrame, chain: str = "chain", order: str = "depth") -> DataFrame:
     """First error of each chain, or null. Leases: lease_id, parent_id, principal, delegatee, depth, max_depth, ceiling (rank), expires, capabilities."""
     w = f"over (partition by {chain} order by {order})"
-    prior = leases.selectExpr("*", *[f"lag({c}) {w} as p_{c}" for c in ("lease_id", "delegatee", "depth", "max_depth", "ceiling", "expires", "capabilities")], f"row_number() {w} as hop")
-    root, c = F.col("hop") == 1, F.col
+    prior = leases.selectExpr("*", *[f"lag({c}) {w} as p_{c}" for c in ("lease_id", "delegatee", "depth", "max_depth", "ceiling", "expires", "capabilities")], f"row_number() {w} as _hop")
+    root, c = F.col("_hop") == 1, F.col
     error = (
         F.when(root & (c("parent_id").isNotNull() | (c("depth") != 0)), "invalid_root")
         .when(root, F.lit(None).cast("string"))
@@ -56,7 +56,7 @@ def chain_errors(leases: DataFrame, chain: str = "chain", order: str = "depth")
         .when(c("ceiling") > c("p_ceiling"), "ceiling_raised")
         .when(c("expires") > c("p_expires"), "expiry_extended")
     )
-    return prior.withColumn("error", error).groupBy(chain).agg(F.count("*").alias("hops"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("hop"))).alias("first_error"))
+    return prior.withColumn("error", error).groupBy(chain).agg(F.count("*").alias("hops"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("_hop"))).alias("first_error"))
 
 
 def lease_status(now: Column, starts: Column, expires: Column, epoch: Column, current_epoch: Column, revoked: Column) -> Column:

@@ -58,7 +58,7 @@ _NOW = "(select max(epoch(ts)) from events)"
 @query(f"""with g as (select user_id, count(*) as inputs, count(*) filter (epoch(ts) >= {_NOW} - 864000) as k from events group by 1)
   select user_id, cast(case when inputs < 3 then 0 else k end as bigint) as inputs_in_window, (case when inputs < 3 then 0 else k end) > 10 as rate_exceeded from g""")
 def slow_rate_rate(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("user_id", (F.unix_micros("ts") / 1e6).alias("at"))
+    events = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     now = events.agg(F.max("at")).first()[0]
     return ngrams.slow_rate(events, "user_id", F.lit(now), 864_000).withColumn("inputs_in_window", F.col("inputs_in_window").cast("long"))
 
@@ -66,9 +66,9 @@ def slow_rate_rate(spark, sf_dir):
 @query("""with s as (select conv_id, turn, list_distinct(list_transform(range(1, length(text) - 2), lambda i: substring(text, i, 4))) as g from conversations),
   r as (select conv_id, turn, len(g) as size, unnest(g) as gram from s),
   p as (select x.conv_id, x.turn as a, y.turn as b, x.size as na, y.size as nb, count(*) as k from r x join r y on x.conv_id = y.conv_id and x.gram = y.gram and x.turn < y.turn group by all)
-  select conv_id, a, b, round(k / (na + nb - k), 6) as jaccard from p where k >= 0.3 * (na + nb - k)""")
+  select conv_id, a, b, round(k / (na + nb - k), 6) as jaccard from p where k >= 0.05 * (na + nb - k)""")
 def slow_rate_pairs(spark, sf_dir):
-    return ngrams.similar_inputs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return ngrams.similar_inputs(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", least=0.05)
 
 
 # ---- spans
