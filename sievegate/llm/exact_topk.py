@@ -32,7 +32,7 @@ from .store import Store
 
 LISTS = 4
 BLOCK = 4096
-_CELLS = 1 << 20
+_CELLS = 1 << 19
 
 
 def _matrix(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,13 +101,15 @@ def _second(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: i
                     part, pid = m[i : i + step], ids[i : i + step]
                     sent = np.zeros((len(part), q), dtype=bool)
                     above = np.zeros((len(part), q))
+                    exact = np.zeros((len(part), q)) + low.sum(axis=0)
                     for g, cols in enumerate(groups):
                         s = part[:, cols] @ queries[:, cols].T - low[g]
                         hit = s >= uniform
                         sent |= hit
                         above += np.where(hit, s, uniform)
+                        exact += s
                     x, y = np.nonzero(sent & (above >= shifted) & (pid[:, None] != own[None, :]))
-                    exact = np.einsum("ij,ij->i", part[x], queries[y])
+                    exact = exact[x, y]
                     good = exact >= cutoff[y]
                     x, y, exact = x[good], y[good], exact[good]
                     order = np.argsort(y, kind="stable")
