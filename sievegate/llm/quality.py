@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import bounded_sample
+from .sampling import bounded_sample, labelled_sample
 from .store import free_name
 from .texts import Rolling, byte_view, chunks, mix64, words
 
@@ -195,16 +195,13 @@ def _score(model: QualityModel):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, prior: float | None = None) -> QualityModel:
     """Fit on rows where the condition ``learn`` on docs holds. Bound: ``sample`` texts each of positives, unlabelled and labelled rows."""
-    rows = docs.where(learn).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    known = rows.join(labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("y in (0, 1)"), "k")
-    picked = bounded_sample(known.select("t", F.col("y").cast("int").alias("y")), "y", "t", sample)
-    if prior is None:
-        prior = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
+    rows = docs.where(learn).select(F.col(text).cast("string").alias("t"))
+    picked, share = labelled_sample(docs, labels, learn, key, text, label, sample)
+    prior = share if prior is None else prior
     loose = bounded_sample(rows.select("t", F.lit(0).alias("g")), "g", "t", 2 * sample).get(0, [])
     labelled = [(t, y) for y, texts in picked.items() for t in texts]
     if labelled:  # as frequent as the whole has them
-        share = {y: len(texts) for y, texts in picked.items()}
-        keep = min(share[y] / max(1e-9, prior if y else 1 - prior) for y in share)
+        keep = min(len(texts) / max(1e-9, prior if y else 1 - prior) for y, texts in picked.items())
         labelled = [(t, y) for y, texts in picked.items() for t in texts[: max(1, int(keep * (prior if y else 1 - prior)))]]
     return QualityModel.fit(picked.get(1, []), loose, 0.5 if prior is None else prior, labelled)
 

@@ -32,3 +32,31 @@ def bounded_sample(rows: DataFrame, group: str, text: str, want: int, most_group
             out[g].append(t)
             seen[g] += len(t)
     return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn, key: str, text: str, label: str, want: int, most_bytes: int = 16 << 20) -> tuple[dict[int, list[str]], float | None]:
+    """About ``want`` texts for each of the labels 0 and 1, and the share of label 1 among the labelled ids where ``learn`` holds.
+
+    Ids are chosen on the label table by their hash, ``want`` of each label at
+    most (and a tenth for chance), so the list that meets the documents has that
+    bound and texts are not shuffled. ``learn`` is a condition on the key.
+    """
+    known = labels.where(learn).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").distinct()
+    counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
+    if not counts:
+        return {}, None
+    limit = F.lit(-1).cast("long")
+    for y, n in counts.items():
+        limit = F.when(F.col("y") == y, F.lit(int(_RANGE * min(1.0, want / n)))).otherwise(limit)
+    chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(_RANGE)) < limit).limit(int(2.2 * want) + 100)
+    long = 20_000
+    t = F.col(text).cast("string")
+    part = F.when(F.length(t) > long, F.substring(t, ((F.length(t) - long) / 2).cast("int"), F.lit(long))).otherwise(t)
+    rows = docs.where(learn & F.col(text).isNotNull()).select(F.col(key).alias("k"), part.alias("t")).join(F.broadcast(chosen), "k").select("y", "t")
+    out: dict[int, list[str]] = {y: [] for y in counts}
+    seen, share = dict.fromkeys(counts, 0), most_bytes // len(counts)
+    for y, x in sorted((r[0], r[1]) for r in rows.limit(4 * want + 200).toLocalIterator()):
+        if seen[y] + len(x) <= share:
+            out[y].append(x)
+            seen[y] += len(x)
+    return out, counts.get(1, 0) / sum(counts.values())

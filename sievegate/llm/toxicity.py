@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import fit_scale
-from .sampling import bounded_sample
+from .sampling import bounded_sample, labelled_sample
 from .store import free_name
 from .texts import LETTER, U64, Rolling, byte_view, chunks, lower_ascii, words
 
@@ -243,11 +243,9 @@ def _score(model: ToxicityModel):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Bound: ``sample`` texts each of toxic, clean and unlabelled rows where ``learn`` holds."""
-    rows = docs.where(learn).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    known = rows.join(labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("y in (0, 1)"), "k")
-    picked = bounded_sample(known.select("t", F.col("y").cast("int").alias("y")), "y", "t", sample)
+    rows = docs.where(learn).select(F.col(text).cast("string").alias("t"))
+    picked, prior = labelled_sample(docs, labels, learn, key, text, label, sample)
     loose = bounded_sample(rows.select("t", F.lit(0).alias("g")), "g", "t", sample).get(0, [])
-    prior = known.agg(F.avg(F.col("y").cast("double"))).first()[0]
     return ToxicityModel.fit(picked.get(1, []), picked.get(0, []), loose, 0.1 if prior is None else prior)
 
 

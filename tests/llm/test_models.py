@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sievegate.llm.language import LanguageModel, fit_language, identify_language
 from sievegate.llm.quality import QualityModel, fit_nnpu, fit_quality, score_quality
@@ -67,7 +68,7 @@ def test_edges(spark):
     rows += [(None, None, None), (100, "", "en"), (101, "123 !?", "en"), (101, "123 !?", "en"), (102, "long " * 60000, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as lang_pred", "3 as _scan")
     labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(50)] + [(None, None, None)], "doc_id long, quality int, toxic int")
-    always = docs.doc_id.isNotNull()
+    always = F.col("doc_id").isNotNull()
     for out in (score_quality(docs, fit_quality(docs, labels, always)), score_toxicity(docs, fit_toxicity(docs, labels, always))):
         got = out.collect()
         assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
