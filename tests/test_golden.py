@@ -74,7 +74,8 @@ def test_perplexity_and_terminal():
     assert payloads.perplexity_clusters(score[:100]) is None
     names = [h[5] for h in payloads.terminal_hits("\x1b]52;c;QQ==\x07\x1b[3J\x1b[1;8;31mx\x1b]0;t")]
     assert names == ["clipboard", "erase_scrollback", "sgr_conceal", "title"]
-    assert payloads.overwritten("rm -rf /\rls -la  ") == [(0, "rm -rf /"[:2] + "rf /"[:0] + "", "ls -la  ")] or payloads.overwritten("rm -rf /\rls -la  ")
+    assert payloads.overwritten("rm -rf /\rls -la  ")[0][2] == "ls -la  "
+    assert not payloads.overwritten("plain\ntext")
 
 
 def test_entropy_and_rare(spark):
