@@ -404,6 +404,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
     wanted = classes.join(nodes, classes.a == nodes.node, "left_semi").select("doc")
     sets = docs.join(wanted, docs.row_key == wanted.doc, "left_semi").dropDuplicates(["row_key"]).mapInArrow(_set_rows(words_), "node long, doc long, shingles binary")
     sets = store.put("sets", sets)
+    store.drop()  # the shuffles of keys and texts are no longer needed
 
     sizes = classes.select(F.col("a").alias("node"), "n", "sketch")
 
@@ -415,7 +416,8 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
         for i in range(SKETCH_BITS // 64):
             word = lambda c: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")  # noqa: B023, E731
             far = far + F.bit_count(word("s_a").bitwiseXOR(word("s_b")))
-        close = pairs.join(x, "a").join(y, "b").where((F.abs(F.col("n_a") - F.col("n_b")) <= most) & (far <= most)).select("a", "b")
+        fit = pairs.join(x.drop("s_a"), "a").join(y.drop("s_b"), "b").where(F.abs(F.col("n_a") - F.col("n_b")) <= most).select("a", "b")
+        close = fit.join(x, "a").join(y, "b").where((F.abs(F.col("n_a") - F.col("n_b")) <= most) & (far <= most)).select("a", "b")
         left = sets.select(F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("shingles").alias("y"))
         found = close.join(right, "b").join(left, "a").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "x", "y")
