@@ -15,9 +15,11 @@ first has a match among them, which the other sends too. A set with too few
 rich parts sends all parts: of a similar pair either one side has rich parts
 enough, which then match, or both send all.
 
-Candidates of one part are first checked against its smallest set only; those
-links make components. Sets of parts that still hold several components form
-families (components of the candidates). Inside a family, pairs across
+Candidates of one part are first compared with its smallest set only, by parity
+sketches whose length follows the set's size; of the smallest sets that stay
+near, one for each set is verified, and those links make components. Sets of
+parts that still hold several components form families (components of the
+candidates). Inside a family, pairs across
 components are compared in blocks by a second, longer parity sketch, whose
 Hamming distance bounds the symmetric difference from below, and verified where
 that allows; a pair that is connected by then is passed over. A family of more
@@ -46,6 +48,7 @@ from .texts import U64, Rolling, byte_view, chunks, lower_ascii, mix64, words
 
 RATIO = 1.6
 INFO = 2
+#: Bits of the shortest sketches.
 SKETCH_BITS = 512
 #: Sets that one task compares with each other.
 FAMILY = 20_000
@@ -97,16 +100,22 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
 def set_key(s: np.ndarray) -> tuple[int, int]:
     """128 bits that name a set."""
     a, b = mix64(s).sum(dtype=U64), mix64(s ^ U64(0xA0761D6478BD642F)).sum(dtype=U64)
-    n = U64(len(s))
-    a, b = mix64(np.array([a + n, b ^ n * U64(0x9E3779B97F4A7C15)], dtype=U64)).view(np.int64)
+    n = np.array([len(s)], dtype=U64)
+    a, b = mix64(np.concatenate((n + a, n * U64(0x9E3779B97F4A7C15) ^ b))).view(np.int64)
     return int(a), int(b)
 
 
-def small_sketch(s: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
-    """Each shingle flips one bit."""
+def small_sketch(s: np.ndarray) -> bytes:
+    """Each shingle flips one bit, of as many bits as the set has members or somewhat more."""
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes of the same set."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, dtype=U64).reshape(-1, size // 8), axis=0)
+
+
 # ---------------------------------------------------------------- bands and parts
 
 
@@ -246,6 +255,21 @@ def _set_rows(k: int):
     return run
 
 
+def _close(num: int, den: int):
+    """From rows (a, b, n_a, n_b, sketch of a, sketch of b): the pairs that size and sketch allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            near = np.zeros(batch.num_rows, dtype=bool)
+            for r, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                near[r] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= n[r] * (den - num) // (den + num)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=["a", "b"])
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,6 +364,8 @@ def _near(num: int, den: int, block: int = 512):
     bands = (den - num, den + num)
 
     def pairs_of(node, comp, n, sketch):
+        size = min(map(len, sketch))
+        sketch = np.stack([folded(x, size) for x in sketch])
         for i in range(0, len(node), block):
             for j in range(i, len(node), block):
                 p, q = slice(i, i + block), slice(j, j + block)
@@ -364,7 +390,8 @@ def _near(num: int, den: int, block: int = 512):
             if not len(key):
                 continue
             cols = [c.to_numpy() for c in batch.columns[1:4]]
-            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=U64).reshape(len(key), -1)
+            sketch = np.empty(len(key), dtype=object)
+            sketch[:] = batch.column(4).to_pylist()
             cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and key[i] != key_now:
@@ -408,22 +435,22 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
 
     sizes = classes.select(F.col("a").alias("node"), "n", "sketch")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links between class representatives; sizes and small sketches settle most pairs before sets move."""
+    def verified(pairs: DataFrame, one: bool = False) -> DataFrame:
+        """Links between class representatives; sizes and sketches settle most pairs before sets move. ``one``: of a set's pairs only one."""
         x, y = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
         most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / F.lit(den + num) + F.lit(1e-9))
-        far = F.lit(0)
-        for i in range(SKETCH_BITS // 64):
-            word = lambda c: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")  # noqa: B023, E731
-            far = far + F.bit_count(word("s_a").bitwiseXOR(word("s_b")))
         fit = pairs.join(x.drop("s_a"), "a").join(y.drop("s_b"), "b").where(F.abs(F.col("n_a") - F.col("n_b")) <= most).select("a", "b")
-        close = fit.join(x, "a").join(y, "b").where((F.abs(F.col("n_a") - F.col("n_b")) <= most) & (far <= most)).select("a", "b")
+        close = fit.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_close(num, den), "a long, b long")
+        if one:
+            close = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         left = sets.select(F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("shingles").alias("y"))
         found = close.join(right, "b").join(left, "a").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "x", "y")
         return found.mapInArrow(_verify(num, den), "a long, b long")
 
-    links = store.put("links1", verified(edges))
+    # a pair that is passed over here stays open unless others connect it: its sets meet again in their family
+    links = store.put("links1", verified(edges, one=True))
+    store.drop()
     first = store.put("comp1", connected_components(links, store, "cc1"))
 
     # parts whose documents are not one component yet
@@ -451,6 +478,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
     final = first
     if more is not None and not more.isEmpty():
         final = store.put("comp2", connected_components(links.union(more), store, "cc2"))
+    store.drop("stars", "sets", "open", "family", "large", "links1", "links2")
 
     final = final.select(F.col("node").alias("doc"), "component")
     by_class = classes.join(final, "doc", "left").select("a", "b", "n", F.coalesce("component", "doc").alias("component"))
