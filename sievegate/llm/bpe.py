@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .texts import tidied
+
 #: Words of a task's cache; a full cache is emptied.
 CACHE = 300_000
 
@@ -204,7 +206,7 @@ def _encode(shared, names: list[str], digests: bool):
                 more = [pa.array(n, type=pa.int64()), *([pa.array(hashes), pa.array(decoded)] if digests else [pa.array(ids_, type=pa.list_(pa.int32()))])]
                 yield pa.RecordBatch.from_arrays([*rest, *more], names=[*names, "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["ids"])])
 
-    return run
+    return tidied(run)
 
 
 def _decode(shared, names: list[str]):
@@ -214,7 +216,7 @@ def _decode(shared, names: list[str]):
             texts = [model.decode(x) if x is not None else None for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, type=pa.string())], names=[*names, "decoded"])
 
-    return run
+    return tidied(run)
 
 
 def _schema(df: DataFrame, key: str, more: str) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .store import free_name
-from .texts import U64, byte_view, chunks, lower_ascii
+from .texts import U64, byte_view, chunks, lower_ascii, tidied
 
 Q = 8
 SPAN = 96
@@ -207,7 +207,7 @@ def _find(needles: Needles, filter_: bool):
                 out = [*batch.columns[:-1], pa.array([sorted(x) for x in items], type=pa.list_(pa.int64())), pa.array(spans, type=pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "_items", "_windows"])
 
-    return run
+    return tidied(run)
 
 
 def _blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[Needles]:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Store
+from .texts import tidied
 
 LISTS = 4
 BLOCK = 4096
@@ -79,7 +80,7 @@ def _first(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: in
             seen = np.isfinite(low[g])
             yield _rows(np.flatnonzero(seen), np.full(seen.sum(), g), np.zeros(seen.sum()), low[g][seen], True)
 
-    return run
+    return tidied(run)
 
 
 def _rows(query, part, who, score, low) -> pa.RecordBatch:
@@ -124,7 +125,7 @@ def _second(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: i
         for at, (s, who) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), own[at], dtype=np.int64)), pa.array(who.astype(np.int64)), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
-    return run
+    return tidied(run)
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: int = 1024, lists: int = LISTS, block: int = BLOCK) -> DataFrame:

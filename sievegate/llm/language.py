@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .sampling import bounded_sample
 from .store import free_name
+from .texts import tidied
 
 DICT_BYTES = 96 << 10
 SAMPLE = 400
@@ -99,7 +100,7 @@ def _identify(model: LanguageModel, margin: float):
             more = [pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64()), pa.array([f[2] for f in found], type=pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
-    return run
+    return tidied(run)
 
 
 def fit_language(docs: DataFrame, learn, text: str = "text", lang: str = "lang", sample: int = SAMPLE, dict_bytes: int = DICT_BYTES) -> LanguageModel:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import Store, parts
-from .texts import U64, Rolling, byte_view, chunks, lower_ascii, mix64, words
+from .texts import Rolling, U64, byte_view, chunks, lower_ascii, mix64, tidied, words
 
 RATIO = 1.6
 INFO = 2
@@ -193,7 +193,7 @@ def _classes(names: list[str], k: int):
                 sketch.append(small_sketch(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, type=pa.int64()), pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64()), pa.array(sketch, type=pa.binary())], names=[*names, "n", "a", "b", "sketch"])
 
-    return run
+    return tidied(run)
 
 
 def _part_keys(k: int, num: int, den: int):
@@ -218,13 +218,14 @@ def _part_keys(k: int, num: int, den: int):
             if keys:
                 yield _pairs(("key", np.concatenate(keys).view(np.int64)), ("node", np.concatenate(nodes)))
 
-    return run
+    return tidied(run)
 
 
 def _pairs(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for _, v in columns], names=[k for k, _ in columns])
 
 
+@tidied
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, node): each further node of a key with the key's first node."""
     key_now, first, last = None, None, None
@@ -252,7 +253,7 @@ def _set_rows(k: int):
                 blob.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, type=pa.int64()), pa.array(cls, type=pa.int64()), pa.array(blob, type=pa.binary())], names=["node", "doc", "shingles"])
 
-    return run
+    return tidied(run)
 
 
 def _close(num: int, den: int):
@@ -267,7 +268,7 @@ def _close(num: int, den: int):
                 near[r] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= n[r] * (den - num) // (den + num)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def _verify(num: int, den: int):
@@ -279,7 +280,7 @@ def _verify(num: int, den: int):
                 good[r] = _similar(np.frombuffer(left[r].as_buffer(), dtype=U64), np.frombuffer(right[r].as_buffer(), dtype=U64), num, den)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return run
+    return tidied(run)
 
 
 def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -356,7 +357,7 @@ def _families(num: int, den: int):
                 held.append(np.frombuffer(s, dtype=U64))
         yield done()
 
-    return run
+    return tidied(run)
 
 
 def _near(num: int, den: int, block: int = 512):
@@ -402,7 +403,7 @@ def _near(num: int, den: int, block: int = 512):
         if held:
             yield from pairs_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return run
+    return tidied(run)
 
 
 # ---------------------------------------------------------------- the operator

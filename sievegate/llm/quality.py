@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .sampling import bounded_sample, labelled_sample
 from .store import free_name
-from .texts import Rolling, byte_view, chunks, mix64, words
+from .texts import Rolling, byte_view, chunks, mix64, tidied, words
 
 BITS = 11
 SAMPLE = 1500
@@ -190,7 +190,7 @@ def _score(model: QualityModel):
                 score[i:j] = model.score(data[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
 
-    return run
+    return tidied(run)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, prior: float | None = None) -> QualityModel:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Store, parts
-from .texts import U64, Rolling, byte_view, chunks, mix64, sliding_argmin
+from .texts import Rolling, U64, byte_view, chunks, mix64, sliding_argmin, tidied
 
 LENGTH = 400
 GRAM = 160
@@ -205,7 +205,7 @@ def _occurrences(length: int, gram: int):
                     names=["t1", "t2", "lo", "hi", "at", "key", "ctx"],
                 )
 
-    return run
+    return tidied(run)
 
 
 def _distinct_texts(length: int):
@@ -224,7 +224,7 @@ def _distinct_texts(length: int):
             pair = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), column.take(pa.array(rows, type=pa.int64()))], names=["t1", "t2", "text"])
 
-    return run
+    return tidied(run)
 
 
 def _plain(names: list[str], length: int):
@@ -241,7 +241,7 @@ def _plain(names: list[str], length: int):
             pair = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(np.diff(off)), pa.array(shas)], names=[*names, "t1", "t2", "n_bytes", "sha"])
 
-    return run
+    return tidied(run)
 
 
 def _cut_contexts(length: int, width: int, full: int):
@@ -275,7 +275,7 @@ def _cut_contexts(length: int, width: int, full: int):
                         out = {k: [] for k in out}
             yield _context_batch(out)
 
-    return run
+    return tidied(run)
 
 
 def _signed(x: int) -> int:
@@ -322,7 +322,7 @@ def _index_partition(length: int, batch_bytes: int):
                 ranges.append(np.flatnonzero(flags[1:] != flags[:-1]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(parts_), pa.array(ranges, type=pa.list_(pa.int32()))], names=["part", "ranges"])
 
-    return run
+    return tidied(run)
 
 
 def _apply(length: int):
@@ -347,7 +347,7 @@ def _apply(length: int):
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, type=pa.int64()), pa.array(spans, type=pa.int64()), pa.array(shas, type=pa.string()), pa.array(kept, type=pa.binary())], names=["t1", "t2", "n_removed", "n_spans", "kept_sha", "kept"])
 
-    return run
+    return tidied(run)
 
 
 # ---------------------------------------------------------------- the operator

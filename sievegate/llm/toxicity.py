@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .quality import fit_scale
 from .sampling import bounded_sample, labelled_sample
 from .store import free_name
-from .texts import LETTER, U64, Rolling, byte_view, chunks, lower_ascii, words
+from .texts import LETTER, Rolling, U64, byte_view, chunks, lower_ascii, tidied, words
 
 SAMPLE = 3000
 #: Words of the lexicon and of the linear classifier.
@@ -238,7 +238,7 @@ def _score(model: ToxicityModel):
                 score[i:j] = model.score(data[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], "score"])
 
-    return run
+    return tidied(run)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
