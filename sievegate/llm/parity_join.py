@@ -17,8 +17,9 @@ enough, which then match, or both send all.
 
 Candidates of one part are first compared with its smallest set only, by parity
 sketches whose length follows the set's size; of the smallest sets that stay
-near, one for each set is verified, and those links make components. Sets of
-parts that still hold several components form families (components of the
+near, one for each set is verified, and those links make components; the others
+are verified where their ends are still in different components. Sets of
+parts that then still hold several components form families (components of the
 candidates). Inside a family, pairs across
 components are compared in blocks by a second, longer parity sketch, whose
 Hamming distance bounds the symmetric difference from below, and verified where
@@ -436,29 +437,44 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
 
     sizes = classes.select(F.col("a").alias("node"), "n", "sketch")
 
-    def verified(pairs: DataFrame, one: bool = False) -> DataFrame:
-        """Links between class representatives; sizes and sketches settle most pairs before sets move. ``one``: of a set's pairs only one."""
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and sketches allow, which settles most before sets move."""
         x, y = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
         most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / F.lit(den + num) + F.lit(1e-9))
         fit = pairs.join(x.drop("s_a"), "a").join(y.drop("s_b"), "b").where(F.abs(F.col("n_a") - F.col("n_b")) <= most).select("a", "b")
-        close = fit.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_close(num, den), "a long, b long")
-        if one:
-            close = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        return fit.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_close(num, den), "a long, b long")
+
+    def verified(close: DataFrame) -> DataFrame:
+        """Links between class representatives."""
         left = sets.select(F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("shingles").alias("y"))
         found = close.join(right, "b").join(left, "a").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "x", "y")
         return found.mapInArrow(_verify(num, den), "a long, b long")
 
-    # a pair that is passed over here stays open unless others connect it: its sets meet again in their family
-    links = store.put("links1", verified(edges, one=True))
+    doc_of = sets.select("node", "doc")
+
+    def ends(first: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The component of each node, also as one of heads and one of tails."""
+        comp_of = doc_of.join(first, doc_of.doc == first.node, "left").select(doc_of.node, F.coalesce("component", "doc").alias("comp"))
+        return comp_of, *(comp_of.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
+
+    # of a set's near pairs one is verified first; the others follow where their ends are not one component by then
+    close = store.put("close", allowed(edges))
+    store.drop()
+    one = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = store.put("links1", verified(one))
     store.drop()
     first = store.put("comp1", connected_components(links, store, "cc1"))
+    comp_of, heads, tails = ends(first)
+    over = close.join(one, ["a", "b"], "left_anti").join(heads, "a").join(tails, "b").where("comp_a <> comp_b").select("a", "b")
+    late = store.put("late", verified(store.put("over", over)))
+    store.drop()
+    if not late.isEmpty():
+        links = links.union(late)
+        first = store.put("comp1b", connected_components(links, store, "cc1b"))
+        comp_of, heads, tails = ends(first)
 
-    # parts whose documents are not one component yet
-    doc_of = sets.select("node", "doc")
-    comp_of = doc_of.join(first, doc_of.doc == first.node, "left").select(doc_of.node, F.coalesce("component", "doc").alias("comp"))
-    heads = comp_of.select(F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    tails = comp_of.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    # parts whose documents are not one component yet; a part of two sets was settled above
     members = stars.join(tails, "b").join(heads, "a")
     open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("comp_a") != F.col("comp_b")).alias("mixed")).where("mixed and n > 1").select("key")
     still = store.put("open", members.join(open_keys, "key").select("key", "a", "b", "comp_b"))
@@ -474,12 +490,12 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
             near = still.join(inside, "b", "left_semi").select("key", F.col("b").alias("node"), F.col("comp_b").alias("comp"))
             near = near.join(sizes, "node").select("key", "node", "comp", "n", "sketch")
             near = near.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_near(num, den), "a long, b long").distinct()
-            more = more.unionByName(verified(near))
+            more = more.unionByName(verified(allowed(near)))
         more = store.put("links2", more)
     final = first
     if more is not None and not more.isEmpty():
         final = store.put("comp2", connected_components(links.union(more), store, "cc2"))
-    store.drop("stars", "sets", "open", "family", "large", "links1", "links2")
+    store.drop("stars", "sets", "close", "over", "open", "family", "large", "links1", "late", "links2")
 
     final = final.select(F.col("node").alias("doc"), "component")
     by_class = classes.join(final, "doc", "left").select("a", "b", "n", F.coalesce("component", "doc").alias("component"))

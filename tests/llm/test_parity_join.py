@@ -44,6 +44,23 @@ def test_large_families_go_part_by_part(spark):
     assert got == brute_force(items, 3, 75, 100)
 
 
+def chains(rng, short, long, steps):
+    """Texts of distinct words, each with what is left without its first and without its last words."""
+    items = []
+    for c in range(120):
+        base = [f"w{c}x{i}" for i in range(rng.randrange(short, long))]
+        items += [" ".join(base), *(" ".join(base[i:]) for i in steps), *(" ".join(base[:-i]) for i in steps)]
+    rng.shuffle(items)
+    return list(enumerate(items))
+
+
+def test_chains_of_short_texts(spark):
+    items = chains(random.Random(1), 10, 18, (1,))
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(df, words_=4, num=85).collect()}
+    assert got == brute_force(items, 4, 85, 100)
+
+
 def test_null_keys_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "A b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join(df).collect())
