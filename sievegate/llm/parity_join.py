@@ -24,7 +24,8 @@ candidates). Inside a family, pairs across
 components are compared in blocks by a second, longer parity sketch, whose
 Hamming distance bounds the symmetric difference from below, and verified where
 that allows; a pair that is connected by then is passed over. A family of more
-than ``FAMILY`` sets is compared part by part instead. So every link that joins
+than ``FAMILY`` sets is compared part by part instead, without the parts' smallest
+sets, whose pairs are settled by then. So every link that joins
 two components is found, while groups of copies never become pairs. Equal sets
 are one node throughout.
 
@@ -474,7 +475,7 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
         first = store.put("comp1b", connected_components(links, store, "cc1b"))
         comp_of, heads, tails = ends(first)
 
-    # parts whose documents are not one component yet; a part of two sets was settled above
+    # parts whose documents are not one component yet; every pair with a part's first set, and so a part of two sets, was settled above
     members = stars.join(tails, "b").join(heads, "a")
     open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("comp_a") != F.col("comp_b")).alias("mixed")).where("mixed and n > 1").select("key")
     still = store.put("open", members.join(open_keys, "key").select("key", "a", "b", "comp_b"))

@@ -61,6 +61,13 @@ def test_chains_of_short_texts(spark):
     assert got == brute_force(items, 4, 85, 100)
 
 
+def test_heads_in_large_families(spark):
+    items = chains(random.Random(2), 14, 40, (1, 2, 3))
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(df, words_=4, num=85, family_size=2).collect()}
+    assert got == brute_force(items, 4, 85, 100)
+
+
 def test_null_keys_repeats_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "A b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join(df).collect())
