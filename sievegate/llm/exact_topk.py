@@ -3,7 +3,7 @@
 The components of the vectors are dealt to ``lists`` groups; a candidate's score
 is the sum of its group scores. Per query: (1) each task sends the k highest
 entries of each of its lists and the list's lowest value; with unsent entries
-taken at the lowest, the k-th highest sum is a safe cutoff. (2) The cutoff is
+taken at the lowest, the k-th highest sum of a row is a safe cutoff. (2) The cutoff is
 broadcast; shifted by the lowest values it gives the uniform threshold, cutoff /
 lists, and a candidate counts only if one of its entries reaches it and its
 entries with thresholds for the rest reach the cutoff. (3) The remaining scores
@@ -58,10 +58,11 @@ def _first(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: in
         best = [(np.full((0, q), 0.0), np.full((0, q), 0)) for _ in groups]
         low = np.full((len(groups), q), np.inf)
         for batch in batches:
+            number = batch.column(2).to_numpy()
             for ids, m in _matrix(batch, width):
                 step = max(k, _CELLS // max(1, q))
                 for i in range(0, len(ids), step):
-                    part, pid = m[i : i + step], ids[i : i + step]
+                    part, pid, row = m[i : i + step], ids[i : i + step], number[i : i + step]
                     self_ = pid[:, None] == own[None, :]
                     for g, cols in enumerate(groups):
                         s = part[:, cols] @ queries[:, cols].T
@@ -69,9 +70,9 @@ def _first(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: in
                         s[self_] = -np.inf
                         if len(s) > k:
                             top = np.argpartition(-s, k - 1, axis=0)[:k]
-                            s, who = np.take_along_axis(s, top, axis=0), pid[top]
+                            s, who = np.take_along_axis(s, top, axis=0), row[top]
                         else:
-                            who = np.broadcast_to(pid[:, None], s.shape)
+                            who = np.broadcast_to(row[:, None], s.shape)
                         best[g] = _keep(np.concatenate((best[g][0], s)), np.concatenate((best[g][1], who)), k)
         for g, (s, who) in enumerate(best):
             ok = np.isfinite(s)
@@ -86,7 +87,7 @@ def _first(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: in
 def _rows(query, part, who, score, low) -> pa.RecordBatch:
     kinds = (np.int32, np.int32, np.int64, np.int64)
     columns = [pa.array(np.asarray(x).astype(t)) for x, t in zip((query, part, who, score), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(query), low))], names=["query", "part", "vec", "score", "low"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(query), low))], names=["query", "part", "row", "score", "low"])
 
 
 def _second(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: int, cutoff: np.ndarray, low: np.ndarray):
@@ -113,9 +114,11 @@ def _second(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: i
                     exact = exact[x, y]
                     good = exact >= cutoff[y]
                     x, y, exact = x[good], y[good], exact[good]
+                    if not len(y):
+                        continue
                     order = np.argsort(y, kind="stable")
                     x, y, exact = x[order], y[order], exact[order]
-                    cuts = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1]))) if len(y) else []
+                    cuts = np.flatnonzero(np.concatenate(([True], y[1:] != y[:-1])))
                     for a, b in zip(cuts, [*cuts[1:], len(y)], strict=True):
                         s, who = exact[a:b], pid[x[a:b]]
                         if y[a] in best:
@@ -142,6 +145,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
         return df.where(F.col(key).isNotNull() & x.isNotNull() & ~F.coalesce(F.exists(x, bad), F.lit(False))).select(F.col(key).cast("long").alias("id"), parts.alias("x"))
 
     rows, asked = whole(vectors), whole(queries)
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # repeated rows are kept apart
     out, number = None, 0
 
     def search(some: list) -> None:
@@ -152,12 +156,12 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "
         for i, r in enumerate(some):
             q[i, : len(r[1])] = r[1]
         groups = [c for c in np.array_split(np.arange(width), lists) if len(c)]
-        sent = store.put(f"sent{number}", rows.mapInArrow(_first(q, own, groups, k), "query int, part int, vec long, score long, low boolean"))
+        sent = store.put(f"sent{number}", numbered.mapInArrow(_first(q, own, groups, k), "query int, part int, row long, score long, low boolean"))
         low = np.zeros((len(groups), len(some)))
         for r in sent.where("low").groupBy("query", "part").agg(F.min("score").alias("s")).collect():
             low[r["part"], r["query"]] = r["s"]
         floor_ = sent.where("low").groupBy("query", "part").agg(F.min("score").alias("s"))
-        over = sent.where("not low").join(floor_, ["query", "part"]).groupBy("query", "vec").agg(F.sum(F.col("score") - F.col("s")).alias("s"))
+        over = sent.where("not low").join(floor_, ["query", "part"]).groupBy("query", "row").agg(F.sum(F.col("score") - F.col("s")).alias("s"))
         ranked = over.selectExpr("query", "s", "row_number() over (partition by query order by s desc) as r").where(F.col("r") == k)
         cutoff = np.full(len(some), -np.inf)
         for r in ranked.collect():

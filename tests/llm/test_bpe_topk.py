@@ -50,3 +50,27 @@ def test_topk(spark, k, lists, block):
             want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert sorted(tuple(r) for r in got) == sorted(want)
     assert exact_topk(df, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("k", [3, 10])
+def test_topk_repeated_rows(spark, k):
+    rng = np.random.default_rng(k)
+    centre = rng.normal(size=(6, 8)) * 3
+    rows = [(i, [float(x) for x in centre[i % 6] + rng.normal(size=8) / 4]) for i in range(120)]
+    rows = rows * 3 + [(i, [float(x) for x in rng.normal(size=8) * 3]) for i in range(1, 120, 7) if i % 20 for _ in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = exact_topk(df, df.where("vec_id % 20 = 0"), k=k).collect()
+    good = [(i, np.floor(1024 * np.array(v, dtype=np.float32).astype(float))) for i, v in rows]
+    want = []
+    for i, v in dict(good).items():
+        if i % 20 == 0:
+            best = sorted((-int(v @ w), j) for j, w in good if j != i)[:k]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_topk_tasks_without_candidates(spark):
+    rows = [(i, [float(-i), 1.0, float(-i), 2.0]) for i in range(2, 60)] + [(0, [1.0] * 4), (1, [9.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = exact_topk(df, df.where("vec_id = 0"), k=1).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 36 << 20)]
