@@ -35,6 +35,8 @@ STEP = 32
 RATE = 0.05
 #: Bytes of items that go to all tasks at once; more are taken in blocks, a pass over the documents for each.
 BLOCK = 16 << 20
+#: Hit positions that are counted at once.
+HITS = 200_000
 _BITS = 22
 _ODD = U64(0x9E3779B97F4A7C15)
 
@@ -145,8 +147,11 @@ class Needles:
         if not len(at):
             return []
         found = []
-        for some in np.array_split(at, max(1, len(at) // 200_000)) if len(at) > 400_000 else [at]:
-            found += self._bands(data, offsets, grams, some)
+        # pieces of many hits overlap by more than a band reaches, so each band is whole in one of them
+        for i in range(0, len(at), HITS):
+            last = at[min(i + HITS, len(at)) - 1]
+            end = np.searchsorted(at, last + self.longest + int(self.most.max()) + Q, side="right")
+            found += self._bands(data, offsets, grams, at[i:end])
         return sorted(set(found))
 
     def _bands(self, data, offsets, grams, at) -> list[tuple[int, int, int, int]]:

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from sievegate.llm.decontaminate import Needles, drop_contaminated, edits, find_contaminated
@@ -130,6 +131,15 @@ def test_decontamination_equals_brute_force(spark):
     assert drop_contaminated(df, bench.limit(0)).count() == len(docs)
 
 
+def test_dense_hits_are_not_cut():
+    rng = random.Random(5)
+    item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(81))
+    for many in (5407, 5409, 8119):
+        data = np.frombuffer((item * many).encode(), dtype=np.uint8)
+        found = Needles([(1, item)]).find(data, np.arange(many + 1) * len(item))
+        assert {r for r, _, _, _ in found} == set(range(many))
+
+
 def test_edits():
     rng = random.Random(2)
     for _ in range(200):
