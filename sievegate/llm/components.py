@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating large-star and small-star steps, all in DataFrames."""
+"""Connected components of a link table by hooking, pointer jumping and contraction, all in DataFrames."""
 
 from __future__ import annotations
 
@@ -8,26 +8,41 @@ from pyspark.sql import functions as F
 from .store import Store
 
 
+def roots(pointers: DataFrame, store: Store, name: str) -> DataFrame:
+    """``pointers`` has one row (node, parent) a node, with parent < node; gives (node, component), component being the end of the way."""
+    step, now = 0, store.put(f"{name}-jump0", pointers.select("node", "parent", F.lit(True).alias("moved")))
+    while True:
+        step += 1
+        further = now.select(F.col("node").alias("parent"), F.col("parent").alias("further"))
+        jumped = now.join(further, "parent", "left").select("node", F.coalesce("further", "parent").alias("parent"), F.col("further").isNotNull().alias("moved"))
+        before, now = now, store.put(f"{name}-jump{step}", jumped)
+        moved = now.agg(F.max("moved")).first()[0]
+        store.drop(f"{name}-jump{step - 1}")
+        if not moved:
+            return now.select("node", F.col("parent").alias("component"))
+
+
 def connected_components(links: DataFrame, store: Store, name: str) -> DataFrame:
-    """``links`` has the long columns a and b; gives (node, component) for each node in a link, component being its smallest node.
+    """``links`` has the long columns a and b; gives (node, component) for each node in a link that is not itself the smallest of its component.
 
-    Each step connects nodes to the smallest neighbour they know, with grouped
-    minima only, so no task holds a component. Nulls must not occur; loops and
-    repeated links are allowed.
+    Each round hooks every node to its smallest neighbour if that is smaller,
+    jumps along the pointers to their ends, and contracts the links to links
+    between ends. Only grouped minima and joins with one row a node are used, so
+    no task holds a component, and the hot end of a star is a key that a join
+    may split. Nulls must not occur; loops and repeated links are allowed.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = store.put(f"{name}-0", edges)
-    before, step = None, 0
-    while True:
+    pairs = lambda df, x, y: df.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
+    edges = store.put(f"{name}-0", pairs(links, F.col("a"), F.col("b")))
+    found, step = None, 0
+    while not edges.isEmpty():
         step += 1
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = store.put(f"{name}-{step}", small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        store.drop(f"{name}-{step - 1}")
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        before = now
+        up = roots(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("parent")), store, f"{name}-{step}")
+        of = lambda c: up.select(F.col("node").alias(c), F.col("component").alias(f"{c}_end"))  # noqa: B023, E731
+        mapped = edges.join(of("u"), "u").join(of("v"), "v", "left")  # each u has a pointer
+        before, edges = edges, store.put(f"{name}-{step}", pairs(mapped, F.col("u_end"), F.coalesce("v_end", "v")))
+        if found is not None:
+            later = up.select(F.col("node").alias("component"), F.col("component").alias("end"))
+            up = found.join(later, "component", "left").select("node", F.coalesce("end", "component").alias("component")).unionByName(up)
+        found = store.put(f"{name}-found{step}", up)
+        store.drop(f"{name}-{step - 1}", f"{name}-found{step - 1}")
+    return found if found is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

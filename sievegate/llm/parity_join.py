@@ -15,19 +15,22 @@ first has a match among them, which the other sends too. A set with too few
 rich parts sends all parts: of a similar pair either one side has rich parts
 enough, which then match, or both send all.
 
-Candidates of one part are first compared with its smallest set only, by parity
-sketches whose length follows the set's size; of the smallest sets that stay
-near, one for each set is verified, and those links make components; the others
-are verified where their ends are still in different components. Sets of
-parts that then still hold several components form families (components of the
-candidates). Inside a family, pairs across
-components are compared in blocks by a second, longer parity sketch, whose
-Hamming distance bounds the symmetric difference from below, and verified where
-that allows; a pair that is connected by then is passed over. A family of more
-than ``FAMILY`` sets is compared part by part instead, without the parts' smallest
-sets, whose pairs are settled by then. So every link that joins
-two components is found, while groups of copies never become pairs. Equal sets
-are one node throughout.
+Candidates of one part are first compared with its smallest set only, by size
+and by parity sketches whose length follows the set's size. Of the pairs that
+stay near, the nearest of each set is verified first and those links make
+components; the others are verified where their ends are in different
+components by then. So every pair with a part's smallest set is settled.
+
+Parts whose other sets then still belong to several components form families
+(components of what shares a part). A task takes a whole family: pairs across
+components are compared in blocks by a second, longer parity sketch and
+verified where that allows; a pair that is connected by then is passed over. A
+family of more than ``FAMILY`` sets or ``FAMILY_BYTES`` is compared part by part
+instead, a part's sets dealt to blocks of ``PART_BLOCK`` and two blocks to a
+task, and its near pairs are settled as above. Both ways compare every pair of
+sets that share a part and are not connected, so every link that joins two
+components is found, while groups of copies never become pairs. Equal sets are
+one node throughout.
 
 Defined cases: texts that are null or have no word have an empty set and link
 with nothing; texts shorter than a shingle are one shingle; rows with a null
@@ -52,8 +55,11 @@ RATIO = 1.6
 INFO = 2
 #: Bits of the shortest sketches.
 SKETCH_BITS = 512
-#: Sets that one task compares with each other.
+#: Sets, and bytes of their shingles, that one task compares with each other; larger families are compared part by part.
 FAMILY = 20_000
+FAMILY_BYTES = 32 << 20
+#: Sets of a part in one block; a task compares two blocks.
+PART_BLOCK = 2048
 
 
 # ---------------------------------------------------------------- sets
@@ -201,8 +207,13 @@ def _classes(names: list[str], k: int):
 def _part_keys(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
+
+        def rows(keys: list, nodes: list, sizes: list) -> pa.RecordBatch:
+            many = [len(x) for x in keys]
+            return _pairs(("key", np.concatenate(keys).view(np.int64)), ("node", np.repeat(np.array(nodes, dtype=np.int64), many)), ("n", np.repeat(np.array(sizes, dtype=np.int32), many)))
+
         for batch in batches:
-            keys, nodes, size = [], [], 0
+            keys, nodes, sizes, size = [], [], [], 0
             for _, s in sets_of(batch.column(0), k):
                 if not len(s):
                     continue
@@ -212,13 +223,14 @@ def _part_keys(k: int, num: int, den: int):
                 seen.add(name)
                 own = bands.keys(s)
                 keys.append(own)
-                nodes.append(np.full(len(own), name[0], dtype=np.int64))
+                nodes.append(name[0])
+                sizes.append(len(s))
                 size += len(own)
                 if size > 200_000:
-                    yield _pairs(("key", np.concatenate(keys).view(np.int64)), ("node", np.concatenate(nodes)))
-                    keys, nodes, size = [], [], 0
+                    yield rows(keys, nodes, sizes)
+                    keys, nodes, sizes, size = [], [], [], 0
             if keys:
-                yield _pairs(("key", np.concatenate(keys).view(np.int64)), ("node", np.concatenate(nodes)))
+                yield rows(keys, nodes, sizes)
 
     return tidied(run)
 
@@ -227,22 +239,27 @@ def _pairs(*columns: tuple[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for _, v in columns], names=[k for k, _ in columns])
 
 
-@tidied
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, node): each further node of a key with the key's first node."""
-    key_now, first, last = None, None, None
-    for batch in batches:
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
-            continue
-        new = np.concatenate(([key[0] != key_now], key[1:] != key[:-1]))
-        starts = np.where(new, np.arange(len(key)), -1)
-        starts = np.maximum.accumulate(starts)
-        head = np.where(starts >= 0, node[np.maximum(starts, 0)], node[0] if first is None else first)
-        prev = np.concatenate(([node[0] if last is None else last], node[:-1]))
-        out = (node != head) & ~(~new & (node == prev))
-        yield _pairs(("key", key[out]), ("a", head[out]), ("b", node[out]))
-        key_now, first, last = key[-1], head[-1], node[-1]
+def _stars(num: int, den: int):
+    """From rows (key, node, n) sorted by key and node: each further node of a key with the key's first node, and whether their sizes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_now, first, first_n, last = None, 0, 0, 0
+        for batch in batches:
+            key, node, n = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            new = np.concatenate(([key[0] != key_now], key[1:] != key[:-1]))
+            starts = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            head = np.where(starts >= 0, node[np.maximum(starts, 0)], first)
+            head_n = np.where(starts >= 0, n[np.maximum(starts, 0)], first_n)
+            prev = np.concatenate(([last], node[:-1]))
+            out = (node != head) & (new | (node != prev))
+            total = n.astype(np.int64) + head_n
+            fit = np.abs(n - head_n) <= total * (den - num) // (den + num)
+            yield _pairs(("key", key[out]), ("a", head[out]), ("b", node[out]), ("fit", fit[out]))
+            key_now, first, first_n, last = key[-1], head[-1], head_n[-1], node[-1]
+
+    return tidied(run)
 
 
 def _set_rows(k: int):
@@ -259,20 +276,37 @@ def _set_rows(k: int):
 
 
 def _close(num: int, den: int):
-    """From rows (a, b, n_a, n_b, sketch of a, sketch of b): the pairs that size and sketch allow."""
+    """From rows (a, b, n_a, n_b, sketch of a, sketch of b): the pairs that the sketches allow, with their distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            near = np.zeros(batch.num_rows, dtype=bool)
-            for r, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                size = min(len(x), len(y))
-                near[r] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum() <= n[r] * (den - num) // (den + num)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in batch.columns[:2]], names=["a", "b"])
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (den - num) // (den + num)
+            far = np.zeros(batch.num_rows, dtype=np.int64)
+            x, y = (c.cast(pa.large_binary()) for c in batch.columns[4:6])
+            (raw_x, off_x), (raw_y, off_y) = _blob_view(x), _blob_view(y)
+            size_x, size_y = np.diff(off_x), np.diff(off_y)
+            for size in np.unique(size_x[size_x == size_y]):
+                rows = np.flatnonzero((size_x == size) & (size_y == size))
+                step = max(1, (1 << 21) // int(size))
+                for i in range(0, len(rows), step):
+                    some = rows[i : i + step]
+                    at = np.arange(size)
+                    far[some] = np.bitwise_count(raw_x[off_x[some][:, None] + at] ^ raw_y[off_y[some][:, None] + at]).sum(axis=1, dtype=np.int64)
+            for r in np.flatnonzero(size_x != size_y):
+                size = int(min(size_x[r], size_y[r]))
+                far[r] = np.bitwise_count(folded(raw_x[off_x[r] : off_x[r + 1]].tobytes(), size) ^ folded(raw_y[off_y[r] : off_y[r + 1]].tobytes(), size)).sum()
+            near = pa.array(far <= most)
+            yield pa.RecordBatch.from_arrays([*(c.filter(near) for c in batch.columns[:2]), pa.array(far).filter(near)], names=["a", "b", "far"])
 
     return tidied(run)
 
 
+def _blob_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :] if len(column) else np.zeros(1, dtype=np.int64)
+    return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8), off
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,21 +374,20 @@ def family_links(comp: list[int], sets_: list[np.ndarray], num: int, den: int, b
 
 
 def _families(num: int, den: int):
-    """From rows (family, doc, comp, shingles) sorted by family: links between documents."""
+    """From rows (family, comp, shingles) sorted by family: links between components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, docs, comp, held = None, [], [], []
+        now, comp, held = None, [], []
 
         def done() -> pa.RecordBatch:
             links = family_links(comp, held, num, den) if held else []
-            return _pairs(("a", np.array([docs[x] for x, _ in links], dtype=np.int64)), ("b", np.array([docs[y] for _, y in links], dtype=np.int64)))
+            return _pairs(("a", np.array([comp[x] for x, _ in links], dtype=np.int64)), ("b", np.array([comp[y] for _, y in links], dtype=np.int64)))
 
         for batch in batches:
-            for f, d, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for f, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if f != now:
                     yield done()
-                    now, docs, comp, held = f, [], [], []
-                docs.append(d)
+                    now, comp, held = f, [], []
                 comp.append(c)
                 held.append(np.frombuffer(s, dtype=U64))
         yield done()
@@ -363,47 +396,45 @@ def _families(num: int, den: int):
 
 
 def _near(num: int, den: int, block: int = 512):
-    """From rows sorted by key: the pairs across components that size and sketch allow, block by block."""
-    bands = (den - num, den + num)
+    """From rows (key, p, q, side, node, comp, n, sketch) sorted by key, p, q: the pairs across components, one of each side (or both of one where p = q), that size and sketch allow."""
 
-    def pairs_of(node, comp, n, sketch):
+    def pairs_of(same: bool, side, node, comp, n, sketch):
         size = min(map(len, sketch))
         sketch = np.stack([folded(x, size) for x in sketch])
-        for i in range(0, len(node), block):
-            for j in range(i, len(node), block):
-                p, q = slice(i, i + block), slice(j, j + block)
-                total = n[p][:, None] + n[q][None, :]
-                allowed = total * bands[0] // bands[1]
-                ok = (comp[p][:, None] != comp[q][None, :]) & (np.abs(n[p][:, None] - n[q][None, :]) <= allowed)
-                x, y = np.nonzero(ok)
-                if i == j:
+        left = np.flatnonzero(side == 0)
+        right = left if same else np.flatnonzero(side == 1)
+        for i in range(0, len(left), block):
+            for j in range(i if same else 0, len(right), block):
+                p, q = left[i : i + block], right[j : j + block]
+                allowed = (n[p][:, None] + n[q][None, :]) * (den - num) // (den + num)
+                x, y = np.nonzero((comp[p][:, None] != comp[q][None, :]) & (np.abs(n[p][:, None] - n[q][None, :]) <= allowed))
+                if same and i == j:
                     x, y = x[x < y], y[x < y]
-                if not len(x):
-                    continue
-                far = np.bitwise_count(sketch[p][x] ^ sketch[q][y]).sum(axis=1)
-                near = far <= allowed[x, y]
-                if near.any():
-                    u, v = node[p][x[near]], node[q][y[near]]
-                    yield _pairs(("a", np.minimum(u, v)), ("b", np.maximum(u, v)))
+                for k in range(0, len(x), 1 << 16):
+                    u, v = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                    near = np.bitwise_count(sketch[p[u]] ^ sketch[q[v]]).sum(axis=1, dtype=np.int64) <= allowed[u, v]
+                    if near.any():
+                        u, v = node[p[u[near]]], node[q[v[near]]]
+                        yield _pairs(("a", np.minimum(u, v)), ("b", np.maximum(u, v)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_now, held = None, []
+        now, held = None, []
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            if not len(key):
+            group = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:3]], axis=1)
+            if not len(group):
                 continue
-            cols = [c.to_numpy() for c in batch.columns[1:4]]
-            sketch = np.empty(len(key), dtype=object)
-            sketch[:] = batch.column(4).to_pylist()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+            cols = [c.to_numpy() for c in batch.columns[3:7]]
+            sketch = np.empty(len(group), dtype=object)
+            sketch[:] = batch.column(7).to_pylist()
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1), len(group)]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and key[i] != key_now:
-                    yield from pairs_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                if held and tuple(group[i]) != now:
+                    yield from pairs_of(now[1] == now[2], *(np.concatenate(x) for x in zip(*held, strict=True)))
                     held = []
-                key_now = key[i]
+                now = tuple(group[i])
                 held.append((*(c[i:j] for c in cols), sketch[i:j]))
         if held:
-            yield from pairs_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from pairs_of(now[1] == now[2], *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return tidied(run)
 
@@ -411,7 +442,7 @@ def _near(num: int, den: int, block: int = 512):
 # ---------------------------------------------------------------- the operator
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_: int = 5, num: int = 80, den: int = 100, family_size: int = FAMILY) -> DataFrame:
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_: int = 5, num: int = 80, den: int = 100, family_size: int = FAMILY, family_bytes: int = FAMILY_BYTES, part_block: int = PART_BLOCK) -> DataFrame:
     """Per row of ``docs``: key, n_shingles and component_id, where documents link at Jaccard >= num / den.
 
     ``key`` is an integer column. component_id is the smallest key that links
@@ -427,78 +458,83 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
     classes = rows.where("n > 0 and row_key is not null").groupBy("a", "b", "n").agg(F.min("row_key").alias("doc"), F.first("sketch").alias("sketch"))
     classes = store.put("classes", classes)
 
-    sent = docs.where("row_key is not null").select("row_text").mapInArrow(_part_keys(words_, num, den), "key long, node long")
-    stars = store.put("stars", sent.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_stars, "key long, a long, b long"))
-    edges = stars.select("a", "b").distinct()
+    sent = docs.where("row_key is not null").select("row_text").mapInArrow(_part_keys(words_, num, den), "key long, node long, n int")
+    stars = store.put("stars", sent.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_stars(num, den), "key long, a long, b long, fit boolean"))
     nodes = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
     wanted = classes.join(nodes, classes.a == nodes.node, "left_semi").select("doc")
     sets = docs.join(wanted, docs.row_key == wanted.doc, "left_semi").dropDuplicates(["row_key"]).mapInArrow(_set_rows(words_), "node long, doc long, shingles binary")
     sets = store.put("sets", sets)
     store.drop()  # the shuffles of keys and texts are no longer needed
-
     sizes = classes.select(F.col("a").alias("node"), "n", "sketch")
 
     def allowed(pairs: DataFrame) -> DataFrame:
-        """The pairs that sizes and sketches allow, which settles most before sets move."""
+        """The pairs that sketches allow, with their distance; this settles most pairs before sets move."""
         x, y = (sizes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-        most = F.floor((F.col("n_a") + F.col("n_b")) * (den - num) / F.lit(den + num) + F.lit(1e-9))
-        fit = pairs.join(x.drop("s_a"), "a").join(y.drop("s_b"), "b").where(F.abs(F.col("n_a") - F.col("n_b")) <= most).select("a", "b")
-        return fit.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_close(num, den), "a long, b long")
-
-    def verified(close: DataFrame) -> DataFrame:
-        """Links between class representatives."""
-        left = sets.select(F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("shingles").alias("y"))
-        found = close.join(right, "b").join(left, "a").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "x", "y")
-        return found.mapInArrow(_verify(num, den), "a long, b long")
-
-    doc_of = sets.select("node", "doc")
-
-    def ends(first: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The component of each node, also as one of heads and one of tails."""
-        comp_of = doc_of.join(first, doc_of.doc == first.node, "left").select(doc_of.node, F.coalesce("component", "doc").alias("comp"))
-        return comp_of, *(comp_of.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-
-    # of a set's near pairs one is verified first; the others follow where their ends are not one component by then
-    close = store.put("close", allowed(edges))
-    store.drop()
-    one = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = store.put("links1", verified(one))
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_close(num, den), "a long, b long, far long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links between the components of the pairs that are similar."""
+        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in ("ax", "by"))
+        return pairs.join(right, "b").join(left, "a").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"), "x", "y").mapInArrow(_verify(num, den), "a long, b long")
+
+    def joined(comps: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """The components after more links between them."""
+        if links.isEmpty():
+            return comps
+        later = connected_components(links, store, name).select(F.col("node").alias("comp"), "component")
+        return store.put(f"{name}-comps", comps.join(later, "comp", "left").select("node", "doc", F.coalesce("component", "comp").alias("comp")))
+
+    def ends(comps: DataFrame) -> list[DataFrame]:
+        return [comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab"]
+
+    def settled(close: DataFrame, comps: DataFrame, name: str) -> DataFrame:
+        """The components after all pairs: of a set's pairs the nearest is verified first, the others where their ends are not one component by then."""
+        heads, tails = ends(comps)
+        near = close.join(heads, "a").join(tails, "b").where("comp_a <> comp_b")
+        one = near.groupBy("b").agg(F.min(F.struct("far", "a", "comp_a", "comp_b")).alias("x")).select("b", "x.a", "x.comp_a", "x.comp_b")
+        one = store.put(f"{name}-one", one)
+        comps = joined(comps, store.put(f"{name}-links", verified(one)), f"{name}-cc")
+        store.drop()
+        heads, tails = ends(comps)
+        over = close.join(one.select("a", "b"), ["a", "b"], "left_anti").join(heads, "a").join(tails, "b").where("comp_a <> comp_b")
+        over = store.put(f"{name}-over", over.select("a", "b", "comp_a", "comp_b"))
+        if not over.isEmpty():
+            comps = joined(comps, store.put(f"{name}-late", verified(over)), f"{name}-cd")
+            store.drop()
+        store.drop(f"{name}-one", f"{name}-over", f"{name}-links", f"{name}-late")
+        return comps
+
+    close = store.put("close", allowed(stars.where("fit").select("a", "b").distinct()))
     store.drop()
-    first = store.put("comp1", connected_components(links, store, "cc1"))
-    comp_of, heads, tails = ends(first)
-    over = close.join(one, ["a", "b"], "left_anti").join(heads, "a").join(tails, "b").where("comp_a <> comp_b").select("a", "b")
-    late = store.put("late", verified(store.put("over", over)))
-    store.drop()
-    if not late.isEmpty():
-        links = links.union(late)
-        first = store.put("comp1b", connected_components(links, store, "cc1b"))
-        comp_of, heads, tails = ends(first)
-
-    # parts whose documents are not one component yet; every pair with a part's first set, and so a part of two sets, was settled above
-    members = stars.join(tails, "b").join(heads, "a")
-    open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("comp_a") != F.col("comp_b")).alias("mixed")).where("mixed and n > 1").select("key")
-    still = store.put("open", members.join(open_keys, "key").select("key", "a", "b", "comp_b"))
-    more = None
+    comps = settled(close, store.put("comps", sets.select("node", "doc", F.col("doc").alias("comp"))), "star")
+
+    # parts whose sets, without the first, are not one component yet; every pair with a part's first set, and so a part of two sets, was settled above
+    members = stars.join(ends(comps)[1], "b")
+    open_keys = members.groupBy("key").agg(F.count("*").alias("many"), F.min("comp_b").alias("least"), F.max("comp_b").alias("most")).where("least <> most").select("key", "many")
+    still = store.put("open", members.join(open_keys, "key").select("key", "many", "a", "b", F.col("comp_b").alias("comp")))
     if not still.isEmpty():
-        family = store.put("family", connected_components(still.select("a", "b"), store, "fam"))
-        large = family.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > family_size).select("component")
-        large = store.put("large", large)
-        small = family.join(large, "component", "left_anti").join(comp_of, "node").join(sets, "node").select("component", "doc", "comp", "shingles")
-        more = small.repartition(2 * n_parts, "component").sortWithinPartitions("component", "doc").mapInArrow(_families(num, den), "a long, b long")
+        family = connected_components(still.select("a", "b"), store, "family")
+        placed = still.select(F.col("b").alias("node"), "comp").distinct().join(family, "node", "left").select("node", "comp", F.coalesce("component", "node").alias("family"))
+        placed = store.put("placed", placed.join(sizes.select("node", "n"), "node"))
+        weight = placed.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("total"), F.countDistinct("comp").alias("comps")).where("comps > 1")
+        weight = store.put("weight", weight.select("family", ((F.col("many") > family_size) | (F.col("total") * 8 > family_bytes)).alias("large")))
+        small = placed.join(weight.where("not large"), "family").join(sets, "node").select("family", "comp", "shingles")
+        links = small.repartition(2 * n_parts, "family").sortWithinPartitions("family").mapInArrow(_families(num, den), "a long, b long")
+        now = joined(comps, store.put("links", links), "small")
+        large = placed.join(weight.where("large"), "family").select(F.col("node").alias("b"))
         if not large.isEmpty():
-            inside = family.join(large, "component", "left_semi").select(F.col("node").alias("b"))
-            near = still.join(inside, "b", "left_semi").select("key", F.col("b").alias("node"), F.col("comp_b").alias("comp"))
-            near = near.join(sizes, "node").select("key", "node", "comp", "n", "sketch")
-            near = near.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(_near(num, den), "a long, b long").distinct()
-            more = more.unionByName(verified(allowed(near)))
-        more = store.put("links2", more)
-    final = first
-    if more is not None and not more.isEmpty():
-        final = store.put("comp2", connected_components(links.union(more), store, "cc2"))
-    store.drop("stars", "sets", "close", "over", "open", "family", "large", "links1", "late", "links2")
-
-    final = final.select(F.col("node").alias("doc"), "component")
+            # part by part, each part's sets dealt to blocks, and each two blocks to a task
+            blocks = still.join(large, "b", "left_semi").withColumn("blocks", F.ceil(F.col("many") / part_block).cast("int"))
+            mine = F.pmod(F.xxhash64("b", "key"), F.col("blocks")).cast("int")
+            pairs = blocks.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            pairs = pairs.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).cast("int").alias("side"), F.col("b").alias("node"), "comp")
+            pairs = pairs.join(sizes, "node").select("key", "p", "q", "side", "node", "comp", "n", "sketch")
+            near = pairs.repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_near(num, den), "a long, b long").distinct()
+            now = settled(store.put("near", allowed(near)), now, "part")
+        comps = now
+    store.drop("stars", "sets", "close", "open", "placed", "weight", "links", "near")
+
+    final = comps.select("doc", "comp").join(comps.groupBy("comp").agg(F.min("doc").alias("component")), "comp").select("doc", "component")
     by_class = classes.join(final, "doc", "left").select("a", "b", "n", F.coalesce("component", "doc").alias("component"))
     # the smallest key of a component is the smallest of its class keys, which are the smallest of their classes
     return rows.join(by_class, ["a", "b", "n"], "left").select(F.col("row_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("row_key").isNotNull(), F.coalesce("component", "row_key")).alias("component_id"))

@@ -87,3 +87,58 @@ def test_similar_sets_share_a_key():
         both = len(np.intersect1d(s, other))
         if 100 * both >= 85 * (len(s) + len(other) - both) and cut:
             assert len(np.intersect1d(bands.keys(s), bands.keys(other)))
+
+
+def test_middle_text_joins_two(spark):
+    """A text, the same with words appended and with words put before it: each near the first, not always near each other."""
+    rng, items, want = random.Random(5), [], {}
+    for c in range(500):
+        base = [f"w{c}x{i}" for i in range(rng.randrange(17, 63))]
+        more = max(1, (len(base) - 3) * 15 // 85)
+        three = [base, base + [f"a{c}x{i}" for i in range(more)], [f"b{c}x{i}" for i in range(more)] + base]
+        three = [(3 * c + i, " ".join(w)) for i, w in enumerate(three)]
+        want |= brute_force(three, 4, 85, 100)
+        items += three
+    rng.shuffle(items)
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    for size, block in ((20_000, 2048), (2, 2)):
+        got = ngram_join(df, words_=4, num=85, family_size=size, part_block=block).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_blocks_of_parts(spark):
+    items = corpus(9)
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    got = ngram_join(df, words_=3, num=75, family_bytes=0, part_block=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(items, 3, 75, 100)
+
+
+def test_long_text_and_clashing_columns(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long), 1, "x"), (2, " ".join(long[:-9]), 2, "y"), (3, " ".join(long[::2]), 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, component_id string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join(df).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_components(spark):
+    from sievegate.llm.components import connected_components
+    from sievegate.llm.store import Store
+
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 500)] + [(777, x) for x in range(700, 800)]
+    up = {}
+
+    def root(x):
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    want = {x: root(x) for pair in links for x in pair if root(x) != x}
+    got = connected_components(spark.createDataFrame(links, "a long, b long"), Store(spark, "t"), "cc")
+    rows = got.collect()
+    assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+    assert connected_components(spark.createDataFrame([], "a long, b long"), Store(spark, "t"), "cc").count() == 0
