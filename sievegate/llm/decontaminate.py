@@ -24,17 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .store import free_name
+from .store import Store, free_name
 from .texts import U64, byte_view, chunks, lower_ascii, tidied
 
 Q = 8
 SPAN = 96
 STEP = 32
 RATE = 0.05
-#: Bytes of items that go to all tasks at once; more are taken in blocks, a pass over the documents for each.
-BLOCK = 16 << 20
+#: Bytes of items that go to all tasks at once (their index takes some 70 times as much); more are taken in blocks, a pass over the documents for each.
+BLOCK = 2 << 20
 #: Hit positions that are counted at once.
 HITS = 200_000
 _BITS = 22
@@ -196,7 +195,9 @@ class Needles:
         return out
 
 
-def _find(needles: Needles, filter_: bool):
+def _find(needles: Needles, give: str):
+    """The last column is searched. ``keep``: rows without a find, less that column; ``add``: all rows, with what was found in its place; ``hits``: only those with a find."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = byte_view(batch.column(batch.num_columns - 1))
@@ -206,11 +207,12 @@ def _find(needles: Needles, filter_: bool):
                 for r, w, _, _ in needles.find(data[off[i] : off[j]], off[i : j + 1] - off[i]):
                     items[i + r].add(needles.item[w])
                     spans[i + r] += 1
-            if filter_:
-                yield batch.filter(pa.array([not x for x in items])).select(range(batch.num_columns - 1))
-            else:
-                out = [*batch.columns[:-1], pa.array([sorted(x) for x in items], type=pa.list_(pa.int64())), pa.array(spans, type=pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], "_items", "_windows"])
+            rest, names = batch.columns[:-1], batch.schema.names[:-1]
+            if give == "keep":
+                yield batch.filter(pa.array([not x for x in items], type=pa.bool_())).select(range(batch.num_columns - 1))
+                continue
+            out = pa.RecordBatch.from_arrays([*rest, pa.array([sorted(x) for x in items], type=pa.list_(pa.int64())), pa.array(spans, type=pa.int64())], names=[*names, "_items", "_windows"])
+            yield out.filter(pa.array([bool(x) for x in items], type=pa.bool_())) if give == "hits" else out
 
     return tidied(run)
 
@@ -220,7 +222,7 @@ def _blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[Needl
     block, size = [], 0
     for row in items.select(F.col(key).cast("long"), F.col(text).cast("string")).where(F.col(text).isNotNull()).toLocalIterator():
         block.append((row[0], row[1]))
-        size += len(row[1])
+        size += len(row[1].encode())
         if size >= limit:
             yield Needles(block)
             block, size = [], 0
@@ -228,18 +230,48 @@ def _blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[Needl
         yield Needles(block)
 
 
+def _single(items: DataFrame, text: str, limit: int) -> bool:
+    return (items.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0) < limit
+
+
+def _passes(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_text: str, block: int) -> tuple[Store, DataFrame]:
+    """A pass over the documents for each block of items; gives (digest of the text, items found, windows found) of the texts with any."""
+    store, found = Store(docs.sparkSession, "leaks"), None
+    scan = docs.select(F.sha2(F.col(text).cast("string"), 256).alias("digest"), F.col(text).cast("string").alias("_scan")).where("_scan is not null")
+    for i, needles in enumerate(_blocks(items, item_key, item_text, block)):
+        hits = scan.mapInArrow(_find(needles, "hits"), "digest string, _items array<long>, _windows long")
+        hits = store.put(f"block{i}", hits.dropDuplicates(["digest"]))
+        found = hits if found is None else found.unionByName(hits)
+    return store, found.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"), F.sum("_windows").alias("_windows"))
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` in whose text no window of an item is found, with all columns."""
-    for needles in _blocks(items, item_key, item_text, block):
-        docs = docs.withColumn(free_name(docs, "_scan"), F.col(text).cast("string")).mapInArrow(_find(needles, True), docs.schema)
-    return docs
+    scan = free_name(docs, "_scan")
+    if _single(items, item_text, block):
+        for needles in _blocks(items, item_key, item_text, block):
+            docs = docs.withColumn(scan, F.col(text).cast("string")).mapInArrow(_find(needles, "keep"), docs.schema)
+        return docs
+    _, found = _passes(docs, items, text, item_key, item_text, block)
+    found = found.select(F.col("digest").alias(scan))
+    return docs.withColumn("_d" + scan, F.sha2(F.col(text).cast("string"), 256)).join(found, F.col("_d" + scan) == F.col(scan), "left_anti").select(*docs.columns)
 
 
 def find_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per row: key, contaminated, n_items, items (sorted ids of the items found) and n_windows (windows found)."""
-    rows = docs.select(F.col(key).alias("_key"), F.array().cast("array<bigint>").alias("_all"), F.lit(0).cast("long").alias("_n"), F.col(text).cast("string").alias("_scan"))
-    for needles in _blocks(items, item_key, item_text, block):
-        kept = T.StructType([*rows.schema.fields[:-1], T.StructField("_scan", T.StringType()), T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_windows", T.LongType())])
-        rows = rows.withColumn("_again", F.col("_scan")).mapInArrow(_find(needles, False), kept)
-        rows = rows.select("_key", F.array_union("_all", "_items").alias("_all"), (F.col("_n") + F.col("_windows")).alias("_n"), "_scan")
-    return rows.select(F.col("_key").alias(key), (F.size("_all") > 0).alias("contaminated"), F.size("_all").cast("long").alias("n_items"), F.array_sort("_all").alias("items"), F.col("_n").alias("n_windows"))
+    """Per row: key, contaminated, n_items, items (sorted ids of the items found) and n_windows (windows found).
+
+    Items up to ``block`` bytes go to all tasks at once, in one pass without a
+    shuffle. More are taken in blocks: each pass has one block in its plan and
+    leaves a table of the texts found, by digest, which is joined at the end.
+    """
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_scan"))
+    none = (F.array().cast("array<bigint>").alias("_items"), F.lit(0).cast("long").alias("_windows"))
+    if _single(items, item_text, block):
+        done = rows.select("_key", *none)
+        for needles in _blocks(items, item_key, item_text, block):
+            done = rows.mapInArrow(_find(needles, "add"), done.schema)
+    else:
+        _, found = _passes(docs, items, text, item_key, item_text, block)
+        rows = rows.select("_key", F.sha2("_scan", 256).alias("digest")).join(found, "digest", "left")
+        done = rows.select("_key", F.coalesce("_items", none[0]).alias("_items"), F.coalesce("_windows", none[1]).alias("_windows"))
+    return done.select(F.col("_key").alias(key), (F.size("_items") > 0).alias("contaminated"), F.size("_items").cast("long").alias("n_items"), F.array_sort("_items").alias("items"), F.col("_windows").alias("n_windows"))

@@ -125,9 +125,13 @@ def test_decontamination_equals_brute_force(spark):
     got = find_contaminated(df, bench, block=300)
     assert {r.doc_id: r["items"] for r in got.collect()} == want
     assert any(want.values()) and not all(want.values())
-    kept = drop_contaminated(df, bench)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if not want[i])
+    once = find_contaminated(df, bench)
+    assert {r.doc_id: r["items"] for r in once.collect()} == want
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for kept in (drop_contaminated(df, bench), drop_contaminated(df, bench, block=300)):
+        assert kept.columns == df.columns
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if not want[i])
+    assert find_contaminated(df.limit(0), bench).count() == 0 and find_contaminated(df.limit(0), bench, block=300).count() == 0
     assert drop_contaminated(df, bench.limit(0)).count() == len(docs)
 
 
@@ -140,6 +144,22 @@ def test_dense_hits_are_not_cut():
         assert {r for r, _, _, _ in found} == set(range(many))
 
 
+def test_many_documents_of_one_item(spark):
+    rng = random.Random(15)
+    item = prose(rng, 14)
+    df = spark.range(10_802).selectExpr("id as doc_id", f"'{item}' as text")
+    assert find_contaminated(df.coalesce(1), spark.createDataFrame([(1, item)], "item_id long, text string")).where("contaminated").count() == 10_802
+
+
+def test_leak_in_a_very_long_text(spark):
+    rng = random.Random(16)
+    item = prose(rng, 40)
+    long = prose(rng, 250_000)
+    rows = [(1, long + " " + item + " " + long), (2, long)]
+    got = find_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r["items"]) for r in got.collect()) == [(1, [7]), (2, [])]
+
+
 def test_edits():
     rng = random.Random(2)
     for _ in range(200):
