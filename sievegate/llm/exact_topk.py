@@ -5,9 +5,10 @@ is the sum of its group scores. Per query: (1) each task sends the k highest
 entries of each of its lists and the list's lowest value; with unsent entries
 taken at the lowest, the k-th highest sum of a row is a safe cutoff. (2) The cutoff is
 broadcast; shifted by the lowest values it gives the uniform threshold, cutoff /
-lists, and a candidate counts only if one of its entries reaches it and its
-entries with thresholds for the rest reach the cutoff. (3) The remaining scores
-are resolved exactly; each task keeps at most its k best for each query.
+lists, and a list gives its entries from that on. A candidate counts only if it
+has one and its entries with thresholds for the rest reach the cutoff. (3) The
+missing entries of these candidates are looked up, list by list, as long as the
+cutoff can still be reached; each task keeps at most its k best for each query.
 
 Queries come in blocks of ``block`` vectors, so what is broadcast has a fixed
 bound; each block is one pass over the candidates. All arithmetic is on
@@ -90,30 +91,57 @@ def _rows(query, part, who, score, low) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(query), low))], names=["query", "part", "row", "score", "low"])
 
 
+def sufficient(part: np.ndarray, queries: np.ndarray, groups: list[np.ndarray], low: np.ndarray, shifted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 2: the entries of each list from the uniform threshold on, as pairs (row, query) with the sum of their entries and which lists gave one.
+
+    A pair without an entry stays below the cutoff, and so does one whose
+    entries with thresholds for the rest do; neither is sent.
+    """
+    uniform = np.floor(shifted / len(groups))
+    sent, known, missing = None, 0.0, 0
+    for g, cols in enumerate(groups):
+        s = part[:, cols] @ queries[:, cols].T - low[g]
+        hit = s >= uniform
+        sent = hit[None] if sent is None else np.concatenate((sent, hit[None]))
+        known = known + np.where(hit, s, 0.0)
+        missing = missing + ~hit
+    x, y = np.nonzero(sent.any(axis=0) & (known + missing * uniform >= shifted))
+    return x, y, known[x, y], sent[:, x, y]
+
+
+def resolved(part: np.ndarray, queries: np.ndarray, groups: list[np.ndarray], low: np.ndarray, shifted: np.ndarray, x: np.ndarray, y: np.ndarray, known: np.ndarray, sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Phase 3: pairs at the cutoff or above with their scores, and how many entries were looked up.
+
+    The missing entries of the pairs are looked up list by list; a pair leaves
+    as soon as thresholds for what is still missing do not reach the cutoff.
+    """
+    uniform, looked = np.floor(shifted / len(groups)), 0
+    missing = (~sent).sum(axis=0)
+    for g, cols in enumerate(groups):
+        need = np.flatnonzero(~sent[g])
+        for i in range(0, len(need), 1 << 14):
+            some = need[i : i + (1 << 14)]
+            known[some] += np.einsum("ij,ij->i", part[np.ix_(x[some], cols)], queries[np.ix_(y[some], cols)]) - low[g, y[some]]
+        missing[need] -= 1
+        looked += len(need)
+        stay = known + missing * uniform[y] >= shifted[y]
+        x, y, known, missing, sent = x[stay], y[stay], known[stay], missing[stay], sent[:, stay]
+    return x, y, known + low.sum(axis=0)[y], looked
+
+
 def _second(queries: np.ndarray, own: np.ndarray, groups: list[np.ndarray], k: int, cutoff: np.ndarray, low: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, width = queries.shape
         shifted = cutoff - low.sum(axis=0)
-        uniform = shifted / len(groups)
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for ids, m in _matrix(batch, width):
                 step = max(1, _CELLS // max(1, q))
                 for i in range(0, len(ids), step):
                     part, pid = m[i : i + step], ids[i : i + step]
-                    sent = np.zeros((len(part), q), dtype=bool)
-                    above = np.zeros((len(part), q))
-                    exact = np.zeros((len(part), q)) + low.sum(axis=0)
-                    for g, cols in enumerate(groups):
-                        s = part[:, cols] @ queries[:, cols].T - low[g]
-                        hit = s >= uniform
-                        sent |= hit
-                        above += np.where(hit, s, uniform)
-                        exact += s
-                    x, y = np.nonzero(sent & (above >= shifted) & (pid[:, None] != own[None, :]))
-                    exact = exact[x, y]
-                    good = exact >= cutoff[y]
-                    x, y, exact = x[good], y[good], exact[good]
+                    x, y, known, sent = sufficient(part, queries, groups, low, shifted)
+                    other = pid[x] != own[y]
+                    x, y, exact, _ = resolved(part, queries, groups, low, shifted, x[other], y[other], known[other], sent[:, other])
                     if not len(y):
                         continue
                     order = np.argsort(y, kind="stable")

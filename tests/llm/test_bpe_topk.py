@@ -74,3 +74,37 @@ def test_topk_tasks_without_candidates(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     got = exact_topk(df, df.where("vec_id = 0"), k=1).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 36 << 20)]
+
+
+def test_candidates_are_pruned_before_they_are_resolved():
+    from sievegate.llm.exact_topk import resolved, sufficient
+
+    rng = np.random.default_rng(4)
+    rows, queries = np.floor(rng.normal(size=(3000, 32)) * 900), np.floor(rng.normal(size=(20, 32)) * 900)
+    groups = np.array_split(np.arange(32), 4)
+    exact = rows @ queries.T
+    low = np.stack([(rows[:, g] @ queries[:, g].T).min(axis=0) for g in groups])
+    cutoff = np.sort(exact, axis=0)[-10]
+    shifted = cutoff - low.sum(axis=0)
+    x, y, known, sent = sufficient(rows, queries, groups, low, shifted)
+    assert len(x) < exact.size
+    x, y, score, looked = resolved(rows, queries, groups, low, shifted, x, y, known, sent)
+    assert looked < 2 * exact.size  # of four entries a pair
+    want = np.nonzero(exact >= cutoff)
+    assert sorted(zip(x.tolist(), y.tolist(), score.tolist(), strict=True)) == sorted(zip(want[0].tolist(), want[1].tolist(), exact[want].tolist(), strict=True))
+
+
+def test_topk_clashing_columns_and_empty_tables(spark):
+    rows = [(i, [float(i), 1.0], 1, "q", 0.5, 7) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, query_id string, score double, row long")
+    assert [r.vec_id for r in exact_topk(df, df.where("vec_id = 0"), k=2).orderBy("rank").collect()] == [1, 2]
+    assert exact_topk(df.limit(0), df.where("vec_id = 0")).count() == 0
+
+
+def test_bpe_empty_table_and_very_long_text(spark):
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame([(1, "a very long text, " * 120_000)], "doc_id long, text string").selectExpr("*", "1 as n_tokens", "'x' as decoded")
+    assert bpe_digests(df.limit(0), PATH).count() == 0 and bpe_encode(df.limit(0), PATH).count() == 0
+    want = Tokenizer.from_file(PATH).encode("a very long text, " * 120_000, add_special_tokens=False).ids
+    assert bpe_encode(df, PATH).first().ids == want and bpe_digests(df, PATH).first().n_tokens == len(want)
