@@ -7,12 +7,13 @@ come from histograms: each pass sums the bytes of ``BINS`` bins for every open
 node and narrows each node to the bin that holds its median; what stands on one
 coordinate is told apart by a hash. The driver sees bins, never rows.
 
-Dimensions here are functions of the text, so rows with equal texts have one
-place in the tree and fall into one shard. A group of copies that is larger
+The dimensions are metadata of the text (bytes, words, lines and marks that are
+neither letters nor blanks), so rows with equal texts have one place in the tree and fall
+into one shard. A group of copies that is larger
 than a share is first cut into pieces by the hash of its keys, as no law of
 equal bytes could hold else; there are fewer such groups than shards.
 
-Law: ``bytes``. Defined cases: a null text has size 1 and checksum 0; null keys
+Law: ``bytes``. Defined cases: a null text has size 1, checksum 0 and no words; null keys
 and repeated rows are rows like others; an empty table gives an empty result.
 """
 
@@ -27,6 +28,9 @@ BINS = 2048
 PIECES = 256
 #: A bin with less of its node's bytes than this is not narrowed further.
 FINE = 1e-4
+#: Dimensions of the tree.
+DIMS = ["size", "words", "lines", "marks"]
+MARKS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalpha())
 #: Rows a slot window sees on average.
 RUN = 20_000
 
@@ -103,14 +107,24 @@ def node_of(cuts: list[tuple[int, int, int, str, int, int]]) -> Column:
     return at(0, 0)
 
 
+def metadata(body: Column) -> list[Column]:
+    """Words, lines and marks of a text as counts, by built-in functions."""
+    n = F.length(body)
+    blanks = n - F.length(F.translate(body, " \t\n\r", ""))
+    lines = n - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    marks = n - F.length(F.translate(body, MARKS, ""))
+    return [F.when(n > 0, blanks + 1).otherwise(0).cast("long").alias("words"), F.when(n > 0, lines + 1).otherwise(0).cast("long").alias("lines"), marks.cast("long").alias("marks")]
+
+
 def kd_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 16) -> DataFrame:
     """Per row: key, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard (null under this law)."""
     if shards < 1:
         raise ValueError("shards must be positive")
     store = Store(docs.sparkSession, "kd")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(key).alias("row_key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), F.xxhash64(body).alias("same"))
+    rows = docs.select(F.col(key).alias("row_key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"), F.xxhash64(body).alias("same"), *metadata(body))
     rows = store.put("rows", rows)
+    # size, checksum and hash tell texts apart; metadata follow from the text
     groups = store.put("groups", rows.groupBy("size", "crc", "same").agg(F.sum("size").alias("bytes")))
     total, many = groups.agg(F.sum("bytes"), F.count("*")).first()
     n = rows.count()
@@ -119,9 +133,9 @@ def kd_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shards:
     rows = rows.join(F.broadcast(large), ["size", "crc", "same"], "left")
     piece = F.when(F.col("large"), F.pmod(F.xxhash64("row_key"), F.lit(PIECES))).otherwise(F.lit(0))
     tie = F.shiftrightunsigned(F.xxhash64("same", piece), 2)
-    rows = rows.select("row_key", "size", "crc", tie.alias("tie"))
-    atoms = store.put("atoms", rows.groupBy("size", "crc", "tie").agg(F.sum("size").alias("bytes")))
-    cuts = kd_cuts(atoms, ["size", "crc"], shards) if n else []
+    rows = rows.select("row_key", "crc", tie.alias("tie"), *DIMS)
+    atoms = store.put("atoms", rows.groupBy(*DIMS, "tie").agg(F.sum("size").alias("bytes")))
+    cuts = kd_cuts(atoms, DIMS, shards) if n else []
     runs = max(1, -(-n // (RUN * shards)))
     rows = store.put("placed", rows.withColumn("shard", node_of(cuts).cast("int")).withColumn("run", F.pmod(F.xxhash64("row_key", "crc"), F.lit(runs))))
     counts = rows.groupBy("shard", "run").agg(F.count("*").alias("n"))

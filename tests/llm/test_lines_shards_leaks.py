@@ -173,3 +173,56 @@ def test_edits():
         full = levenshtein_in(w, region)
         if full <= 6:
             assert edits(w, region, 12, 6) == full
+
+
+def reference_tree(atoms, dims, shards):
+    """The leaf of each atom (coordinates, tie, bytes): a node is cut at the weighted median of its widest dimension, ties by their hash."""
+    leaf = {}
+    extent = lambda part, d: max(a[0][d] for a in part) - min(a[0][d] for a in part)
+    root = [max(1, extent(atoms, d)) for d in range(dims)]
+
+    def cut(part, first, n):
+        if n == 1 or not part:
+            leaf.update({(a[0], a[1]): first for a in part})
+            return
+        d = max(range(dims), key=lambda d: extent(part, d) / root[d])
+        part = sorted(part, key=lambda a: (a[0][d], a[1]))
+        want, below = sum(a[2] for a in part) * (n // 2) / n, 0
+        for i, a in enumerate(part):
+            if below + a[2] >= want or i == len(part) - 1:
+                break
+            below += a[2]
+        at = i + 1 if want - below > below + a[2] - want else i
+        cut(part[:at], first, n // 2)
+        cut(part[at:], first + n // 2, n - n // 2)
+
+    cut(atoms, 0, shards)
+    return leaf
+
+
+@pytest.mark.parametrize("shards", [2, 5, 8])
+def test_kd_cuts_equal_reference_tree(spark, shards):
+    from sievegate.llm.kd_shards import kd_cuts, node_of
+
+    rng = random.Random(shards)
+    spots = [(rng.randrange(5000), rng.randrange(40), rng.randrange(9)) for _ in range(120)]
+    atoms = [(s, rng.randrange(1 << 62), rng.randrange(1, 90)) for s in spots + spots[:40] * 2]
+    df = spark.createDataFrame([(*s, t, b) for s, t, b in atoms], "size long, words long, lines long, tie long, bytes long")
+    cuts = kd_cuts(df, ["size", "words", "lines"], shards)
+    got = {((r["size"], r.words, r.lines), r.tie): r.leaf for r in df.withColumn("leaf", node_of(cuts)).collect()}
+    assert got == reference_tree(atoms, 3, shards)
+
+
+def test_kd_shards_clashing_columns_and_very_long_text(spark):
+    rows = [(i, f"text {i} " * 9, 1, "x") for i in range(200)] + [(500, "long text " * 200_000, 2, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int, shard string")
+    out = kd_shards(df, shards=4).collect()
+    assert len(out) == len(rows) and out[0].law == "bytes"
+    assert kd_shards(df.limit(0), shards=4).count() == 0
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = "\n".join(f"line {i}" for i in range(150_000))
+    rows = [(i, f"Menu\nbody {i}", "h") for i in range(12)] + [(50, long + "\nMenu", "h")]
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[50] == (long, 1) and out[3] == ("body 3", 1)
