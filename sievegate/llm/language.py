@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary: learned texts of that
-language, one after the other. A text is encoded with each dictionary and goes
+Each language has a zstandard raw-content dictionary: whole learned texts of
+that language, a mix in the order of their hashes. A text is encoded with each dictionary and goes
 to the language with the smallest result; narrow margins are rejected. Long
 texts are encoded in blocks, so that every block leans on the dictionary and
 not on what came before it in the text, and sizes add up over the whole text.
@@ -45,16 +45,26 @@ def letters(text: str) -> str:
     return _REST.sub(" ", text.lower())
 
 
+def _whole_texts(texts: list[str], most: int) -> bytes:
+    """Whole texts, in the order given, as far as they fit into ``most`` bytes; those that do not are passed over, unless none fits."""
+    out, size = [], 0
+    for raw in (x.encode() + b"\n" for x in texts):
+        if size + len(raw) <= most:
+            out.append(raw)
+            size += len(raw)
+    return b"".join(out) if out else min((x.encode() for x in texts), key=len, default=b"")
+
+
 class LanguageModel:
     def __init__(self, texts: dict[str, list[str]], dict_bytes: int = DICT_BYTES, level: int = LEVEL) -> None:
         self.level = level
         self.raw, pairs = {}, {}
         for lang in sorted(texts):
-            joined = "\n".join(map(letters, texts[lang]))
-            raw = joined.encode()[-dict_bytes:]
+            clean = [x for x in map(letters, texts[lang]) if x.strip()]
+            raw = _whole_texts(clean, dict_bytes)
             if len(raw) >= 8:
                 self.raw[lang] = raw
-                pairs[lang] = Counter(map("".join, zip(joined, joined[1:], strict=False)))
+                pairs[lang] = sum((Counter(map("".join, zip(x, x[1:], strict=False))) for x in clean), Counter())
         self.pairs = {lang: {k: np.log((n + 0.5) / (sum(c.values()) + 1000)) for k, n in c.items()} for lang, c in pairs.items()}
         self.rare = {lang: np.log(0.5 / (sum(c.values()) + 1000)) for lang, c in pairs.items()}
         self._ready: dict[str, zstandard.ZstdCompressor] = {}

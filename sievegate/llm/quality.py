@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .sampling import bounded_sample, labelled_sample
 from .store import free_name
-from .texts import Rolling, byte_view, chunks, mix64, tidied, words
+from .texts import Rolling, byte_view, chunks, mix64, release, tidied, words
 
 BITS = 11
 SAMPLE = 1500
@@ -96,12 +96,25 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 150, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and offset of the linear scorer of least non-negative risk, by Adam over all rows."""
-    scale = 1.0 / (np.sqrt(np.mean(np.square(unlabelled), axis=0)) + 1e-4)
+def feature_scale(unlabelled: np.ndarray) -> np.ndarray:
+    scale = 1.0 / (np.sqrt(np.einsum("ij,ij->j", unlabelled, unlabelled) / len(unlabelled)) + 1e-4)
     scale[1 << BITS : -REPEATS] *= 4  # few features of each text, so they may move faster than single trigrams
     scale[-REPEATS:] *= 16
-    p, u = (positive * scale).astype(np.float32), (unlabelled * scale).astype(np.float32)
+    return scale.astype(np.float32)
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 150, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and offset of the linear scorer of least non-negative risk, by Adam over all rows; the rows are scaled in place meanwhile."""
+    scale = feature_scale(unlabelled)
+    positive *= scale
+    unlabelled *= scale
+    w, b = _least_risk(positive, unlabelled, prior, rounds, rate, decay)
+    positive /= scale
+    unlabelled /= scale
+    return w * scale, b
+
+
+def _least_risk(p: np.ndarray, u: np.ndarray, prior: float, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
     w, b = np.zeros(p.shape[1], dtype=np.float32), 0.0
     first, second, slow, slow2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     norm = np.float32(1.0 / np.sqrt(p.shape[1]))
@@ -121,7 +134,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
         fix, fix2 = 1 - 0.9**step, 1 - 0.999**step
         w -= rate * (first / fix) / (np.sqrt(second / fix2) + 1e-9)
         b -= rate * (slow / fix) / (np.sqrt(slow2 / fix2) + 1e-9)
-    return w * norm * scale, b
+    return w * norm, b
 
 
 def fit_scale(score: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[float, float]:
@@ -145,16 +158,21 @@ class QualityModel:
         self.weights, self.offset, self.prior = weights, offset, prior
 
     @classmethod
-    def fit(cls, positive: list[str], unlabelled: list[str], prior: float, labelled: list[tuple[str, int]] = ()) -> QualityModel:
+    def fit(cls, positive: list[str], unlabelled: list[str], prior: float, negative: list[str] = ()) -> QualityModel:
+        """The scorer learns from ``positive``, ``unlabelled`` and ``prior``; ``negative`` only helps to find the scale of its scores."""
         if not positive or not unlabelled:
             p = min(max(prior, 1e-6), 1 - 1e-6)
             return cls(np.zeros(WIDTH), float(np.log(p / (1 - p))), prior)
-        w, b = fit_nnpu(features(positive), features(unlabelled), prior)
-        if len({y for _, y in labelled}) == 2:
-            y = np.array([y for _, y in labelled], dtype=float)
-            slope, shift = fit_scale(features([t for t, _ in labelled]) @ w + b, y)
+        p = features(positive)
+        w, b = fit_nnpu(p, features(unlabelled), prior)
+        if negative:
+            # labels as frequent as the whole has them
+            keep = min(len(positive) / max(1e-9, prior), len(negative) / max(1e-9, 1 - prior))
+            good = p[: max(1, int(keep * prior))] @ w + b
+            bad = features(negative[: max(1, int(keep * (1 - prior)))]) @ w + b
+            slope, shift = fit_scale(np.concatenate((good, bad)), np.repeat([1.0, 0.0], [len(good), len(bad)]))
             w, b = w * slope, b * slope + shift
-        return cls(w, float(b), prior)
+        return cls(w.astype(np.float64), float(b), prior)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.zeros(len(data) + 1)
@@ -199,11 +217,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id",
     picked, share = labelled_sample(docs, labels, learn, key, text, label, sample)
     prior = share if prior is None else prior
     loose = bounded_sample(rows.select("t", F.lit(0).alias("g")), "g", "t", 2 * sample).get(0, [])
-    labelled = [(t, y) for y, texts in picked.items() for t in texts]
-    if labelled:  # as frequent as the whole has them
-        keep = min(len(texts) / max(1e-9, prior if y else 1 - prior) for y, texts in picked.items())
-        labelled = [(t, y) for y, texts in picked.items() for t in texts[: max(1, int(keep * (prior if y else 1 - prior)))]]
-    return QualityModel.fit(picked.get(1, []), loose, 0.5 if prior is None else prior, labelled)
+    model = QualityModel.fit(picked.get(1, []), loose, 0.5 if prior is None else prior, picked.get(0, []))
+    del picked, loose
+    release()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:

@@ -128,6 +128,14 @@ def sliding_argmin(values: np.ndarray, w: int) -> np.ndarray:
     return (least & U64(0xFFFFFFFF)).astype(np.int64)
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task that gives its memory back at its end; workers live on, and what they keep adds to the next task's."""
 
@@ -136,9 +144,6 @@ def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            release()
 
     return task

@@ -2,12 +2,12 @@
 
 Many voters look at a text: one for each entry of a lexicon (seed words, and the
 words and word beginnings most typical of labelled toxic texts) and some for
-patterns (several entries, an entry beside a second-person word, shouting). A voter
-that does not fire abstains; one voter says "clean" where no lexicon word is
-found. A generative label model estimates each voter's accuracy and how far
-voters agree beyond it, by expectation maximisation: voters that go together
-within a class count once, by the strongest. A linear classifier is then trained on the
-model's posterior labels, and a scale on labelled rows turns its output into
+patterns (several distinct entries, many for the text's length, an entry beside
+a second-person word, shouting). A voter that does not fire abstains; one voter says "clean" where no lexicon word is
+found. A generative label model estimates the voters' accuracies and their
+correlations within the classes (along a forest of the strongest ones) by
+expectation maximisation. A linear classifier is then trained on the model's
+posterior labels, over words and patterns, and a scale on labelled rows turns its output into
 probabilities.
 
 Everything is fitted on the driver from bounded samples; whole texts are
@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from .quality import fit_scale
 from .sampling import bounded_sample, labelled_sample
 from .store import free_name
-from .texts import LETTER, Rolling, U64, byte_view, chunks, lower_ascii, tidied, words
+from .texts import LETTER, Rolling, U64, byte_view, chunks, lower_ascii, release, tidied, words
 
 SAMPLE = 3000
 #: Words of the lexicon and of the linear classifier.
 LEXICON = 300
 FEATURES = 150
+#: Twice the log likelihood ratio from which a word of labelled toxic texts joins the lexicon.
+EVIDENCE = 24.0
 
 #: Seed words, insults in the languages at hand.
 SEEDS = ["idiot", "moron", "scum", "stupid", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "loser", "vermin", "garbage", "idiota", "estúpido", "basura", "imbécil", "payaso", "crétin", "ordure", "abruti", "dummkopf", "abschaum", "trottel", "müll"]
@@ -41,6 +43,7 @@ _YOU = ["you", "your", "tu", "vous", "du", "ihr", "usted", "te"]
 
 #: Lengths in bytes of the word beginnings that count beside whole words.
 PREFIXES = (4, 5, 6, 7, 8)
+_BEGIN = U64(0xD6E8FEB86659FD93)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +63,7 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     hashes, rows = [rolling.of(start, stop)], [row]
     for n in PREFIXES:
         long = np.flatnonzero(stop - start > n)
-        hashes.append(rolling.of(start[long], start[long] + n) ^ U64(0xD6E8FEB86659FD93))
+        hashes.append(rolling.of(start[long], start[long] + n) ^ _BEGIN)
         rows.append(row[long])
     return np.concatenate(hashes), np.concatenate(rows)
 
@@ -74,6 +77,9 @@ def hash_of(word: str) -> int:
     return int(word_hashes(*_bytes_of(word))[0][0])
 
 
+_YOU_HASHES = np.unique(np.array([hash_of(w) for w in _YOU], dtype=U64))
+
+
 def doc_features(text: str | None) -> np.ndarray:
     return np.unique(word_features(*_bytes_of(text))[0])
 
@@ -93,14 +99,16 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, values[at], 0.0)
 
 
-def choose_lexicon(toxic: list[np.ndarray], clean: list[np.ndarray], size: int = LEXICON) -> np.ndarray:
-    """Seeds, and the words and beginnings most typical of toxic texts; each of these needs three texts and clear odds."""
+def choose_lexicon(toxic: list[np.ndarray], clean: list[np.ndarray], size: int = LEXICON, least: float = EVIDENCE) -> np.ndarray:
+    """Seeds, and the words and beginnings most typical of toxic texts; each of these needs clear odds and a likelihood ratio that chance does not give among so many words."""
     keys, a = _counts(toxic)
     other, m = _counts(clean)
     b = _lookup(other, m, keys)
+    share = len(toxic) / max(1, len(toxic) + len(clean))
     odds = np.log((a + 0.25) / max(1, len(toxic))) - np.log((b + 0.25) / max(1, len(clean)))
-    good = np.flatnonzero((a >= 3) & (odds > 4.0))
-    best = keys[good[np.lexsort((keys[good], -odds[good] * np.sqrt(a[good])))][:size]]
+    ratio = 2 * (a * np.log(a / ((a + b) * share)) + b * np.log(np.maximum(b, 1e-9) / ((a + b) * max(1 - share, 1e-9))))
+    good = np.flatnonzero((odds > 2.0) & (ratio > least))
+    best = keys[good[np.lexsort((keys[good], -ratio[good]))][:size]]
     seeds = np.array([hash_of(w) for w in SEEDS], dtype=U64)
     hurt = (_lookup(other, m, seeds) / max(1, len(clean))) > (_lookup(keys, a, seeds) / max(1, len(toxic)))
     return np.unique(np.concatenate((best, seeds[~hurt])))
@@ -115,98 +123,163 @@ def presence(docs: list[np.ndarray], known: np.ndarray) -> np.ndarray:
     return out
 
 
+def hit_words(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: distinct words that are in the lexicon by themselves or by a beginning, and words in all."""
+    low = lower_ascii(data)
+    start, stop, row = words(low, offsets, LETTER)
+    n = len(offsets) - 1
+    if not len(start) or not len(lexicon):
+        return np.zeros(n, dtype=np.int64), np.bincount(row, minlength=n)
+    rolling = Rolling(low)
+    whole = rolling.of(start, stop)
+    hit = _among(lexicon, whole)
+    for k in PREFIXES:
+        long = np.flatnonzero(stop - start > k)
+        hit[long] |= _among(lexicon, rolling.of(start[long], start[long] + k) ^ _BEGIN)
+    at, h = row[hit], whole[hit]
+    order = np.lexsort((h, at))
+    fresh = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (at[order][1:] != at[order][:-1]))) if len(at) else np.zeros(0, dtype=bool)
+    return np.bincount(at[order][fresh], minlength=n), np.bincount(row, minlength=n)
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+
+
+#: Patterns: so many distinct lexicon words, and so many for each hundred words.
+COUNTS = (2, 3, 5)
+DENSE = (0.5, 2.0)
+
+
+def patterns(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Per row and pattern whether it is met: several lexicon words, many of them for the length, one beside a second-person word, one in a shouting text."""
+    many, total = hit_words(data, offsets, lexicon)
+    n = len(offsets) - 1
+    h, row = word_hashes(data, offsets)
+    you = np.bincount(row[_among(_YOU_HASHES, h)], minlength=n) > 0 if len(h) else np.zeros(n, dtype=bool)
+    upto = lambda kind: np.concatenate(([0], np.cumsum(kind)))
+    upper, letter = upto((data >= 65) & (data <= 90)), upto(((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)))
+    shout = (upper[offsets[1:]] - upper[offsets[:-1]]) > 0.3 * np.maximum(1, letter[offsets[1:]] - letter[offsets[:-1]])
+    some = many > 0
+    return np.stack([*(many >= c for c in COUNTS), *(100 * many >= d * np.maximum(total, 1) for d in DENSE), some & you, some & shout], axis=1) & some[:, None]
+
+
 def votes(docs: list[np.ndarray], raw: list[str], lexicon: np.ndarray) -> np.ndarray:
-    """1 toxic, -1 clean, 0 abstains; a column for each voter."""
+    """1 toxic, -1 clean, 0 abstains; a column for each voter: lexicon entries, patterns, and silence of the lexicon."""
     hits = presence(docs, lexicon)
-    many = hits.sum(axis=1)
-    you = presence(docs, np.unique(np.array([hash_of(w) for w in _YOU], dtype=U64))).any(axis=1)
-    shout = np.array([sum(c.isupper() for c in t) > 0.3 * max(1, sum(c.isalpha() for c in t)) for t in raw], dtype=bool)
-    patterns = np.stack((many >= 2, many >= 4, (many > 0) & you, (many > 0) & shout), axis=1).astype(np.int8)
-    return np.concatenate((hits.astype(np.int8), patterns, -(many == 0).astype(np.int8)[:, None]), axis=1)
-
-
-def _together(corr: np.ndarray) -> np.ndarray:
-    """Groups of voters that hang together by correlations above 0.2."""
-    group = np.arange(len(corr))
-    near = corr > 0.2
-    while True:
-        new = np.minimum(group, np.where(near, group[None, :], len(corr)).min(axis=1))
-        new = new[new]
-        if (new == group).all():
-            return group
-        group = new
-
-
-def fit_label_model(vote: np.ndarray, prior: float, known: np.ndarray | None = None, rounds: int = 30) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posterior of "toxic" for each row, and the voters' firing rates by class, correlations and groups.
-
-    Rates per class are the accuracies. Voters that are correlated within the
-    classes beyond what the rates explain form groups, and a group counts once,
-    by its strongest vote, or by the silence of all of its voters. ``known`` has 0 or
-    1 for labelled rows, which hold the rates of the classes in place, else nan.
+    met = np.concatenate([patterns(*_bytes_of(t), lexicon) for t in raw]) if raw else np.zeros((0, len(COUNTS) + len(DENSE) + 2), dtype=bool)
+    return np.concatenate((hits.astype(np.int8), met.astype(np.int8), -(hits.sum(axis=1) == 0).astype(np.int8)[:, None]), axis=1)
+
+
+def _pair_counts(fired: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weight in all, and of the rows where one voter, and where two voters fire."""
+    return float(weight.sum()), weight @ fired, (fired * weight[:, None]).T @ fired
+
+
+def _information(counts: list[tuple[float, np.ndarray, np.ndarray]], pull: float = 2.0) -> np.ndarray:
+    """Information that each two voters have of each other given the class, in nats times rows."""
+    out = np.zeros_like(counts[0][2])
+    for total, one, both in counts:
+        rate = (one + 0.5) / (total + 1.0)
+        for x in (False, True):
+            for y in (False, True):
+                n = both if x and y else one[:, None] - both if x else one[None, :] - both if y else total - one[:, None] - one[None, :] + both
+                alone = np.outer(rate if x else 1 - rate, rate if y else 1 - rate)
+                share = (np.maximum(n, 0) + pull * alone) / (total + pull)
+                out += total * share * np.log(share / alone)
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _forest(gain: np.ndarray, least: float) -> np.ndarray:
+    """The forest of largest gain, from pairs that gain more than ``least``: each voter's parent, or -1."""
+    m = len(gain)
+    parent, best, by, todo = np.full(m, -1), np.full(m, -np.inf), np.full(m, -1), np.ones(m, dtype=bool)
+    for _ in range(m):
+        j = int(np.flatnonzero(todo)[np.argmax(best[todo])])
+        parent[j], todo[j] = by[j] if best[j] > least else -1, False
+        nearer = todo & (gain[j] > best)
+        best[nearer], by[nearer] = gain[j][nearer], j
+    return parent
+
+
+def fit_label_model(vote: np.ndarray, prior: float, known: np.ndarray | None = None, rounds: int = 40, pull: float = 2.0) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Posterior of "toxic" for each row, and the parameters: accuracies and correlations.
+
+    The class draws the votes along a forest over the voters: a voter fires at a
+    rate that depends on the class (its accuracy) and on whether its parent in
+    the forest fired (their correlation within the class). The forest joins the
+    pairs with the most information of each other given the class, as far as
+    that outweighs two more parameters. All are estimated by expectation
+    maximisation; ``pull`` rows draw a correlated rate towards the voter's own.
+    ``known`` has 0 or 1 for labelled rows, which hold the classes in place,
+    else nan.
     """
     sure = ~np.isnan(known) if known is not None else np.zeros(len(vote), dtype=bool)
-    fired = (vote != 0).astype(float)
-    q = np.array([0.05, 0.35, 0.95])[(vote > 0).sum(axis=1).clip(0, 2)]  # start: one vote is a hint, two are a claim
+    fired = (vote != 0).astype(np.float64)
     toward = (vote > 0).any(axis=0)
-    for _ in range(rounds):
+    m = fired.shape[1]
+    q = np.array([0.05, 0.35, 0.95])[(vote > 0).sum(axis=1).clip(0, 2)]  # start: one vote is a hint, two are a claim
+    parent = np.full(m, -1)
+    for step in range(rounds):
         guess, q = q, np.where(sure, np.clip(known, 0.02, 0.98), q) if known is not None else q
-        total = np.array([(1 - q).sum(), q.sum()])
-        rate = np.stack((((1 - q) @ fired + 0.5) / (total[0] + 1.0), (q @ fired + 0.5) / (total[1] + 1.0)))
+        counts = [_pair_counts(fired, 1 - q), _pair_counts(fired, q)]
+        rate = np.stack([(one + 0.5) / (total + 1.0) for total, one, _ in counts])
         # a voter is better than chance in its own direction
         low, high = rate.min(axis=0), rate.max(axis=0)
         rate = np.where(toward, np.stack((low, high)), np.stack((high, low)))
-        left = fired - np.outer(q, rate[1]) - np.outer(1 - q, rate[0])
-        cov = left.T @ left / len(left)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = cov / np.outer(sd, sd) - np.eye(len(sd))
-        group = _together(np.where(np.logical_and.outer(toward, toward), corr, 0))
-        lift = fired * np.log(rate[1] / rate[0])
-        score = np.full(len(q), np.log(prior / (1 - prior))) + lift[:, ~toward].sum(axis=1)
-        for g in np.unique(group[toward]):
-            own = toward & (group == g)
-            spoke = fired[:, own].any(axis=1)
-            silent = np.log((1 - (q @ spoke + 0.5) / (total[1] + 1.0)) / (1 - ((1 - q) @ spoke + 0.5) / (total[0] + 1.0)))
-            score += np.where(spoke, lift[:, own].max(axis=1), min(silent, 0.0))
-        new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        done = np.abs(new - guess).max() < 1e-4
-        q = new
-        if done:
+        if step in (0, 3, 10):
+            parent = _forest(_information(counts), np.log(len(fired)))
+        has, up = parent >= 0, np.maximum(parent, 0)
+        given = np.empty((2, 2, m))  # class, parent fired
+        for c, (total, one, both) in enumerate(counts):
+            joint = both[np.arange(m), up]
+            given[c, 1] = (joint + pull * rate[c]) / (one[up] + pull)
+            given[c, 0] = (one - joint + pull * rate[c]) / (total - one[up] + pull)
+            given[c][:, ~has] = rate[c][~has]
+        given = np.clip(given, 1e-6, 1 - 1e-6)
+        yes, no = np.log(given[1] / given[0]), np.log((1 - given[1]) / (1 - given[0]))
+        led = fired[:, up] * has
+        score = np.log(prior / (1 - prior)) + np.where(led > 0, np.where(fired > 0, yes[1], no[1]), np.where(fired > 0, yes[0], no[0])).sum(axis=1)
+        q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        if step > 10 and np.abs(q - guess).max() < 1e-4:
             break
-    return q, {"rate": rate, "correlation": corr, "group": group}
+    return q, {"rate": rate, "parent": parent, "given": given}
 
 
 class ToxicityModel:
-    """Weights of words (by hash, sorted), of the number of distinct such words, and an offset."""
+    """A lexicon, weights of words (by hash, sorted) and of the patterns of lexicon words, and an offset."""
 
-    def __init__(self, words_: np.ndarray, weights: np.ndarray, offset: float) -> None:
-        self.words, self.weights, self.offset = words_, weights, offset
+    def __init__(self, lexicon: np.ndarray, words_: np.ndarray, weights: np.ndarray, pattern_weights: np.ndarray, offset: float) -> None:
+        self.lexicon, self.words, self.weights, self.pattern_weights, self.offset = lexicon, words_, weights, pattern_weights, offset
 
     @classmethod
     def fit(cls, toxic: list[str], clean: list[str], loose: list[str], prior: float) -> ToxicityModel:
+        kinds = len(COUNTS) + len(DENSE) + 2
         if not toxic and not clean:
             known = np.unique(np.array(list(map(hash_of, SEEDS)), dtype=U64))
-            return cls(known, np.full(len(known), 4.0), -3.0)
+            return cls(known, known, np.full(len(known), 4.0), np.zeros(kinds), -3.0)
         t, c, u = ([doc_features(x) for x in texts] for texts in (toxic, clean, loose))
         lexicon = choose_lexicon(t, c)
         every = [*u, *t, *c]
-        posterior, _ = fit_label_model(votes(every, [*loose, *toxic, *clean], lexicon), min(max(prior, 0.01), 0.99), np.array([np.nan] * len(u) + [1.0] * len(t) + [0.0] * len(c)))
+        vote = votes(every, [*loose, *toxic, *clean], lexicon)
+        posterior, _ = fit_label_model(vote, min(max(prior, 0.01), 0.99), np.array([np.nan] * len(u) + [1.0] * len(t) + [0.0] * len(c)))
         # words that go with the posterior; the lexicon is among them
         keys, a = _counts(every, posterior)
         _, b = _counts(every, 1 - posterior)
         gain = (a / posterior.sum() - b / (1 - posterior).sum()) / np.sqrt((a + b + 1) / len(every))
         good = np.flatnonzero((a + b >= 3) & (gain > 0.05))
         known = np.unique(np.concatenate((lexicon, keys[good[np.lexsort((keys[good], -gain[good]))][:FEATURES]])))
-        x = presence(every, known)
+        x = np.concatenate((presence(every, known), vote[:, len(lexicon) : len(lexicon) + kinds]), axis=1)
         w, b = _logistic(x, posterior)
         y = np.array([1.0] * len(t) + [0.0] * len(c))
         slope, shift = fit_scale(x[len(u) :] @ w + b, y)
         slope = max(slope, 1e-3)
-        return cls(known, w * slope, float(b * slope + shift))
+        return cls(lexicon, known, w[: len(known)] * slope, w[len(known) :] * slope, float(b * slope + shift))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         h, row = word_features(data, offsets)
-        g = np.full(len(offsets) - 1, self.offset)
+        g = self.offset + patterns(data, offsets, self.lexicon) @ self.pattern_weights
         if len(h) and len(self.words):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             hit = self.words[at] == h
@@ -246,7 +319,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id",
     rows = docs.where(learn).select(F.col(text).cast("string").alias("t"))
     picked, prior = labelled_sample(docs, labels, learn, key, text, label, sample)
     loose = bounded_sample(rows.select("t", F.lit(0).alias("g")), "g", "t", sample).get(0, [])
-    return ToxicityModel.fit(picked.get(1, []), picked.get(0, []), loose, 0.1 if prior is None else prior)
+    model = ToxicityModel.fit(picked.get(1, []), picked.get(0, []), loose, 0.1 if prior is None else prior)
+    del picked, loose
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
