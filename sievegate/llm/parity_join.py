@@ -22,12 +22,12 @@ components; the others are verified where their ends are in different
 components by then. So every pair with a part's smallest set is settled.
 
 Parts whose other sets then still belong to several components form families
-(components of what shares a part). A task takes a whole family: pairs across
-components are compared in blocks by a second, longer parity sketch and
-verified where that allows; a pair that is connected by then is passed over. A
-family of more than ``FAMILY`` sets or ``FAMILY_BYTES`` is compared part by part
-instead, a part's sets dealt to blocks of ``PART_BLOCK`` and two blocks to a
-task, and its near pairs are settled as above. Both ways compare every pair of
+(components of what shares a part). A family's sets are dealt to blocks of
+``FAMILY_BLOCK``, and a task compares two blocks: pairs across components by a
+second, longer parity sketch, verified where that allows; a pair that is
+connected by then is passed over. A family of more than ``FAMILY`` sets or
+``FAMILY_BYTES`` is compared part by part instead, a part's sets dealt to blocks
+of ``PART_BLOCK``, and its near pairs are settled as above. Both ways compare every pair of
 sets that share a part and are not connected, so every link that joins two
 components is found, while groups of copies never become pairs. Equal sets are
 one node throughout.
@@ -55,10 +55,11 @@ RATIO = 1.6
 INFO = 2
 #: Bits of the shortest sketches.
 SKETCH_BITS = 512
-#: Sets, and bytes of their shingles, that one task compares with each other; larger families are compared part by part.
+#: Sets, and bytes of their shingles, of families that are compared as a whole; larger ones are compared part by part.
 FAMILY = 20_000
 FAMILY_BYTES = 32 << 20
-#: Sets of a part in one block; a task compares two blocks.
+#: Sets of a family, and of a part, in one block; a task compares two blocks.
+FAMILY_BLOCK = 1024
 PART_BLOCK = 2048
 
 
@@ -326,10 +327,11 @@ def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(x) + len(y) - shared)
 
 
-def family_links(comp: list[int], sets_: list[np.ndarray], num: int, den: int, block: int = 256) -> list[tuple[int, int]]:
-    """Places of sets whose similarity joins components that nothing has joined before."""
+def family_links(comp: list[int], sets_: list[np.ndarray], num: int, den: int, side: list[int] | None = None, block: int = 256) -> list[tuple[int, int]]:
+    """Places of sets whose similarity joins components that nothing has joined before; with ``side`` only sets of unlike sides are compared."""
     order = sorted(range(len(sets_)), key=lambda i: len(sets_[i]))
     n = np.array([len(sets_[i]) for i in order])
+    sides = None if side is None else np.array([side[i] for i in order])
     up: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -355,6 +357,8 @@ def family_links(comp: list[int], sets_: list[np.ndarray], num: int, den: int, b
             rl, rr = roots[i : i + block], roots[j : j + block]
             total = n[i : i + block][:, None] + n[j : j + block][None, :]
             ok = (rl[:, None] != rr[None, :]) & (n[i : i + block][:, None] * den >= num * n[j : j + block][None, :])
+            if sides is not None:
+                ok &= sides[i : i + block][:, None] != sides[j : j + block][None, :]
             if i == j:
                 ok &= np.triu(np.ones_like(ok), 1)
             if not ok.any():
@@ -374,20 +378,21 @@ def family_links(comp: list[int], sets_: list[np.ndarray], num: int, den: int, b
 
 
 def _families(num: int, den: int):
-    """From rows (family, comp, shingles) sorted by family: links between components."""
+    """From rows (family, p, q, side, comp, shingles) sorted by family, p, q: links between components, of sets of unlike sides where p and q differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, comp, held = None, [], []
+        now, side, comp, held = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            links = family_links(comp, held, num, den) if held else []
+            links = family_links(comp, held, num, den, side if now[1] != now[2] else None) if held else []
             return _pairs(("a", np.array([comp[x] for x, _ in links], dtype=np.int64)), ("b", np.array([comp[y] for _, y in links], dtype=np.int64)))
 
         for batch in batches:
-            for f, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if f != now:
+            for f, p, q, which, c, s in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (f, p, q) != now:
                     yield done()
-                    now, comp, held = f, [], []
+                    now, side, comp, held = (f, p, q), [], [], []
+                side.append(which)
                 comp.append(c)
                 held.append(np.frombuffer(s, dtype=U64))
         yield done()
@@ -442,7 +447,7 @@ def _near(num: int, den: int, block: int = 512):
 # ---------------------------------------------------------------- the operator
 
 
-def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_: int = 5, num: int = 80, den: int = 100, family_size: int = FAMILY, family_bytes: int = FAMILY_BYTES, part_block: int = PART_BLOCK) -> DataFrame:
+def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_: int = 5, num: int = 80, den: int = 100, family_size: int = FAMILY, family_bytes: int = FAMILY_BYTES, family_block: int = FAMILY_BLOCK, part_block: int = PART_BLOCK) -> DataFrame:
     """Per row of ``docs``: key, n_shingles and component_id, where documents link at Jaccard >= num / den.
 
     ``key`` is an integer column. component_id is the smallest key that links
@@ -516,18 +521,21 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words_:
         family = connected_components(still.select("a", "b"), store, "family")
         placed = still.select(F.col("b").alias("node"), "comp").distinct().join(family, "node", "left").select("node", "comp", F.coalesce("component", "node").alias("family"))
         placed = store.put("placed", placed.join(sizes.select("node", "n"), "node"))
+        def block_pairs(members: DataFrame, group: str, size: int) -> DataFrame:
+            """Each member of a group of ``many`` in every pair of blocks that has its own block, with the side it takes there."""
+            out = members.withColumn("blocks", F.ceil(F.col("many") / size).cast("int"))
+            out = out.withColumn("mine", F.pmod(F.xxhash64("node", group), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            return out.select(group, F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "node", "comp")
+
         weight = placed.groupBy("family").agg(F.count("*").alias("many"), F.sum("n").alias("total"), F.countDistinct("comp").alias("comps")).where("comps > 1")
-        weight = store.put("weight", weight.select("family", ((F.col("many") > family_size) | (F.col("total") * 8 > family_bytes)).alias("large")))
-        small = placed.join(weight.where("not large"), "family").join(sets, "node").select("family", "comp", "shingles")
-        links = small.repartition(2 * n_parts, "family").sortWithinPartitions("family").mapInArrow(_families(num, den), "a long, b long")
+        weight = store.put("weight", weight.select("family", "many", ((F.col("many") > family_size) | (F.col("total") * 8 > family_bytes)).alias("large")))
+        small = block_pairs(placed.join(weight.where("not large"), "family"), "family", family_block).join(sets, "node").select("family", "p", "q", "side", "comp", "shingles")
+        links = small.repartition(2 * n_parts, "family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(_families(num, den), "a long, b long")
         now = joined(comps, store.put("links", links), "small")
-        large = placed.join(weight.where("large"), "family").select(F.col("node").alias("b"))
+        large = placed.join(weight.where("large"), "family").select("node")
         if not large.isEmpty():
-            # part by part, each part's sets dealt to blocks, and each two blocks to a task
-            blocks = still.join(large, "b", "left_semi").withColumn("blocks", F.ceil(F.col("many") / part_block).cast("int"))
-            mine = F.pmod(F.xxhash64("b", "key"), F.col("blocks")).cast("int")
-            pairs = blocks.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            pairs = pairs.select("key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).cast("int").alias("side"), F.col("b").alias("node"), "comp")
+            # part by part
+            pairs = block_pairs(still.withColumnRenamed("b", "node").join(large, "node", "left_semi"), "key", part_block)
             pairs = pairs.join(sizes, "node").select("key", "p", "q", "side", "node", "comp", "n", "sketch")
             near = pairs.repartition(n_parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_near(num, den), "a long, b long").distinct()
             now = settled(store.put("near", allowed(near)), now, "part")

@@ -101,8 +101,8 @@ def test_middle_text_joins_two(spark):
         items += three
     rng.shuffle(items)
     df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
-    for size, block in ((20_000, 2048), (2, 2)):
-        got = ngram_join(df, words_=4, num=85, family_size=size, part_block=block).collect()
+    for size, block in ((20_000, 2048), (20_000, 2), (2, 2)):
+        got = ngram_join(df, words_=4, num=85, family_size=size, family_block=block, part_block=block).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
@@ -142,3 +142,10 @@ def test_components(spark):
     rows = got.collect()
     assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
     assert connected_components(spark.createDataFrame([], "a long, b long"), Store(spark, "t"), "cc").count() == 0
+
+
+def test_blocks_of_families(spark):
+    items = corpus(10)
+    df = spark.createDataFrame(items, "doc_id long, text string").repartition(3)
+    got = ngram_join(df, words_=3, num=75, family_block=5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_force(items, 3, 75, 100)
