@@ -41,10 +41,10 @@ from .texts import Rolling, U64, byte_view, chunks, sliding_argmin, tidied
 LENGTH = 400
 GRAM = 160
 #: Distinct contexts under one key that one task compares; keys with more are dealt anew.
-WIDE = 20_000
+WIDE = 5_000
 #: Bytes of contexts that get one suffix array, and bytes from which a family ends with its key.
-BATCH = 2 << 20
-FAMILY = 16 << 20
+BATCH = 1 << 20
+FAMILY = 4 << 20
 
 
 # ---------------------------------------------------------------- suffix arrays
