@@ -88,7 +88,7 @@ def schema_valid(response: Column, content_type: Column, required: list[str]) ->
     return F.when(content_type == "json", F.coalesce(json_ok, F.lit(False))).otherwise(F.lit(not required))
 
 
-def gate_verdict(own: Column, own_rank: Column, taint: Column, score: Column, valid: Column, threshold: float = 0.65, mode: str = "monitor", resource_policy: str = "scan") -> Column:
+def gate_verdict(own: Column, own_rank: Column, taint: Column, score: Column, valid: Column, threshold: float | Column = 0.65, mode: str = "monitor", resource_policy: str = "scan") -> Column:
     """Verdict of a response: earlier severity raises an allow only; score and schema come after and replace what stood."""
     effective = F.greatest(own_rank, taint)
     hard = "deny" if mode != "monitor" else "flag"
@@ -127,6 +127,35 @@ def modality_rank(text: Column, modality: str) -> Column:
     return F.greatest(F.lit(0), F.lit(0), *[F.when(F.contains(low, F.lit(n)), r).otherwise(0) for n, r in MODALITY[modality].items()])
 
 
+def modality_findings(text: Column, modality: str, text_rank: Column) -> Column:
+    """(detail, rank) of each phrase of a modality, at least as severe as the text itself, and one more where the text speaks of both text and image."""
+    low = ascii_lower(text)
+    hits = [F.when(F.contains(low, F.lit(n)), F.struct(F.lit(f"detected {n}").alias("detail"), F.greatest(F.lit(r), text_rank).alias("rank"))) for n, r in MODALITY[modality].items()]
+    found = F.array_compact(F.array(*hits))
+    if modality == "audio":
+        high = lambda k: F.struct(F.concat(F.lit("non-empty "), k).alias("detail"), F.lit(3).alias("rank"))
+        found = F.concat(found, F.transform(audio_findings(text), high))
+    crossing = F.array(F.struct(F.lit("cross-modal payload appears coherent across modalities").alias("detail"), F.lit(2).alias("rank")))
+    return F.when((F.size(found) > 0) & F.contains(low, F.lit("text")) & F.contains(low, F.lit("image")), F.concat(found, crossing)).otherwise(found)
+
+
+def instruction_signal(verdict: Column, reasons: Column, max_rank: Column) -> Column:
+    """Whether a scanned text reads as an instruction: flagged for one of three reasons, or denied for something severe."""
+    told = F.arrays_overlap(reasons, F.array(F.lit("InjectionPattern"), F.lit("Smuggling"), F.lit("CrossModalSmuggling")))
+    return F.when(verdict == "flag", told).otherwise((verdict == "deny") & (max_rank >= 3))
+
+
+def correlations(inputs: DataFrame, bundle: str) -> DataFrame:
+    """Per bundle: correlations with the text channel, one for each video or document and one more where it is of medium severity at least. ``inputs`` has modality and rank."""
+    carries = F.col("modality").isin("video", "document")
+    return inputs.groupBy(bundle).agg((F.count_if(carries) + F.count_if(carries & (F.col("rank") >= 2))).alias("correlations"))
+
+
+def channel_inputs(channels: DataFrame) -> DataFrame:
+    """Perceived channels (source_id, kind, modality, content) as inputs of an audit: derived, untrusted, with their lineage."""
+    return channels.select("modality", "content", F.lit("mcp_tool").alias("provenance"), F.concat_ws(":", "source_id", "kind").alias("source_id"), F.col("source_id").alias("derived_from"))
+
+
 def modality_verdict(rank: Column, any_finding: Column) -> Column:
     return F.when(rank >= 4, "deny").when((rank >= 3) | any_finding, "flag").otherwise("allow")
 

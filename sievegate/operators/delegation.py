@@ -95,6 +95,55 @@ def root_lease_id(message: Column) -> Column:
     return F.concat(F.lit("lease_root_"), F.substring(F.sha2(message, 384), 1, 16))
 
 
+def capability_json(text: Column) -> Column:
+    """The compact JSON of a capability."""
+    c = capability(text)
+    field = F.when(c["kind"].isin("read", "write"), "path").when(c["kind"] == "execute", "command").when(c["kind"] == "network", "host").when(c["kind"] == "tool", "name").otherwise("action")
+    quoted = F.regexp_replace(F.regexp_replace(c["target"], r"\\", r"\\\\"), '"', r'\\"')
+    return F.concat(F.lit('{"kind":"'), c["kind"], F.lit('","'), field, F.lit('":"'), quoted, F.lit('"}'))
+
+
+def root_lease(requests: DataFrame, now: Column, validity: Column) -> DataFrame:
+    """Root leases for (principal, delegatee, representation_digest, capabilities, ceiling, max_depth)."""
+    expires = now + validity
+    seed = F.concat_ws("|", F.lit("root"), "principal", "delegatee", "representation_digest", now.cast("string"), expires.cast("string"))
+    return requests.withColumns({"lease_id": root_lease_id(seed), "parent_id": F.lit(None).cast("string"), "depth": F.lit(0), "issued": now, "expires": expires})
+
+
+def delegate(requests: DataFrame, now: Column) -> DataFrame:
+    """Child leases. ``requests`` has the parent's fields as p_* (lease_id, delegatee, depth, max_depth, capabilities, ceiling, representation_digest, issued, expires) and delegatee, capabilities, ceiling, representation_digest, validity of the request.
+
+    ``error`` is the first check that fails, and the lease is null then.
+    """
+    c = F.col
+    depth = c("p_depth") + 1
+    error = (
+        F.when(now > c("p_expires"), "expired")
+        .when(now < c("p_issued"), "premature")
+        .when(depth > c("p_max_depth"), "too_deep")
+        .when(F.trim("representation_digest") == "", "empty_digest")
+        .when(F.size(violators(c("capabilities"), c("p_capabilities"))) > 0, "not_attenuated")
+        .when(c("ceiling") > c("p_ceiling"), "ceiling_raised")
+    )
+    expires = F.least(now + c("validity"), c("p_expires"))
+    seed = F.concat_ws("|", F.lit("child"), "p_lease_id", "delegatee", "representation_digest", now.cast("string"), expires.cast("string"))
+    lease = F.struct(
+        F.concat(F.lit("lease_d"), depth.cast("string"), F.lit("_"), F.substring(F.sha2(seed, 384), 1, 16)).alias("lease_id"), c("p_lease_id").alias("parent_id"), c("p_delegatee").alias("principal"), c("delegatee"), depth.alias("depth"),
+        c("p_max_depth").alias("max_depth"), F.array_sort("capabilities").alias("capabilities"), c("ceiling"), c("representation_digest"), now.alias("issued"), expires.alias("expires"),
+    )
+    return requests.withColumns({"error": error, "lease": F.when(error.isNull(), lease)})
+
+
+def envelope_error(status: Column, lease_digest: Column, receipt_digest: Column, signature_ok: Column | None = None) -> Column:
+    """First error of an envelope: that of its lease (from ``lease_status``), a receipt for another text, a signature that does not hold; null if none."""
+    out = F.when(status != "valid", status).when(~lease_digest.eqNullSafe(receipt_digest), "representation_mismatch")
+    return out if signature_ok is None else out.when(~F.coalesce(signature_ok, F.lit(False)), "bad_signature")
+
+
+def envelope_message(envelope_id: Column, lease_id: Column, receipt: Column, payload: Column, kind: str = "envelope-v1") -> Column:
+    return F.concat(lease_message({"id": envelope_id, "lease": lease_id, "receipt": receipt}, kind), F.lit("|payload_digest="), F.sha2(payload, 384), F.lit("|payload_len="), F.octet_length(payload).cast("string"))
+
+
 def merkle_root(leaf: Column, index: Column, size: Column, path: Column) -> Column:
     """Root that an inclusion path (array of hex hashes) leads to, after RFC 6962; null if the path has a wrong length."""
     node = lambda a, b: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(a), F.unhex(b)), 256)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,16 +47,24 @@ def injection(text: Column) -> Column:
     low = F.lower(text)
 
     def hits(needle: str, r: int) -> Column:
-        return F.transform(literal_starts(low, needle), lambda s: finding(s, s + len(needle.encode()), r, "injection_grammar", 0.88, F.lit(needle)))
+        size = len(needle.encode())
+        as_it_stands = lambda s: F.substring(text.cast("binary"), (s + 1).cast("int"), F.lit(size)).cast("string")
+        return F.transform(literal_starts(low, needle), lambda s: finding(s, s + size, r, "injection_grammar", 0.88, as_it_stands(s)))
 
     found = [hits(n, r) for r, needles in ((3, HIGH_NEEDLES), (2, MEDIUM_NEEDLES)) for n in needles]
     any_ = low.rlike("|".join(re.escape(n) for n in HIGH_NEEDLES + MEDIUM_NEEDLES))
     return F.when(any_, F.concat(*found)).otherwise(_none())
 
 
+def code_point(char: Column) -> Column:
+    """Four hex digits at least."""
+    digits_ = F.hex(F.ascii(char))
+    return F.when(F.length(digits_) < 4, F.lpad(digits_, 4, "0")).otherwise(digits_)
+
+
 def unicode_control(text: Column, action: str = "flag") -> Column:
     r = {"allow": 1, "strip": 1, "flag": 2, "deny": 4}[action]
-    return F.transform(regex_hits(text, f"[{INVISIBLE}]"), lambda h: finding(h.start, h.end, r, "unicode_control", 0.92, F.lit("unicode control")))
+    return F.transform(regex_hits(text, f"[{INVISIBLE}]"), lambda h: finding(h.start, h.end, r, "unicode_control", 0.92, F.concat(F.lit("unicode control U+"), code_point(h.text))))
 
 
 def confusable(text: Column, action: str = "flag") -> Column:
@@ -101,9 +111,11 @@ def custom(text: Column, patterns: tuple[str, ...]) -> Column:
     """Own patterns; those that do not compile are passed over."""
 
     def valid(pattern: str) -> bool:
+        # both the engine that runs it and the one that reads it elsewhere must know the pattern
         try:
             re.compile(pattern)
-        except re.error:
+            SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (re.error, Py4JJavaError):
             return False
         return True
 

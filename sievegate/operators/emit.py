@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
 from ..functions.severity import name_of
 from ..policy import Policy
-from .detectors import native_findings
+from .bank import report_column
 
 #: Detector -> techniques and mitigations.
 TECHNIQUES = {
@@ -34,9 +35,30 @@ TECHNIQUES = {
     "terminal_escape": ["AML.T0068", "T1059"],
     "schema_violation": [],
 }
-_BOTH = ["AML.M0015", "AML.M0020"]
-MITIGATIONS = {d: ["AML.M0015"] for d in TECHNIQUES} | {d: _BOTH for d in TECHNIQUES if d.startswith("dlp_") or d in ("injection_grammar", "perplexity_anomaly", "terminal_escape")}
-MITIGATIONS |= {"cross_modal": ["AML.M0009", *_BOTH], "fingerprint_mismatch": ["AML.M0014"], "consistency_shift": ["AML.M0014"], "slow_rate_injection": ["AML.M0015", "AML.M0024"], "schema_violation": []}
+MITIGATIONS = {
+    "injection_grammar": ["AML.M0015", "AML.M0020"],
+    "unicode_control": ["AML.M0015"],
+    "confusable": ["AML.M0015"],
+    "token_smuggling": ["AML.M0015"],
+    "merge_boundary": ["AML.M0015"],
+    "rare_pattern": ["AML.M0015"],
+    "entropy_spike": ["AML.M0015"],
+    "encoded_payload": ["AML.M0015"],
+    "dlp_credit_card": ["AML.M0015", "AML.M0020"],
+    "dlp_ssn": ["AML.M0015", "AML.M0020"],
+    "dlp_api_key": ["AML.M0015", "AML.M0020"],
+    "dlp_email": ["AML.M0015", "AML.M0020"],
+    "dlp_custom": ["AML.M0015", "AML.M0020"],
+    "cross_modal": ["AML.M0009", "AML.M0015", "AML.M0020"],
+    "subliminal_audio": ["AML.M0015"],
+    "audio_steganography": ["AML.M0015"],
+    "fingerprint_mismatch": ["AML.M0014"],
+    "consistency_shift": ["AML.M0014"],
+    "slow_rate_injection": ["AML.M0015", "AML.M0024"],
+    "perplexity_anomaly": ["AML.M0015", "AML.M0020"],
+    "terminal_escape": ["AML.M0015", "AML.M0020"],
+    "schema_violation": [],
+}
 
 
 def max_rank(findings: Column) -> Column:
@@ -121,27 +143,72 @@ def attestation(subject: Column, digest: Column, predicate_type: str, predicate:
     return statement, pae
 
 
-def techniques(findings: Column, table: dict[str, list[str]] = TECHNIQUES) -> Column:
-    """Sorted distinct ids of all detectors that fired."""
+def techniques(findings: Column, table: dict[str, list[str]] = TECHNIQUES, rare: Column | None = None) -> Column:
+    """Sorted distinct ids of all detectors that fired; what was found in decoded text counts for encoded payloads too, and ``rare`` n-grams for theirs."""
     of = F.create_map(*[x for d, ids in table.items() for x in (F.lit(d), F.array(*map(F.lit, ids)).cast("array<string>"))])
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(findings, lambda f: F.coalesce(F.element_at(of, f.detector), F.array().cast("array<string>"))))))
+    none = F.array().cast("array<string>")
+    ids = F.flatten(F.transform(findings, lambda f: F.coalesce(F.element_at(of, f.detector), none)))
+    ids = F.concat(ids, F.when(F.exists(findings, lambda f: F.startswith(f.evidence, F.lit("decoded("))), F.element_at(of, F.lit("encoded_payload"))).otherwise(none))
+    if rare is not None:
+        ids = F.concat(ids, F.when(rare > 0, F.element_at(of, F.lit("rare_pattern"))).otherwise(none))
+    return F.array_sort(F.array_distinct(ids))
+
+
+def mitigations(findings: Column, rare: Column | None = None) -> Column:
+    return techniques(findings, MITIGATIONS, rare)
 
 
 def exit_code(verdict_: Column, fail_on: str = "deny") -> Column:
     return F.when((verdict_ == "deny") & F.lit(fail_on in ("deny", "flag")), 2).when((verdict_ == "flag") & F.lit(fail_on == "flag"), 1).otherwise(0)
 
 
-def scan(df: DataFrame, policy: Policy | None = None, text: str = "text") -> DataFrame:
-    """``df`` with status, findings, max_rank, threat_count, injection_score, verdict and reasons.
+def rank_in_mode(findings: Column, mode: str, rare: Column | None = None) -> Column:
+    """Highest severity if the scan ran in ``mode``, on which the severity of reserved tokens depends."""
+    firewall = {"monitor": 2, "enforce": 3, "strict": 4}[mode]
+    top = F.array_max(F.transform(findings, lambda f: F.when((f.detector == "token_smuggling") & (f.confidence == 0.96), firewall).otherwise(f.rank)))
+    return F.greatest(F.coalesce(top, F.lit(0)), F.when(rare > 0, 1).otherwise(0) if rare is not None else F.lit(0))
+
+
+def absorb(df: DataFrame, more: Column, findings: str = "findings") -> DataFrame:
+    """Findings of the merge stage appended to those of a scan: severity and number follow, the injection score stays."""
+    all_ = F.concat(F.col(findings), more)
+    return df.withColumns({findings: all_, "max_rank": F.greatest(F.col("max_rank"), max_rank(more)), "threat_count": F.col("threat_count") + threat_count(more)})
+
+
+def scan(df: DataFrame, policy: Policy | None = None, text: str = "text", spans: bool = False) -> DataFrame:
+    """``df`` with status, findings, rare, entropy, max_rank, threat_count, injection_score, verdict and reasons, by all detectors of the policy.
 
     Texts above the size gate have the status ``input_too_large`` and no
-    findings; a null text is empty. One projection, no shuffle.
+    findings; a null text is empty. One Arrow pass over the text column, no
+    shuffle. Rare n-grams count in all results; they are among the findings with
+    ``spans`` only (hundreds for an ordinary text), else ``rare`` has their
+    number and highest confidence.
     """
     policy = policy or Policy()
     body = F.coalesce(F.col(text), F.lit(""))
     ok = F.octet_length(body) <= policy.intake.max_input_bytes
     out = df.withColumn("status", F.when(ok, "ok").otherwise("input_too_large"))
-    out = out.withColumn("findings", native_findings(F.when(ok, body).otherwise(F.lit("")), policy))
-    f = F.col("findings")
-    out = out.withColumns({"max_rank": max_rank(f), "threat_count": threat_count(f), "injection_score": injection_score(f)})
-    return out.withColumns({"verdict": verdict(F.col("max_rank"), policy.mode), "reasons": flag_reasons(f)})
+    report = free_name(df, "_report")
+    out = out.withColumn(report, report_column(F.when(ok, body).otherwise(F.lit("")), policy, spans))
+    r = F.col(report)
+    out = out.withColumns({
+        "findings": r["findings"],
+        "rare": F.struct(r["rare"].alias("count"), F.round(r["rare_confidence"], 6).alias("confidence")),
+        "entropy": F.struct(F.lit(policy.scan.entropy_window).alias("window"), *[r[c].alias(c) for c in ("baseline", "average", "peak")], r["anomalies"].alias("anomalies")),
+        "injection_score": F.round(r["score"], 6),
+    })
+    f, many = F.col("findings"), F.lit(0).cast("long") if spans else F.col("rare")["count"]
+    out = out.withColumns({"max_rank": F.greatest(max_rank(f), F.when(many > 0, 1).otherwise(0)), "threat_count": threat_count(f) + many})
+    reasons = flag_reasons(f, F.col("entropy")["anomalies"])
+    reasons = F.when((F.size(reasons) == 0) & (F.col("threat_count") > 0), F.array(F.lit("UnicodeAbuse"))).otherwise(reasons)
+    return out.withColumns({"verdict": verdict(F.col("max_rank"), policy.mode), "reasons": reasons}).drop(report)
+
+
+def assessed(df: DataFrame, policy: Policy | None = None, key: str = "doc_id", as_of_ms: int = 0) -> DataFrame:
+    """The evidence of scanned rows: those with a verdict other than allow, or all in the mode ``always``; the first findings and a summary of bounded length."""
+    policy = policy or Policy()
+    rows = df if policy.emit.evidence_mode == "always" else df.where("verdict <> 'allow'")
+    kept = F.slice("findings", 1, policy.emit.max_evidence_findings)
+    text = summary(F.col("verdict"), F.col("findings"), policy.emit.max_evidence_findings, policy.emit.max_summary_chars)
+    rows = rows.withColumns({"summary": text, "kept": kept, "truncated": F.size("findings") > policy.emit.max_evidence_findings})
+    return rows.select(key, "verdict", F.col("kept").alias("findings"), "truncated", "summary", evidence_id(F.col("summary"), F.lit(0), F.lit(as_of_ms)).alias("evidence_id"), F.lit(as_of_ms).cast("long").alias("timestamp_unix_ms"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,60 @@ def grams(text: Column, n: int = 4) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
+class Grams(NamedTuple):
+    """n-grams of one text: place of the first, how often, and share of all."""
+
+    first: np.ndarray
+    count: np.ndarray
+    share: np.ndarray
+    total: int
+
+
+def rare_of(text: str, n: int = 4, threshold: float = 0.02) -> Grams:
+    """The n-grams below ``threshold`` of a text, by sorted codes; a text shorter than n has none."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    total = max(0, len(chars) - n + 1)
+    if not total:
+        return Grams(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), 0)
+    letters, ids = np.unique(chars, return_inverse=True)
+    ids, code, size = ids.astype(np.int64), np.zeros(total, dtype=np.int64), 1
+    for i in range(n):
+        if size * len(letters) >= 1 << 62:  # too many for one number: name what there is so far
+            _, code = np.unique(code, return_inverse=True)
+            size = int(code.max()) + 1
+        code, size = code * len(letters) + ids[i : i + total], size * len(letters)
+    _, first, count = np.unique(code, return_index=True, return_counts=True)
+    rare = count / total < threshold
+    return Grams(first[rare], count[rare], count[rare] / total, total)
+
+
 def rare_grams(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, threshold: float = 0.02) -> DataFrame:
-    """(key, gram, n, total, first) of the n-grams below ``threshold`` of their text."""
-    rows = df.select(key, F.greatest(F.char_length(text) - (n - 1), F.lit(0)).alias("total"), F.posexplode(grams(F.col(text), n)).alias("pos", "gram"))
-    counts = rows.groupBy(key, "total", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    return counts.where(F.col("n") / F.col("total") < threshold)
+    """(key, gram, n, total, first) of the n-grams below ``threshold`` of their text, each counted within its row, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                found = rare_of(t or "", n, threshold)
+                many = len(found.first)
+                if many:
+                    keys = batch.column(0).take(pa.array(np.full(many, r)))
+                    names = pa.array([t[a : a + n] for a in found.first.tolist()], type=pa.string())
+                    yield pa.RecordBatch.from_arrays([keys, names, pa.array(found.count), pa.array(np.full(many, found.total), type=pa.int32()), pa.array(found.first.astype(np.int32))], names=[key, "gram", "n", "total", "first"])
+
+    return df.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, gram string, n long, total int, first int")
 
 
 def rare_stats(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, threshold: float = 0.02) -> DataFrame:
-    found = rare_grams(df, key, text, n, threshold)
-    return found.groupBy(key).agg(F.count("*").alias("rare"), F.round(1 - F.min(F.col("n") / F.col("total")), 6).alias("confidence"))
+    """(key, rare, confidence) of the rows with rare n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rare_of(t or "", n, threshold).share for t in batch.column(1).to_pylist()]
+            some = pa.array([len(x) > 0 for x in found], type=pa.bool_())
+            best = pa.array([round(1 - float(x.min()), 6) if len(x) else None for x in found], type=pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], type=pa.int64()), best], names=[key, "rare", "confidence"]).filter(some)
+
+    return df.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, rare long, confidence double")
 
 
 def slow_rate(history: DataFrame, key: str, now: Column, window_s: int = 3600, most: int = 10) -> DataFrame:
@@ -60,11 +105,16 @@ def entropy_profile(raw: bytes, window: int = 64, deviation: float = 3.0) -> tup
     base = float(-(p * np.log2(p)).sum())
     if n <= window:
         return base, base, base, 0, []
-    h = np.full(n - window + 1, np.log2(window))
-    table = np.array([0.0, *(c * np.log2(c) for c in range(1, window + 1))])
-    for b in np.unique(data):
-        run = np.concatenate(([0], np.cumsum(data == b)))
-        h -= table[run[window:] - run[:-window]] / window
+    # a byte that enters or leaves changes the sum of c * log2(c) by what its own count tells
+    order = np.argsort(data, kind="stable")
+    place = data[order].astype(np.int64) * (n + window + 1) + order
+    step = np.array([0.0, *(c * np.log2(c) - (c - 1) * np.log2(max(c - 1, 1)) for c in range(1, window + 1))])
+    before, after = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    before[order] = np.arange(n) - np.searchsorted(place, place - window + 1)  # equal bytes among the window - 1 before
+    after[order] = np.searchsorted(place, place + window, side="left") - np.arange(n)  # among itself and the window - 1 after
+    total = np.cumsum(step[before + 1])[window - 1 :]
+    total[1:] -= np.cumsum(step[after[: n - window]])
+    h = np.log2(window) - total / window
     odd = np.flatnonzero(np.abs(h - base) >= deviation)
     return base, float(h.mean()), float(max(h.max(), base)), len(odd), [(int(i), float(h[i])) for i in odd]
 

@@ -14,56 +14,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.textmap import INVISIBLE_CLASS
 from .detectors import CONFUSABLES, HIGH_NEEDLES, MEDIUM_NEEDLES
 
 #: Where encoded text may hide; the group that holds it is the last one.
 SPANS = [
     ("comment", r"(<!--[\s\S]*?-->)"),
     ("link-target", r"\]\(\s*([^)\s]{4,})\s*\)"),
-    ("css-hidden", r"(?i)<[a-z][^>]*style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0|font-size\s*:\s*0)[^\"']*[\"'][^>]*>([^<]{4,})"),
-    ("html-hidden", r"(?i)<[a-z][^>]*\shidden(?:\s[^>]*)?>([^<]{4,})"),
+    ("css-hidden", r'<[a-zA-Z][a-zA-Z0-9]*[^>]*style\s*=\s*"[^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0|font-size\s*:\s*0)[^"]*"[^>]*>\s*([^<]{4,})'),
+    ("html-hidden", r"<[a-zA-Z][a-zA-Z0-9]*[^>]*\shidden(?:\s[^>]*)?>\s*([^<]{4,})"),
     ("percent", r"((?:%[0-9A-Fa-f]{2}){4,})"),
-    ("hex-escape", r"((?:\\x[0-9A-Fa-f]{2}){4,})"),
+    ("hex-esc", r"((?:\\x[0-9A-Fa-f]{2}){4,})"),
     ("entity", r"((?:&#x?[0-9A-Fa-f]{1,6};){3,})"),
     ("base64", r"([A-Za-z0-9+/=_-]{20,})"),
 ]
 _COMPILED = [(name, re.compile(p)) for name, p in SPANS]
 #: Java pattern of any of them, so that most rows never reach Python.
 ANY_SPAN = r"<!--|\]\(|style\s*=|\shidden|(?:%[0-9A-Fa-f]{2}){4}|(?:\\x[0-9A-Fa-f]{2}){4}|(?:&#x?[0-9A-Fa-f]{1,6};){3}|[A-Za-z0-9+/=_-]{20}"
-_INVISIBLE = re.compile("[­᠎​-‍⁠-⁤﻿‪-‮⁦-⁩￹-￻\U000e0000-\U000e007f]")
+_GATE = re.compile(ANY_SPAN)
+_INVISIBLE = re.compile(f"[{INVISIBLE_CLASS}]")
 MAX_SPANS, MAX_DECODED, MAX_DEPTH = 64, 32 << 10, 2
 
 Hit = tuple[int, int, int, str, float, str]  # start, end (characters), rank, detector, confidence, evidence
 
 
-def _decode(label: str, s: str) -> list[str]:
-    if label == "percent":
-        return [bytes.fromhex(s.replace("%", "")).decode("utf-8", "replace")]
-    if label == "hex-escape":
-        return [bytes.fromhex(s.replace("\\x", "")).decode("utf-8", "replace")]
-    if label == "entity":
+def _base64(s: str) -> tuple[str, bytes] | None:
+    """The first of four alphabets that gives back the text itself when its bytes are encoded again."""
+    for label, alphabet, padded in (("base64", b"+/", True), ("base64url", b"-_", True), ("base64-nopad", b"+/", False), ("base64url-nopad", b"-_", False)):
         try:
-            return ["".join(chr(int(x[1:], 16) if x[0] in "xX" else int(x)) for x in re.findall(r"&#(x?[0-9A-Fa-f]{1,6});", s))]
-        except (ValueError, OverflowError):
-            return []
-    if label == "comment":
-        return [s[4:-3]]
-    if label == "base64":
-        out = []
-        for alt in (None, b"-_"):
-            for fill in ("", "=" * (-len(s) % 4)):
-                try:
-                    raw = base64.b64decode((s + fill).encode(), altchars=alt, validate=True)
-                except (binascii.Error, ValueError):
-                    continue
-                out.append(raw.decode("utf-8", "replace"))
-                break
-            if out:
-                break
+            raw = base64.b64decode(s if padded else s + "=" * (-len(s) % 4), altchars=alphabet, validate=True)
+        except (binascii.Error, ValueError):
+            continue
+        again = base64.b64encode(raw, altchars=alphabet).decode()
+        if s == (again if padded else again.rstrip("=")):
+            return label, raw
+    return None
+
+
+def _entities(s: str) -> str | None:
+    out = []
+    for x in re.findall(r"&#(x?)([0-9A-Fa-f]{1,6});", s):
+        try:
+            code = int(x[1], 16 if x[0] else 10)
+        except ValueError:
+            return None
+        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+            return None
+        out.append(chr(code))
+    return "".join(out)
+
+
+def _decode(scheme: str, s: str) -> list[tuple[str, str]]:
+    """(label, plain text) of each way to read a span, in the order they are tried."""
+    if scheme == "percent":
+        return [(scheme, bytes.fromhex(s.replace("%", "")).decode("utf-8", "replace"))]
+    if scheme == "hex-esc":
+        return [(scheme, bytes.fromhex(s.replace("\\x", "")).decode("utf-8", "replace"))]
+    if scheme == "entity":
+        plain = _entities(s)
+        return [] if plain is None else [(scheme, plain)]
+    if scheme == "comment":
+        return [(scheme, s[4:-3])]
+    if scheme == "base64":
+        found = _base64(s)
+        out = [(found[0], found[1].decode("utf-8", "replace"))] if found else []
         if re.fullmatch(r"(?:[0-9A-Fa-f]{2})+", s):
-            out.append(bytes.fromhex(s).decode("utf-8", "replace"))
+            out.append(("hex", bytes.fromhex(s).decode("utf-8", "replace")))
         return out
-    return [s]
+    return [(scheme, s)]
 
 
 def _printable(s: str) -> bool:
@@ -71,41 +89,41 @@ def _printable(s: str) -> bool:
     return bool(s) and good / len(s) >= 0.6
 
 
-def _plain_hits(s: str) -> list[tuple[int, str, float, str]]:
+def _plain_hits(s: str, invisible: int, confusable: int) -> list[tuple[int, str, float, str]]:
     low = s.lower()
     out = [(r, "injection_grammar", 0.88, n) for r, ns in ((3, HIGH_NEEDLES), (2, MEDIUM_NEEDLES)) for n in ns for _ in range(low.count(n))]
-    out += [(2, "unicode_control", 0.92, f"unicode control U+{ord(c):04X}") for c in _INVISIBLE.findall(s)]
+    out += [(invisible, "unicode_control", 0.92, f"unicode control U+{ord(c):04X}") for c in _INVISIBLE.findall(s)]
     if any(c in CONFUSABLES for c in s) and re.search("[A-Za-z]", s):
-        out.append((2, "confusable", 0.86, "mixed-script confusables"))
+        out.append((confusable, "confusable", 0.86, "mixed-script confusables"))
     return out
 
 
-def encoded_hits(text: str, depth: int = 1) -> list[Hit]:
-    """Findings in text hidden by an encoding, at most two encodings deep; ranges are those of the outer span."""
+def encoded_hits(text: str, depth: int = 0, invisible: int = 2, confusable: int = 2) -> list[Hit]:
+    """Findings in text hidden by an encoding, at most two encodings deep; ranges are those of the outer span. ``invisible`` and ``confusable`` are the ranks of such characters."""
+    if depth >= MAX_DEPTH or not _GATE.search(text):
+        return []
     spans = [(m.start(m.lastindex or 0), m.end(m.lastindex or 0), label) for label, p in _COMPILED for m in p.finditer(text)]
     spans.sort(key=lambda x: (x[0], -x[1]))
     out: list[Hit] = []
     end = taken = 0
-    for a, b, label in spans:
+    for a, b, scheme in spans:
         if a < end:
             continue
         end = b
         if taken == MAX_SPANS:
-            out.append((a, b, 1, "encoded_payload", 0.5, "span budget exhausted"))
+            out.append((a, b, 1, "encoded_payload", 0.6, f"encoded span budget exhausted ({MAX_SPANS} examined)"))
             break
         taken += 1
-        if label in ("css-hidden", "html-hidden"):
-            out.append((a, b, 1, "encoded_payload", 0.7, f"hidden markup: {label}"))
-        for plain in _decode(label, text[a:b]):
+        if scheme in ("css-hidden", "html-hidden"):
+            out.append((a, b, 1, "encoded_payload", 0.7, f"{scheme} markup conceals body text"))
+        for label, plain in _decode(scheme, text[a:b]):
             if len(plain.encode()) > MAX_DECODED:
-                out.append((a, b, 1, "encoded_payload", 0.5, "decoded text too large"))
+                out.append((a, b, 1, "encoded_payload", 0.6, f"decoded({label}) payload exceeds {MAX_DECODED}-byte rescan cap"))
                 break
             if not _printable(plain):
                 continue
-            for r, d, c, e in _plain_hits(plain):
-                out.append((a, b, max(r, 2), d, round(c * 0.95, 6), f"decoded({label}): {e}"))
-            if depth < MAX_DEPTH:
-                out += [(a, b, max(r, 2), d, round(c * 0.95, 6), f"decoded({label}): {e}") for _, _, r, d, c, e in encoded_hits(plain, depth + 1)]
+            inner = _plain_hits(plain, invisible, confusable) + [h[2:] for h in encoded_hits(plain, depth + 1, invisible, confusable)]
+            out += [(a, b, max(r, 2), d, round(c * 0.95, 6), f"decoded({label}): {e}") for r, d, c, e in inner]
             break
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +14,26 @@ from .decision import ascii_lower, clip
 REFUSALS = ["i can't", "cannot comply", "i cannot", "refuse", "not able"]
 
 
+def _byte_entropy(texts: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    off = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    out = np.zeros(len(texts))
+    for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        if b > a:
+            p = np.bincount(raw[a:b])
+            p = p[p > 0] / (b - a)
+            out[i] = -(p * np.log2(p)).sum()
+    return pa.array(out)
+
+
+_byte_entropy.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+
+
 def entropy(text: Column) -> Column:
-    """Shannon bits over the bytes of a text, from the counts of its two-digit hex pieces; 0 for an empty one."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    total = F.lit(0.0)
-    pieces = F.array_sort(F.regexp_extract_all(h, F.lit("(..)"), F.lit(1)))
-    # run lengths of the sorted bytes
-    state = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), total.alias("sum"))
-    add = lambda run: F.when(run > 0, run / n * F.log2(run / n)).otherwise(0.0)
-    folded = F.aggregate(pieces, state, lambda a, x: F.when(x == a.last, F.struct(a.last.alias("last"), (a.run + 1).alias("run"), a["sum"].alias("sum"))).otherwise(F.struct(x.alias("last"), F.lit(1).alias("run"), (a["sum"] - add(a.run)).alias("sum"))))
-    return F.when(n > 0, folded["sum"] - add(folded["run"])).otherwise(0.0)
+    """Shannon bits over the bytes of a text, by a histogram of each text in Arrow batches; 0 for an empty or null one."""
+    return F.arrow_udf(_byte_entropy, "double")(F.coalesce(text, F.lit("")))
 
 
 def words_in(text: Column) -> Column:
@@ -44,8 +55,9 @@ def token_shares(df: DataFrame, text: str = "output") -> DataFrame:
 def distribution_shift(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Half the summed differences of word shares over the current words; 0 if a side has none."""
     p, q = token_shares(current), token_shares(baseline).withColumnRenamed("share", "base")
-    known = baseline.select(F.trim(F.col("output")).alias("o")).where("o <> ''").limit(1).count()
-    return p.join(q, "token", "left").agg(F.round(F.coalesce(F.sum(F.abs(F.col("share") - F.coalesce("base", F.lit(0.0)))) / 2, F.lit(0.0)) * F.lit(float(known)), 6).alias("shift"))
+    any_ = baseline.agg(F.coalesce(F.bool_or(F.trim("output") != ""), F.lit(False)).alias("known"))
+    shift = p.join(q, "token", "left").agg((F.coalesce(F.sum(F.abs(F.col("share") - F.coalesce("base", F.lit(0.0)))) / 2, F.lit(0.0))).alias("shift"))
+    return shift.crossJoin(any_).select(F.round(F.when(F.col("known"), F.col("shift")).otherwise(0.0), 6).alias("shift"))
 
 
 def refusal_rate(df: DataFrame) -> DataFrame:
@@ -108,3 +120,36 @@ def action(triggered: Column, score: Column, identity: Column, drift: Column, ba
         .when((drift >= 0.3) | (baseline_age_s > 86_400), "increased_monitoring")
         .otherwise("nominal")
     )
+
+
+def baseline_profile(samples: DataFrame) -> DataFrame:
+    """One row: mean entropies, mean latency a word and refusal rate of (input, output, latency_ms) samples; zeros without samples. The word shares are ``token_shares``."""
+    low = ascii_lower(F.col("output"))
+    refused = F.lit(False)
+    for r in REFUSALS:
+        refused = refused | F.contains(low, F.lit(r))
+    mean = lambda x: F.round(F.coalesce(F.avg(x), F.lit(0.0)), 6)
+    return samples.agg(
+        mean(entropy(F.col("input"))).alias("input_entropy"), mean(entropy(F.col("output"))).alias("output_entropy"),
+        mean(F.col("latency_ms") / F.greatest(F.lit(1), words_in(F.col("output")))).alias("latency_ratio"), mean(refused.cast("int")).alias("refusal_rate"), F.count("*").alias("samples"),
+    )
+
+
+def signals(samples: DataFrame, baseline: DataFrame, canaries: DataFrame, fingerprints: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(kind, score, severity): five signals always, and canary, boundary and consistency signals where there is something to tell.
+
+    All joins are between single rows of aggregates. ``canaries``, ``fingerprints``
+    and ``boundaries`` have input and fragment.
+    """
+    one = correlation(samples).crossJoin(distribution_shift(samples, baseline)).crossJoin(refusal_rate(samples)).crossJoin(refusal_rate(baseline).withColumnRenamed("refusal_rate", "base_refusal")).crossJoin(latency_skew(samples, baseline))
+    size = lambda df, name: df.agg(F.count("*").alias(name))
+    one = one.crossJoin(size(unmet(canaries, samples, "fragment"), "failed")).crossJoin(size(canaries, "canaries")).crossJoin(size(unmet(fingerprints, samples, "fragment"), "unlike")).crossJoin(size(fingerprints, "fingerprints"))
+    one = one.crossJoin(size(violated(boundaries, samples, "fragment"), "crossed")).crossJoin(size(boundaries, "boundaries")).crossJoin(consistency_variants(samples)).crossJoin(size(samples, "n"))
+    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    each = {
+        "input_output_correlation": F.col("correlation"), "output_distribution_shift": F.col("shift"), "refusal_rate": F.abs(F.col("refusal_rate") - F.col("base_refusal")), "latency_skew": F.col("latency_skew"),
+        "capability_regression": F.when(F.col("failed") > 0, share("failed", "canaries")), "model_identity": clip(share("unlike", "fingerprints")),
+        "boundary_drift": F.when(F.col("crossed") > 0, share("crossed", "boundaries")), "consistency_drift": F.when(F.col("variants") > 0, F.least(F.lit(1.0), share("variants", "n"))),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.round(v.cast("double"), 6).alias("score")) for k, v in each.items()])
+    return one.select(F.explode(rows).alias("s")).select("s.kind", "s.score", severity_band(F.col("s.score")).alias("severity")).where("score is not null")

@@ -1,20 +1,28 @@
 """Byte-level BPE by rank files, special tokens, and merges that never cross a provenance boundary.
 
-Pieces are cut natively. Distinct pieces are encoded once per task and cached,
-so that the per-piece merge in Python is paid for new pieces only.
+Pieces are cut and merged inside Arrow batches: by the compiled core of the
+public ``tiktoken`` package where that is installed, else by the merge below
+with a cache of distinct pieces per task. Both merge the adjacent pair of the
+lowest rank first, the leftmost on ties.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import importlib.util
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.severity import DEFAULT_TRUST, TRUST
+from ..functions.textmap import TextMap
+
 #: How text is cut before merging, by family.
 PATTERNS = {
     "r50k": r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++\z|\s+(?!\S)|\s",
@@ -30,6 +38,9 @@ ENCODINGS = {
     "cl100k_base": ("cl100k", {"<|endoftext|>": 100257, "<|fim_prefix|>": 100258, "<|fim_middle|>": 100259, "<|fim_suffix|>": 100260, "<|endofprompt|>": 100276}),
     "o200k_base": ("o200k", {"<|endoftext|>": 199999, "<|endofprompt|>": 200018}),
 }
+#: Named tokens of o200k_harmony; the other ids from 200000 to 201087 are reserved.
+HARMONY = {"<|startoftext|>": 199998, "<|endoftext|>": 199999, "<|return|>": 200002, "<|constrain|>": 200003, "<|channel|>": 200005, "<|start|>": 200006, "<|end|>": 200007, "<|message|>": 200008, "<|call|>": 200012}
+ENCODINGS["o200k_harmony"] = ("o200k", HARMONY | {f"<|reserved_{i}|>": i for i in range(200000, 201088) if i not in HARMONY.values()})
 
 
 def pretokenize(text: Column, family: str = "r50k") -> Column:
@@ -42,28 +53,45 @@ def load_ranks(text: str) -> dict[bytes, int]:
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: the adjacent pair of the lowest rank merges first, the leftmost on ties."""
+    """Ids of one piece, by a heap of adjacent pairs; a byte without a rank is an error."""
     if piece in ranks:
         return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if best[0] == 1 << 60:
-            break
-        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-    return [ranks[p] for p in parts]  # a byte without a rank fails
+    n = len(piece)
+    end, before, alive = [*range(1, n + 1)], [*range(-1, n - 1)], [True] * n
+    heap = [(ranks[piece[i : i + 2]], i, i + 2) for i in range(n - 1) if piece[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if not alive[i] or j >= n or not alive[j] or end[j] != stop:
+            continue  # one of the two has been merged meanwhile
+        alive[j], end[i] = False, stop
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (k := before[i]) >= 0 and (r := ranks.get(piece[k:stop])) is not None:
+            heapq.heappush(heap, (r, k, stop))
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
 class Vocabulary:
-    def __init__(self, name: str, ranks: dict[bytes, int]) -> None:
+    def __init__(self, name: str, ranks: dict[bytes, int], compiled: bool = True) -> None:
         if name not in ENCODINGS:
             raise ValueError(f"unknown encoding {name}")
         self.family, self.special = ENCODINGS[name]
         self.ranks, self.cache = ranks, {}
         self.pattern = regex.compile(PATTERNS[self.family].replace(r"\z", r"\Z"))
         self.bytes_of = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.core = None
+        if compiled and importlib.util.find_spec("tiktoken") is not None and all(bytes([b]) in ranks for b in range(256)):
+            import tiktoken
+
+            self.core = tiktoken.Encoding(name, pat_str=PATTERNS[self.family], mergeable_ranks=ranks, special_tokens={})
 
     def ordinary(self, text: str) -> list[int]:
+        if self.core:
+            return self.core.encode_ordinary(text)
         out: list[int] = []
         for p in self.pattern.findall(text):
             if p not in self.cache:
@@ -73,9 +101,11 @@ class Vocabulary:
             out += self.cache[p]
         return out
 
-    def encode(self, text: str, allowed: str | set[str] = "none") -> list[int]:
-        """``none``: a special token in the text is an error; ``all`` or a set: these are encoded as themselves, others are errors."""
-        names = set(self.special) if allowed == "all" else set() if allowed == "none" else set(allowed)
+    def encode(self, text: str, allowed: str | Iterable[str] = "none") -> list[int]:
+        """``none``: a special token in the text is an error; ``all`` or some names: these are encoded as themselves, others are errors. The leftmost one goes first, the longest on ties."""
+        names = set(self.special) if allowed == "all" else set() if allowed == "none" else set(allowed) & set(self.special)
+        if "<|" not in text:
+            return self.ordinary(text)
         for t in self.special:
             if t not in names and t in text:
                 raise ValueError(f"special token {t} is not allowed")
@@ -87,42 +117,153 @@ class Vocabulary:
             at = m.end()
         return out + self.ordinary(text[at:])
 
+    def single(self, token: bytes) -> int:
+        """The id of exactly these bytes, special tokens first."""
+        found = self.special.get(token.decode("utf-8", "replace"), self.ranks.get(token))
+        if found is None:
+            raise KeyError(f"no token for {token!r}")
+        return found
+
+    def spans(self, ids: list[int], base: int = 0) -> list[tuple[int, int, int, str]]:
+        """(id, start, end, text) of tokens that follow each other, in bytes."""
+        raw = [self.bytes_of[i] for i in ids]
+        ends = list(accumulate(map(len, raw), initial=base))
+        return [(i, a, b, r.decode("utf-8", "replace")) for i, a, b, r in zip(ids, ends, ends[1:], raw, strict=False)]
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        return b"".join(self.bytes_of[i] for i in ids)
+
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes_of[i] for i in ids).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-def encode(df: DataFrame, ranks_path: str, encoding: str = "r50k_base", key: str = "doc_id", text: str = "text", allowed: str = "all") -> DataFrame:
-    """Per row: key, ids, error (null where none); an error is a value of its row and fails no job."""
+def _per_row(df: DataFrame, ranks_path: str, encoding: str, key: str, column: Column, make, kind: pa.DataType, name: str, sql: str) -> DataFrame:
+    """key, a result and an error (null where none) for each row; an error is a value of its row and fails no job."""
     with open(ranks_path) as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(encoding, load_ranks(spec.value))
         for batch in batches:
-            ids, errors = [], []
-            for t in batch.column(1).to_pylist():
+            found, errors = [], []
+            for x in batch.column(1).to_pylist():
                 try:
-                    ids.append(vocab.encode(t or "", allowed))
+                    found.append(make(vocab, x))
                     errors.append(None)
                 except (ValueError, KeyError) as e:
-                    ids.append(None)
+                    found.append(None)
                     errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, type=pa.list_(pa.int32())), pa.array(errors, type=pa.string())], names=[key, "ids", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=kind), pa.array(errors, type=pa.string())], names=[key, name, "error"])
+
+    return df.select(key, column.alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {name} {sql}, error string")
+
+
+def encode(df: DataFrame, ranks_path: str, encoding: str = "r50k_base", key: str = "doc_id", text: str = "text", allowed: str | tuple[str, ...] = "none") -> DataFrame:
+    """Per row: key, ids, error. A special token that ``allowed`` does not name is an error."""
+    return _per_row(df, ranks_path, encoding, key, F.col(text).cast("string"), lambda v, t: v.encode(t or "", allowed), pa.list_(pa.int32()), "ids", "array<int>")
 
-    return df.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, error string")
+
+_SPAN = pa.struct([("id", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
+
+
+def encode_spans(df: DataFrame, ranks_path: str, encoding: str = "r50k_base", key: str = "doc_id", text: str = "text", allowed: str | tuple[str, ...] = "none") -> DataFrame:
+    """Per row: key, tokens (id, start, end, text; bytes of the text), error."""
+
+    def make(vocab: Vocabulary, t: str | None) -> list[dict]:
+        return [dict(zip(_SPAN.names, s, strict=True)) for s in vocab.spans(vocab.encode(t or "", allowed))]
+
+    return _per_row(df, ranks_path, encoding, key, F.col(text).cast("string"), make, pa.list_(_SPAN), "tokens", "array<struct<id:int,start:bigint,end:bigint,text:string>>")
 
 
 def decode(df: DataFrame, ranks_path: str, encoding: str = "r50k_base", key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    with open(ranks_path) as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
+    """Per row: key, text, error; an id that the vocabulary lacks is an error, bytes that are no UTF-8 are replaced."""
+    return _per_row(df, ranks_path, encoding, key, F.col(ids), lambda v, x: None if x is None else v.decode(x), pa.string(), "text", "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = Vocabulary(encoding, load_ranks(spec.value))
-        for batch in batches:
-            texts = [None if x is None else vocab.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, type=pa.string())], names=[key, "text"])
 
-    return df.select(key, F.col(ids).alias("_i")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")
+def encode_single_token(df: DataFrame, ranks_path: str, encoding: str = "r50k_base", key: str = "doc_id", token: str = "token") -> DataFrame:
+    """Per row: key, id of the token that has exactly these bytes, error."""
+    return _per_row(df, ranks_path, encoding, key, F.col(token).cast("binary"), lambda v, x: v.single(x or b""), pa.int32(), "id", "int")
+
+
+# ---- tokens of clusters with provenance
+
+
+def _title(name: str) -> str:
+    return "".join(x.title() for x in name.split("_"))
+
+
+def merge_tokens(vocab: Vocabulary, segments: list[tuple[str, str]], suppress: bool = True, form: str = "nfc", strip: bool = False) -> tuple[list[tuple], list[tuple]]:
+    """Tokens and findings of segments (text, provenance).
+
+    Tokens are (id, text, start, end, provenance, trust, normalized, boundary).
+    With ``suppress`` no token crosses a change of provenance, which gives a
+    finding (low if trust changes, else none); without it one group of clusters
+    is encoded as a whole and each crossing gives a finding of high severity.
+    Ranges are raw bytes from the start of the first segment; where normal forms
+    or stripping have changed the text, a token has the raw bytes of all clusters it touches.
+    """
+    clusters, base = [], 0  # canonical text, raw start, raw end, provenance, normalized, boundary
+    for text, provenance in segments:
+        m = TextMap(text, form, strip, base)
+        units = list(m._walk())
+        raw = text.encode()
+        for i, (t, a, b) in enumerate(units):
+            clusters.append((t, a, b, provenance, t.encode() != raw[a - base : b - base], i == 0 or i == len(units) - 1))
+        base += len(raw)
+    trust = lambda p: TRUST[DEFAULT_TRUST.get(p, 0)]
+    tokens, findings, group = [], [], []
+
+    def encode_group() -> None:
+        if not group:
+            return
+        first = group[0]
+        size = list(accumulate((len(g[0].encode()) for g in group), initial=0))
+        plain = all(not g[4] for g in group) and all(x[2] == y[1] for x, y in zip(group, group[1:], strict=False))
+        unit = 0
+        for i, a, b, text in vocab.spans(vocab.ordinary("".join(g[0] for g in group))):
+            if plain:
+                start, stop = first[1] + a, first[1] + b
+            else:
+                while size[unit + 1] <= a:
+                    unit += 1
+                last = unit
+                while size[last + 1] < b:
+                    last += 1
+                start, stop = group[unit][1], group[last][2]
+            tokens.append((i, text, start, stop, first[3], trust(first[3]), any(g[4] for g in group), first[5]))
+
+    for c in clusters:
+        if group and c[3] != group[-1][3]:
+            p, q = group[-1], c
+            names = f"{_title(p[3])}→{_title(q[3])} (trust {_title(trust(p[3]))}→{_title(trust(q[3]))})"
+            span = (min(p[1], q[1]), max(p[2], q[2]))
+            if suppress:
+                findings.append((*span, 1 if trust(p[3]) != trust(q[3]) else 0, "merge_boundary", 1.0, f"merge suppressed at provenance boundary {names}"))
+                encode_group()
+                group = []
+            else:
+                findings.append((*span, 3, "merge_boundary", 1.0, f"cross-provenance merge permitted by policy at {names}; token inherits {_title(p[3])} provenance over foreign bytes"))
+        group.append(c)
+    encode_group()
+    return tokens, findings
+
+
+_TOKEN = pa.struct([("id", pa.int32()), ("text", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("provenance", pa.string()), ("trust", pa.string()), ("normalized", pa.bool_()), ("boundary", pa.bool_())])
+_FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("rank", pa.int32()), ("detector", pa.string()), ("confidence", pa.float64()), ("evidence", pa.string())])
+MERGED = pa.struct([("tokens", pa.list_(_TOKEN)), ("findings", pa.list_(_FOUND))])
+_MERGED_SQL = "struct<tokens:array<struct<id:int,text:string,start:bigint,end:bigint,provenance:string,trust:string,normalized:boolean,boundary:boolean>>,findings:array<struct<start:bigint,end:bigint,rank:int,detector:string,confidence:double,evidence:string>>>"
+
+
+def merged(segments: DataFrame, ranks_path: str, key: str, order: str, encoding: str = "r50k_base", text: str = "text", provenance: str = "provenance", suppress: bool = True, form: str = "nfc") -> DataFrame:
+    """Per key: tokens and merge findings of its segments in order. A key's segments are one input and come to one row."""
+
+    def make(vocab: Vocabulary, rows: list[dict]) -> dict:
+        tokens, findings = merge_tokens(vocab, [(r["t"] or "", r["p"] or "unknown") for r in rows], suppress, form)
+        return {"tokens": [dict(zip(_TOKEN.names, t, strict=True)) for t in tokens], "findings": [dict(zip(_FOUND.names, f, strict=True)) for f in findings]}
+
+    parts = segments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(provenance).alias("p")))).alias("_parts"))
+    out = _per_row(parts, ranks_path, encoding, key, F.col("_parts"), make, MERGED, "merged", _MERGED_SQL)
+    return out.select(key, "merged.tokens", "merged.findings", "error")
 
 
 def provenance_islands(segments: DataFrame, key: str, order: str, text: str = "text", provenance: str = "provenance") -> DataFrame:

@@ -17,9 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, augmented: bool = True) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return docs.withColumn("text", F.expr(AUGMENT)) if augmented else docs
 
 
 #: DuckDB: the augmented documents as ``d``.
 D = f"with d as (select doc_id, lang, {AUGMENT} as text from documents)"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a table has fewer input splits than the session has cores, as files of one row group do; large tables stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df.inputFiles()
+    return df.repartition(cores) if len(size) < cores else df

@@ -9,7 +9,8 @@ from ..functions.spans import overlap_join
 from ..operators import decision as dec
 from ..operators import delegation as lease
 from ..operators import emit, ngrams, payloads, probe, tokenizer
-from .common import documents, table
+from .common import D, documents, table
+from .scan import _FINDINGS, _verdict
 
 QUERIES, ORACLES = {}, {}
 
@@ -29,10 +30,9 @@ def query(sql: str | None = None):
 _GRAMS = "g as (select doc_id, length(text) - 3 as total, unnest(list_transform(range(1, length(text) - 2), lambda i: substring(text, i, 4))) as gram from documents where length(text) >= 4), c as (select doc_id, total, gram, count(*) as n from g group by 1, 2, 3)"
 
 
-@query(f"with {_GRAMS} select doc_id, gram, n, cast(total as int) as total from c where n / total < 0.02 and n > 1")
+@query(f"with {_GRAMS} select doc_id, gram, n, cast(total as int) as total from c where n / total < 0.02")
 def rare_ngrams(spark, sf_dir):
-    """Rare n-grams that occur more than once."""
-    return ngrams.rare_grams(documents(spark, sf_dir, False)).where("n > 1").select("doc_id", "gram", "n", "total")
+    return ngrams.rare_grams(documents(spark, sf_dir, False)).select("doc_id", "gram", "n", "total")
 
 
 @query(f"with {_GRAMS} select doc_id, count(*) as rare, round(1 - min(n / total), 6) as confidence from c where n / total < 0.02 group by 1")
@@ -59,8 +59,8 @@ _NOW = "(select max(epoch(ts)) from events)"
   select user_id, cast(case when inputs < 3 then 0 else k end as bigint) as inputs_in_window, (case when inputs < 3 then 0 else k end) > 10 as rate_exceeded from g""")
 def slow_rate_rate(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    now = events.agg(F.max("at")).first()[0]
-    return ngrams.slow_rate(events, "user_id", F.lit(now), 864_000).withColumn("inputs_in_window", F.col("inputs_in_window").cast("long"))
+    events = events.crossJoin(F.broadcast(events.agg(F.max("at").alias("now"))))  # one row
+    return ngrams.slow_rate(events, "user_id", F.col("now"), 864_000).withColumn("inputs_in_window", F.col("inputs_in_window").cast("long"))
 
 
 @query("""with s as (select conv_id, turn, list_distinct(list_transform(range(1, length(text) - 2), lambda i: substring(text, i, 4))) as g from conversations),
@@ -329,15 +329,6 @@ def lease_revocation_cascade(spark, sf_dir):
     return lease.revoked_leases(rows.select("lease_id", "parent_id"), rows.where("lease_id % 17 = 0").select("lease_id"))
 
 
-@query("""select o_orderkey as envelope, (o_orderkey % 5 = 0) = (sha256(cast(o_custkey as varchar)) = sha256(cast(o_custkey as varchar))) as bound from orders""")
-def envelope_binding(spark, sf_dir):
-    """Whether an envelope's digest is that of its lease; four in five point elsewhere."""
-    o = table(spark, sf_dir, "orders")
-    held = F.sha2(F.col("o_custkey").cast("string"), 256)
-    claimed = F.when(F.col("o_orderkey") % 5 == 0, held).otherwise(F.sha2(F.lit("other"), 256))
-    return o.select(F.col("o_orderkey").alias("envelope"), (held == claimed).alias("bound"))
-
-
 # ---- tokens and Arrow detectors
 
 
@@ -355,13 +346,13 @@ def pretokenize_counts(spark, sf_dir):
 
 @query()
 def bpe_tokens(spark, sf_dir):
-    return tokenizer.encode(documents(spark, sf_dir), _ranks()).select("doc_id", F.size("ids").alias("n_tokens"), "error")
+    return tokenizer.encode(documents(spark, sf_dir), _ranks(), allowed="all").select("doc_id", F.size("ids").alias("n_tokens"), "error")
 
 
 @query("select doc_id, true as equal from documents")
 def decode_roundtrip(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    back = tokenizer.decode(tokenizer.encode(docs, _ranks()), _ranks()).withColumnRenamed("text", "again")
+    back = tokenizer.decode(tokenizer.encode(docs, _ranks(), allowed="all"), _ranks()).drop("error").withColumnRenamed("text", "again")
     return docs.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("again")).alias("equal"))
 
 
@@ -403,11 +394,8 @@ def terminal_findings_aug(spark, sf_dir):
     return payloads.terminal_sequences(documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\x1b]52;c;QQ==\x07\x1b[3J\x1b[1;8;31mx\x1b[0m"))))
 
 
-@query()
+@query(f"{D}, {_FINDINGS} select doc_id, cast(max_rank as int) as max_rank, {_verdict('monitor')} as verdict, 0::bigint as encoded from a")
 def full_scan_verdicts(spark, sf_dir):
-    """Native findings together with those of the Arrow detectors, folded by document."""
-    docs = documents(spark, sf_dir)
-    own = emit.scan(docs).select("doc_id", "findings")
-    more = payloads.encoded_payloads(docs).groupBy("doc_id").agg(F.max("rank").alias("encoded_rank"), F.count("*").alias("encoded"))
-    rank = F.greatest(emit.max_rank(F.col("findings")), F.coalesce("encoded_rank", F.lit(0)))
-    return own.join(more, "doc_id", "left").select("doc_id", rank.alias("max_rank"), emit.verdict(rank, "monitor").alias("verdict"), F.coalesce("encoded", F.lit(0)).alias("encoded"))
+    """All detectors of the default policy in one pass, with the number of findings in encoded text."""
+    encoded = F.size(F.filter("findings", lambda f: (f.detector == "encoded_payload") | F.startswith(f.evidence, F.lit("decoded(")))).cast("long")
+    return emit.scan(documents(spark, sf_dir)).select("doc_id", "max_rank", "verdict", encoded.alias("encoded"))

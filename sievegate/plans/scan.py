@@ -8,7 +8,7 @@ from ..functions.severity import TRUST, default_trust, name_of
 from ..operators import detectors as det
 from ..operators import emit
 from ..operators import intake
-from ..policy import Policy
+from ..policy import Emit, Policy
 from .common import D, documents, table
 
 QUERIES, ORACLES = {}, {}
@@ -39,32 +39,49 @@ _CARDS = f"""cards as (select doc_id, m, s from (
   select doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') as s from (select doc_id, unnest(regexp_extract_all(text, '{_CC}')) as m from d)) where {_LUHN})"""
 
 
-def _many(detector: str, rank: int, conf: float, pattern: str) -> str:
-    return f"select doc_id, {rank} as rank, '{detector}' as detector, {conf} as confidence from (select doc_id, unnest(regexp_extract_all(text, '{pattern}')) as m from d)"
-
-
-_FINDINGS = f"""{_HITS}, {_CARDS}, f as (
-  select doc_id, rank, 'injection_grammar' as detector, 0.88 as confidence from (select doc_id, rank, unnest(range(len(parts) - 1)) as i from hits)
+def _many(detector: str, rank: int, conf: float, pattern: str, firewall: str = "false") -> str:
+    return f"select doc_id, {rank} as rank, '{detector}' as detector, {conf} as confidence, {firewall} as firewall from (select doc_id, unnest(regexp_extract_all(text, '{pattern}')) as m from d)"
+
+
+#: Counts of 4-grams, and entropies of windows of 64 bytes from what each byte changes when it enters and leaves.
+_RARE = """grams as (select doc_id, total, gram, count(*) as k from (
+  select doc_id, length(text) - 3 as total, unnest(list_transform(range(1, length(text) - 2), lambda i: substring(text, i, 4))) as gram from d where length(text) >= 4) group by all),
+rare as (select doc_id, 1 - k / total as share from grams where k / total < 0.02)"""
+_STEP = "({c} * log2({c}) - case when {c} > 1 then ({c} - 1) * log2({c} - 1) else 0 end)"
+_SPIKES = f"""raw as (select doc_id, strlen(text) as n, hex(encode(text)) as h from d where text <> ''),
+bytes as (select doc_id, n, unnest(range(1, n + 1)) as p, unnest(list_transform(range(1, n + 1), lambda i: substring(h, 2 * i - 1, 2))) as x from raw),
+whole as (select doc_id, n, sum(-(k / n) * log2(k / n)) as base from (select doc_id, n, x, count(*) as k from bytes group by all) group by all),
+near as (select doc_id, n, p, count(*) over (partition by doc_id, x order by p range between 63 preceding and current row) as into_,
+  count(*) over (partition by doc_id, x order by p range between current row and 63 following) as out_ from bytes where n > 64),
+sums as (select doc_id, p, sum({_STEP.format(c="into_")}) over w as added, sum({_STEP.format(c="out_")}) over w as gone from near window w as (partition by doc_id order by p)),
+windows as (select doc_id, p - 64 as start, 6 - (added - coalesce(lag(gone, 64) over (partition by doc_id order by p), 0)) / 64 as h, p >= 64 as full_ from sums),
+levels as (select doc_id, start, h, base, n from windows join whole using (doc_id) where full_),
+spikes as (select doc_id, case when h > base then 3 else 2 end as rank from levels where abs(h - base) >= 3)"""
+_FINDINGS = f"""{_HITS}, {_CARDS}, {_RARE}, {_SPIKES}, f as (
+  select doc_id, rank, 'injection_grammar' as detector, 0.88 as confidence, false as firewall from (select doc_id, rank, unnest(range(len(parts) - 1)) as i from hits)
   union all {_many("unicode_control", 2, 0.92, _INV)}
-  union all select doc_id, 2, 'confusable', 0.86 from d where regexp_matches(text, '[{det.CONFUSABLES}]') and regexp_matches(text, '[A-Za-z]')
-  union all {_many("token_smuggling", 2, 0.96, det.RESERVED)}
-  union all select doc_id, 4, 'dlp_credit_card', 0.99 from cards
+  union all select doc_id, 2, 'confusable', 0.86, false from d where regexp_matches(text, '[{det.CONFUSABLES}]') and regexp_matches(text, '[A-Za-z]')
+  union all {_many("token_smuggling", 2, 0.96, det.RESERVED, "true")}
+  union all select doc_id, 4, 'dlp_credit_card', 0.99, false from cards
   union all {_many("dlp_ssn", 3, 0.95, _SSN)}
   union all {_many("dlp_api_key", 3, 0.98, _KEY)}
   union all {_many("dlp_email", 2, 0.90, _MAIL)}
+  union all select doc_id, rank, 'entropy_spike', 0.72, false from spikes
   union all {_many("token_smuggling", 3, 0.84, "[A-Za-z0-9]" + _INV + "[A-Za-z0-9]")}
-  union all select doc_id, 2, 'token_smuggling', 0.68 from d where regexp_matches(text, '[A-Za-z0-9+/=]{{32}}')
+  union all select doc_id, 2, 'token_smuggling', 0.68, false from d where regexp_matches(text, '[A-Za-z0-9+/=]{{32}}')
+  union all select doc_id, 1, 'rare_pattern', share, false from rare
 ), a as (
-  select d.doc_id, d.lang, d.text, coalesce(max(f.rank), 0) as max_rank, count(f.rank) as threat_count,
-    round(least(1.0, coalesce(sum(f.rank / 4.0 * (0.25 + greatest(f.confidence, 0.1))), 0)), 6) as score,
-    coalesce(bool_or(f.detector = 'injection_grammar'), false) as injection, coalesce(bool_or(f.detector like 'dlp%'), false) as dlp, coalesce(bool_or(f.detector = 'token_smuggling'), false) as smuggling
+  select d.doc_id, d.lang, d.text, coalesce(max(f.rank) filter (not firewall), 0) as other_rank, coalesce(bool_or(firewall), false) as firewall, greatest(coalesce(max(f.rank), 0), 0) as max_rank, count(f.rank) as threat_count,
+    count(f.rank) filter (detector <> 'rare_pattern') as listed, round(least(1.0, coalesce(sum(f.rank / 4.0 * (0.25 + greatest(f.confidence, 0.1))), 0)), 6) as score,
+    coalesce(bool_or(f.detector = 'injection_grammar'), false) as injection, coalesce(bool_or(f.detector like 'dlp%'), false) as dlp, coalesce(bool_or(f.detector = 'entropy_spike'), false) as spike, coalesce(bool_or(f.detector = 'token_smuggling'), false) as smuggling
   from d left join f using (doc_id) group by d.doc_id, d.lang, d.text
 )"""
 _SEV = "['none', 'low', 'medium', 'high', 'critical'][max_rank + 1]"
 
 
 def _verdict(mode: str) -> str:
-    return f"case when max_rank >= 4 then 'deny' when max_rank = 3 then '{'flag' if mode == 'monitor' else 'deny'}' when max_rank = 2 then '{'deny' if mode == 'strict' else 'flag'}' when max_rank = 1 then 'flag' else 'allow' end"
+    top = f"greatest(other_rank, case when firewall then {dict(monitor=2, enforce=3, strict=4)[mode]} else 0 end)"
+    return f"case when {top} >= 4 then 'deny' when {top} = 3 then '{'flag' if mode == 'monitor' else 'deny'}' when {top} = 2 then '{'deny' if mode == 'strict' else 'flag'}' when {top} = 1 then 'flag' else 'allow' end"
 
 
 def _long(df, column, *more):
@@ -74,7 +91,7 @@ def _long(df, column, *more):
 def _hits(name: str, augmented: bool):
     def run(spark, sf_dir):
         found = documents(spark, sf_dir, augmented).select("doc_id", F.explode(det.injection(F.col("text"))).alias("f"))
-        return found.groupBy("doc_id", F.col("f.evidence").alias("needle")).agg(F.count("*").alias("n_hits"), F.min("f.start").alias("first_byte"), F.max("f.start").alias("last_byte"))
+        return found.groupBy("doc_id", F.lower("f.evidence").alias("needle")).agg(F.count("*").alias("n_hits"), F.min("f.start").alias("first_byte"), F.max("f.start").alias("last_byte"))
 
     run.__name__ = name
     sql = D if augmented else "with d as (select doc_id, lang, text from documents)"
@@ -107,7 +124,7 @@ _regex_query("dlp_api_keys_aug", det.api_key, _KEY, True, 3, _RED)
 _regex_query("dlp_emails", det.email, _MAIL, False, 2, _RED)
 _regex_query("dlp_emails_deny", lambda t: det.email(t, "deny"), _MAIL, False, 3, _RED)
 _regex_query("dlp_custom", lambda t: det.custom(t, (r"token = \"[0-9a-f]+\"", "(")), r"token = \"[0-9a-f]+\"", False, 2, "'token = \\\"[0-9a-f]+\\\"'")
-_regex_query("unicode_control_aug", det.unicode_control, _INV, True, 2, "'unicode control'")
+_regex_query("unicode_control_aug", det.unicode_control, _INV, True, 2, "'unicode control U+' || printf('%04X', unicode(m))")
 
 
 @query(f"with d as (select * from documents), {_CARDS} select doc_id, count(*) as n_cards, min({_RED}) as first_sample from cards group by doc_id")
@@ -153,11 +170,13 @@ def injection_score(spark, sf_dir):
 
 @query(f"{D}, {_FINDINGS} select doc_id, {_verdict('monitor')} as monitor, {_verdict('enforce')} as enforce, {_verdict('strict')} as strict from a")
 def verdict_by_mode(spark, sf_dir):
-    return scanned(spark, sf_dir).select("doc_id", *[emit.verdict(F.col("max_rank"), m).alias(m) for m in ("monitor", "enforce", "strict")])
+    """One scan; the severity of reserved tokens follows the mode."""
+    top = {m: emit.rank_in_mode(F.col("findings"), m, F.col("rare")["count"]) for m in ("monitor", "enforce", "strict")}
+    return scanned(spark, sf_dir).select("doc_id", *[emit.verdict(r, m).alias(m) for m, r in top.items()])
 
 
-@query(f"""{D}, {_FINDINGS} select doc_id, case when injection or dlp or smuggling then
-  array_to_string(list_filter([case when injection then 'InjectionPattern' end, case when dlp then 'DlpFinding' end, case when smuggling then 'Smuggling' end], lambda x: x is not null), ',')
+@query(f"""{D}, {_FINDINGS} select doc_id, case when injection or dlp or spike or smuggling then
+  array_to_string(list_filter([case when injection then 'InjectionPattern' end, case when dlp then 'DlpFinding' end, case when spike then 'EntropyAnomaly' end, case when smuggling then 'Smuggling' end], lambda x: x is not null), ',')
   when threat_count > 0 then 'UnicodeAbuse' else '' end as reasons from a""")
 def flag_reasons(spark, sf_dir):
     return scanned(spark, sf_dir).select("doc_id", F.array_join("reasons", ",").alias("reasons"))
@@ -170,31 +189,57 @@ def verdict_counts_by_lang(spark, sf_dir):
 
 @query(f"{D}, {_FINDINGS} select doc_id, cast(case {_verdict('enforce')} when 'deny' then 2 else 0 end as int) as on_deny, cast(case {_verdict('enforce')} when 'deny' then 2 when 'flag' then 1 else 0 end as int) as on_flag from a")
 def exit_codes(spark, sf_dir):
-    v = emit.verdict(F.col("max_rank"), "enforce")
-    return scanned(spark, sf_dir).select("doc_id", emit.exit_code(v, "deny").alias("on_deny"), emit.exit_code(v, "flag").alias("on_flag"))
+    found = scanned(spark, sf_dir, Policy(mode="enforce"))
+    return found.select("doc_id", emit.exit_code(F.col("verdict"), "deny").alias("on_deny"), emit.exit_code(F.col("verdict"), "flag").alias("on_flag"))
 
 
-@query(f"{D}, {_FINDINGS} select doc_id, cast(least(threat_count, 2) as bigint) as kept, threat_count > 2 as truncated from a where max_rank > 0")
+@query(f"{D}, {_FINDINGS} select doc_id, cast(least(listed, 2) as bigint) as kept, listed > 2 as truncated from a where max_rank > 0")
 def evidence_truncated(spark, sf_dir):
-    return scanned(spark, sf_dir).where("verdict <> 'allow'").select("doc_id", F.size(F.slice("findings", 1, 2)).cast("long").alias("kept"), (F.size("findings") > 2).alias("truncated"))
+    """Evidence cut to two findings; rare n-grams stay out of the list."""
+    found = emit.assessed(scanned(spark, sf_dir), Policy(emit=Emit(max_evidence_findings=2)))
+    return found.select("doc_id", F.size("findings").cast("long").alias("kept"), "truncated")
+
+
+@query(f"{D}, {_FINDINGS} select doc_id, max_rank > 0 as by_default, true as always from a")
+def evidence_gate(spark, sf_dir):
+    """Which rows give evidence: those that are not allowed, or all."""
+    rows = scanned(spark, sf_dir)
+    some = emit.assessed(rows).select("doc_id", F.lit(True).alias("by_default"))
+    every = emit.assessed(rows, Policy(emit=Emit(evidence_mode="always"))).select("doc_id", F.lit(True).alias("always"))
+    return rows.select("doc_id").join(some, "doc_id", "left").join(every, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("by_default", "always")])
+
+
+@query(f"{D}, {_RARE}, {_SPIKES}, b as (select doc_id, round(base, 6) as baseline, n from whole), w as (select doc_id, round(avg(h), 6) as average, max(h) as top, count(*) filter (abs(h - base) >= 3) as anomalies from levels group by 1) select d.doc_id, coalesce(baseline, 0) as baseline, coalesce(average, baseline, 0) as average, round(greatest(coalesce(top, 0), coalesce(whole.base, 0)), 6) as peak, coalesce(anomalies, 0) as anomalies from d left join b using (doc_id) left join w using (doc_id) left join whole using (doc_id)")
+def entropy_by_doc(spark, sf_dir):
+    e = F.col("entropy")
+    return scanned(spark, sf_dir).select("doc_id", *[F.round(e[c], 6).alias(c) for c in ("baseline", "average", "peak")], e["anomalies"].alias("anomalies"))
 
 
+_MITI = ", ".join(f"('{d}', '{t}')" for d, ts in emit.MITIGATIONS.items() for t in ts)
 _TECH = ", ".join(f"('{d}', '{t}')" for d, ts in emit.TECHNIQUES.items() for t in ts)
 
 
 @query(f"{D}, {_FINDINGS} select doc_id, string_agg(distinct technique, ',' order by technique) as techniques from f join (values {_TECH}) t(detector, technique) using (detector) group by doc_id")
 def techniques_by_doc(spark, sf_dir):
-    found = emit.techniques(F.col("findings"))
+    found = emit.techniques(F.col("findings"), rare=F.col("rare")["count"])
     return scanned(spark, sf_dir).where(F.size(found) > 0).select("doc_id", F.array_join(found, ",").alias("techniques"))
 
 
-@query(f"{D} select doc_id, sha256(text) as raw_digest, sha256(regexp_replace(text, '{_INV}', '', 'g')) as canonical_digest from d")
+@query(f"{D} select doc_id, sha256(text) as raw_digest, sha256(nfc_normalize(text)) as canonical_digest from d")
 def receipts_sha256(spark, sf_dir):
-    """Clusters of the augmented documents are single characters but for an invisible one after a letter, which the strip of whole clusters keeps."""
-    raw, canonical = emit.digests(F.col("text"), F.regexp_replace("text", f"[{det.INVISIBLE}]", ""), 256)
+    raw, canonical = emit.digests(F.col("text"), intake.canonical(F.col("text")), 256)
     return documents(spark, sf_dir).select("doc_id", raw.alias("raw_digest"), canonical.alias("canonical_digest"))
 
 
+@query("""with d as (select doc_id, text || case doc_id % 3 when 0 then ' ' || chr(8203) || ' end' when 1 then 'x' || chr(8204) else '' end as text from documents)
+  select doc_id, sha256(replace(text, chr(8203), '')) as digest from d""")
+def strip_invisible_clusters(spark, sf_dir):
+    """Clusters of invisible characters alone are taken out; a joiner that hangs on a visible character is part of its cluster."""
+    hidden = F.when(F.col("doc_id") % 3 == 0, F.lit(" \u200b end")).when(F.col("doc_id") % 3 == 1, F.lit("x\u200c")).otherwise(F.lit(""))
+    docs = documents(spark, sf_dir, False).withColumn("text", F.concat("text", hidden))
+    return docs.select("doc_id", F.sha2(F.array_join(intake.strip_clusters(intake.graphemes(F.col("text"))), ""), 256).alias("digest"))
+
+
 @query()
 def receipts_sha384(spark, sf_dir):
     raw, canonical = emit.digests(F.col("text"), intake.canonical(F.col("text"), "nfc", True))
@@ -202,10 +247,15 @@ def receipts_sha384(spark, sf_dir):
     return docs.select("doc_id", "raw", "canonical", emit.receipt_message(F.col("raw"), F.col("canonical"), "sha384", "nfc", "r50k_base", F.lit(0)).alias("message"))
 
 
+@query(f"{D}, {_FINDINGS} select doc_id, string_agg(distinct mitigation, ',' order by mitigation) as mitigations from f join (values {_MITI}) t(detector, mitigation) using (detector) group by doc_id")
+def mitigations_by_doc(spark, sf_dir):
+    found = emit.mitigations(F.col("findings"), F.col("rare")["count"])
+    return scanned(spark, sf_dir).where(F.size(found) > 0).select("doc_id", F.array_join(found, ",").alias("mitigations"))
+
+
 @query()
 def evidence_bundles(spark, sf_dir):
-    out = scanned(spark, sf_dir).where("verdict <> 'allow'").withColumn("summary", emit.summary(F.col("verdict"), F.col("findings")))
-    return out.select("doc_id", "verdict", "summary", emit.evidence_id(F.col("summary"), F.lit(0), F.lit(0)).alias("evidence_id"))
+    return emit.assessed(scanned(spark, sf_dir)).select("doc_id", "verdict", "summary", "evidence_id")
 
 
 @query()
@@ -250,8 +300,10 @@ def invisible_strip_aug(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.length(intake.strip_all(F.col("text"))).cast("long").alias("visible_chars"))
 
 
-@query()
+@query(f"""with t as (select {_ROLE} as r, length_grapheme(text) as n from conversations where length(text) > 0),
+  c as (select 'start' as context, r, 1 as k from t union all select 'end', r, case when n > 1 then 1 else 0 end from t union all select 'interior', r, greatest(n - 2, 0) from t)
+  select context, cast(r as int) as trust, cast(sum(k) as bigint) as clusters from c where k > 0 group by 1, 2""")
 def taint_annotations(spark, sf_dir):
-    """Cluster contexts of the first turn of each conversation, by provenance."""
-    turns = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text", _provenance().alias("provenance"))
+    """Cluster contexts of all turns, by provenance."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "text", _provenance().alias("provenance"))
     return turns.select("conv_id", F.explode(intake.tainted(F.col("text"), F.col("provenance"))).alias("g")).groupBy("g.context", "g.trust").agg(F.count("*").alias("clusters"))

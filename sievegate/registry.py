@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import decisions, scan
+from .plans import decisions, gates, scan
 
-QUERIES: dict = {**scan.QUERIES, **decisions.QUERIES}
-ORACLES: dict = {**scan.ORACLES, **decisions.ORACLES}
+QUERIES: dict = {**scan.QUERIES, **decisions.QUERIES, **gates.QUERIES}
+ORACLES: dict = {**scan.ORACLES, **decisions.ORACLES, **gates.ORACLES}
