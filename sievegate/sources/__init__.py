@@ -1 +1 @@
-"""Sources of the text-admission engine."""
+"""Readers and writers at the edges of the engine."""

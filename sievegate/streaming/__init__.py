@@ -1 +1 @@
-"""Streaming of the text-admission engine."""
+"""Stateful forms of the session operators on Structured Streaming."""
