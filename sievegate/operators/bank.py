@@ -25,7 +25,8 @@ from ..functions.textmap import INVISIBLE_CLASS, TextMap
 from ..policy import Policy
 from .detectors import CONFUSABLES, HIGH_NEEDLES, MEDIUM_NEEDLES, RESERVED
 from .ngrams import entropy_profile, rare_of
-from .payloads import encoded_hits, perplexity_hits, terminal_hits
+from .payloads import encoded_hits, perplexity_hits
+from .terminal import terminal_hits
 
 RESULT = (
     "findings array<struct<start:bigint,end:bigint,rank:int,detector:string,confidence:double,evidence:string>>, baseline double, average double, peak double, anomalies bigint, "
@@ -166,8 +167,7 @@ class Bank:
             for a, b, *rest in perplexity_hits(text):
                 add(a, b, *rest, mapped=False)
         if s.terminal_escapes.enabled:
-            for a, b, *rest in terminal_hits(text, s.terminal_escapes.max_sequences):
-                add(a, b, *rest, mapped=False)
+            out += terminal_hits(text.encode(), s.terminal_escapes.max_sequences)
         return report, m
 
 

@@ -1,4 +1,4 @@
-"""Detectors with state that built-in functions lack, in Arrow batches: encoded payloads, perplexity anomalies, terminal sequences."""
+"""Detectors with state that built-in functions lack, in Arrow batches: encoded payloads and perplexity anomalies."""
 
 from __future__ import annotations
 
@@ -198,90 +198,3 @@ def perplexity_hits(text: str, scorer: Callable[[str], np.ndarray] = surprisals)
 
 def perplexity(df: DataFrame, key: str = "doc_id", text: str = "text", scorer: Callable[[str], np.ndarray] = surprisals) -> DataFrame:
     return _each(df, key, text, lambda t: perplexity_hits(t, scorer), None)
-
-
-# ---- terminal sequences
-
-#: Names of control sequence finals and of operating system commands.
-CSI = {"K": "erase_line", "J": "erase_display", "X": "erase_chars", "m": "sgr", "H": "cursor_position", "f": "cursor_position", "A": "cursor_up", "B": "cursor_down", "C": "cursor_forward", "D": "cursor_back", "E": "cursor_next_line", "F": "cursor_previous_line", "G": "cursor_column", "d": "cursor_row", "S": "scroll_up", "T": "scroll_down", "L": "insert_lines", "M": "delete_lines", "P": "delete_chars", "@": "insert_chars", "r": "scroll_region", "h": "set_mode", "l": "reset_mode", "s": "save_cursor", "u": "restore_cursor"}
-OSC = {"52": "clipboard", "8": "hyperlink", "9": "notification", "0": "title", "2": "title", "1": "icon", "7": "cwd", "777": "rxvt_extension", "1337": "iterm", "5522": "kitty_clipboard", "21": "kitty_color", "66": "text_size", "72": "dnd", "133": "shell_integration", "3008": "context"}
-_HIGH = {"clipboard", "conemu", "rxvt_extension", "iterm", "kitty_clipboard", "dcs"}
-_MEDIUM = {"hyperlink", "title", "notification", "cwd", "dnd", "sgr_conceal", "erase_scrollback", "alt_screen"}
-_ESC = re.compile(r"(?:\x1b\]|\x9d)(?P<osc>[^\x07\x1b\x9c]*)(?:\x07|\x1b\\|\x9c|$)|(?:\x1b\[|\x9b)(?P<csi>[0-?]*[ -/]*[@-~])|(?:\x1bP|\x90)(?P<dcs>[^\x1b\x9c]*)(?:\x1b\\|\x9c|$)|(?:\x1b[X^_]|[\x98\x9e\x9f])[^\x1b\x9c]*(?:\x1b\\|\x9c|$)|\x1b[ -/]+[0-~]|\x1b[0-~]?")
-
-
-def terminal_name(m: re.Match) -> str:
-    if m["osc"] is not None:
-        code, _, rest = m["osc"].partition(";")
-        if code == "9" and re.match(r"(?:[1-9]|1[0-2])(?:;|$)", rest):
-            return "conemu"
-        return OSC.get(code, "osc_unclassified")
-    if m["csi"] is not None:
-        params, final = m["csi"][:-1], m["csi"][-1]
-        if final == "J" and params == "3":
-            return "erase_scrollback"
-        if final == "m" and "8" in params.split(";"):
-            return "sgr_conceal"
-        if final in "hl" and params in ("?47", "?1047", "?1049"):
-            return "alt_screen"
-        return CSI.get(final, "csi_unknown")
-    return "dcs" if m["dcs"] is not None else "escape"
-
-
-def terminal_hits(text: str, most: int = 512) -> list[Hit]:
-    out: list[Hit] = []
-    for m in _ESC.finditer(text):
-        name = terminal_name(m)
-        out.append((m.start(), m.end(), 3 if name in _HIGH else 2 if name in _MEDIUM else 1, "terminal_escape", 1.0, name))
-        if len(out) == most:
-            break
-    return out
-
-
-def overwritten(text: str, width: int = 200) -> list[tuple[int, str, str]]:
-    """(row, shown before, shown after) where carriage returns, backspaces or line erasure repaint other text over a row."""
-    found = []
-    for row, line in enumerate(text.split("\n")):
-        cells: list[str] = []
-        lost, col, at = {}, 0, 0
-        before = ""
-        while at < len(line):
-            m = _ESC.match(line, at)
-            if m:
-                name = terminal_name(m)
-                if name == "erase_line":
-                    before = before or "".join(cells)
-                    cells = [] if m["csi"] == "2K" else cells[:col]
-                elif name == "cursor_column":
-                    col = max(0, int(m["csi"][:-1] or 1) - 1)
-                elif name == "cursor_back":
-                    col = max(0, col - int(m["csi"][:-1] or 1))
-                at = m.end()
-                continue
-            c = line[at]
-            at += 1
-            if c == "\r":
-                col = 0
-            elif c == "\b":
-                col = max(0, col - 1)
-            elif col < width:
-                cells += [" "] * (col + 1 - len(cells))
-                if cells[col] not in (" ", c):
-                    lost.setdefault(col, cells[col])
-                cells[col] = c
-                col += 1
-        shown = "".join(cells)
-        if lost:
-            found.append((row, "".join(lost[k] for k in sorted(lost)), shown))
-        elif before.strip() and before != shown:
-            found.append((row, before, shown))
-    return found
-
-
-def terminal_sequences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return _each(df, key, text, terminal_hits, "[\\x1b\\x80-\\x9f]")
-
-
-def terminal_repaints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    find = lambda t: [(0, len(t), 2, "terminal_escape", 1.0, f"row {r}: {a!r} repainted as {b!r}") for r, a, b in overwritten(t)[:128]]
-    return _each(df, key, text, find, "[\\x1b\\r\\x08]")

@@ -8,7 +8,7 @@ from ..functions.severity import default_trust
 from ..functions.spans import overlap_join
 from ..operators import decision as dec
 from ..operators import delegation as lease
-from ..operators import emit, ngrams, payloads, probe, tokenizer
+from ..operators import emit, ngrams, payloads, probe, terminal, tokenizer
 from .common import D, documents, table
 from .scan import _FINDINGS, _verdict
 
@@ -389,9 +389,12 @@ def perplexity_flags(spark, sf_dir):
     return payloads.perplexity(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"))
 
 
-@query()
+@query("""select doc_id, 'evaluated' as status, 4 + 2 * (length(text) - length(replace(text, chr(27), '')))::bigint as sequences, 3 as rank from documents where length(text) = strlen(text) and not contains(text, chr(13)) and not contains(text, chr(8))""")
 def terminal_findings_aug(spark, sf_dir):
-    return payloads.terminal_sequences(documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\x1b]52;c;QQ==\x07\x1b[3J\x1b[1;8;31mx\x1b[0m"))))
+    """ASCII documents with four sequences at their end: a clipboard write, an erased scrollback, concealed text and its end."""
+    docs = documents(spark, sf_dir, False).where("length(text) = octet_length(text) and not contains(text, chr(13)) and not contains(text, chr(8))")
+    rows = terminal.terminal_reports(docs.withColumn("text", F.concat("text", F.lit("\x1b]52;c;QQ==\x07\x1b[3J\x1b[1;8;31mx\x1b[0m"))))
+    return rows.select("doc_id", "status", "sequences", F.array_max(F.transform("findings", lambda f: f["rank"])).alias("rank"))
 
 
 @query(f"{D}, {_FINDINGS} select doc_id, cast(max_rank as int) as max_rank, {_verdict('monitor')} as verdict, 0::bigint as encoded from a")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sievegate.functions.spans import literal_starts, regex_hits
 from sievegate.operators import delegation as lease
 from sievegate.operators import detectors as det
-from sievegate.operators import emit, intake, ngrams, payloads, tokenizer
+from sievegate.operators import emit, intake, ngrams, payloads, terminal, tokenizer
 from sievegate.policy import Policy, load_patterns, load_policy
 
 
@@ -72,10 +72,45 @@ def test_perplexity_and_terminal():
     found = payloads.perplexity_clusters(score)
     assert len(found) == 1 and found[0][0] <= 150 and found[0][1] >= 210
     assert payloads.perplexity_clusters(score[:100]) is None
-    names = [h[5] for h in payloads.terminal_hits("\x1b]52;c;QQ==\x07\x1b[3J\x1b[1;8;31mx\x1b]0;t")]
-    assert names == ["clipboard", "erase_scrollback", "sgr_conceal", "title"]
-    assert payloads.overwritten("rm -rf /\rls -la  ")[0][2] == "ls -la  "
-    assert not payloads.overwritten("plain\ntext")
+    names = [s.name for s in terminal.scan_bytes(b"\x1b]52;c;QQ==\x07\x1b[3J\x1b[1;8;31mx\x1b]0;t")]
+    assert names == ["clipboard_contents", "erase_scrollback", "sgr_conceal", "change_window_title"]
+    assert not terminal.scan_bytes(b"plain\ntext")
+
+
+def repaints(raw):
+    return [s.detail for s in terminal.scan_bytes(raw) if s.kind == "pattern"]
+
+
+def test_screen():
+    assert repaints(b"rm -rf /\rls -la  ")[0].startswith('repaint: "rm')
+    assert repaints(b"secret\r\x1b[2Kplain") == ['repaint: "secret" → "plain"']
+    assert not repaints(b"same\r\x1b[2Ksame") and not repaints(b"gone\r\x1b[2K")
+    # a text that was there for a while only
+    assert len(repaints(b"A\x1b[2K\rB\x1b[2K\rA")) == 2
+    assert repaints(b"abc\x08\x08X")[0] == 'repaint: "b" → "X"'
+    assert any("unmodeled" in d for d in repaints(b"\x1b[?6h")) and any("untracked" in d for d in repaints(b"\x1b(0"))
+    # rows that scroll away are looked at
+    assert repaints(b"old\r\x1b[2Knew" + b"\n" * 60) == ['repaint: "old" → "new"']
+    # the other screen keeps its own rows and gives the first one back
+    assert not repaints(b"abc\x1b[?1049hxyz\x1b[?1049l") and repaints(b"abc\x1b[?1049hxyz\x1b[?1049l\rq")[0] == 'repaint: "a" → "q"'
+    # lines wrap, and insert mode pushes
+    assert not repaints(b"x" * 500) and not repaints(b"bc\r\x1b[4ha")
+    assert any("non-ASCII" in d for d in repaints("é\rab".encode()))
+    many = b"".join(b"\x1b[%d;%dHa\x1b[%d;%dHb" % (r, c, r, c) for r in range(1, 40) for c in range(1, 199, 2))
+    assert len(repaints(many)) == terminal.MOST + 1 and "cap" in repaints(many)[-1]
+    assert [s.name for s in terminal.scan_bytes(b"\x1b]8;;u\x07\x1b]8;;\x07\x1b]777;notify;x\x07\x1b]1337;Copy=:x\x07\x1b]9;7;x\x07\x1bPq\x1b\\\x1b")] == ["hyperlink_start", "hyperlink_end", "show_desktop_notification", "clipboard_contents", "conemu_run_process", "dcs", "escape"]
+
+
+def test_terminal_port(spark):
+    def broken(raw):
+        raise RuntimeError(raw)
+
+    df = spark.createDataFrame([(1, "a\x1b[2J"), (2, None)], "doc_id long, text string")
+    assert [r.status for r in terminal.terminal_reports(df).collect()] == ["evaluated", "evaluated"]
+    assert {r.status for r in terminal.terminal_reports(df, scanner=None).collect()} == {"skipped"}
+    assert {r.status for r in terminal.terminal_reports(df, scanner=broken).collect()} == {"failed"}
+    row = emit.scan(df.where("doc_id = 1"), load_policy("[scan.terminal_escapes]\nenabled = true")).first()
+    assert row.reasons == ["TerminalEscape"] and row.verdict == "flag"
 
 
 def test_entropy_and_rare(spark):
