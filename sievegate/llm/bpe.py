@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -30,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import bounded_batches
 from .texts import tidied
 
 #: Words of a task's cache; a full cache is emptied.
@@ -60,6 +62,7 @@ class PairIndexBPE:
         split = [p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pattern = regex.compile(split[0]["pattern"]["Regex"].replace(r"\s", _SPACE_IN_CLASS))
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.mark = os.path.commonprefix(list(self.added))  # what every added token begins with
         alphabet = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.last = [self.vocab.get(c + self.suffix) for c in alphabet]
@@ -132,7 +135,7 @@ class PairIndexBPE:
 
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens of a text; added tokens are their own words in the caches."""
-        if self.special is None or "<|" not in text:
+        if self.special is None or self.mark not in text:
             return self.pattern.findall(normal(text))
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -224,6 +227,7 @@ def _schema(df: DataFrame, key: str, more: str) -> str:
 
 
 def _spec(df: DataFrame, path: str):
+    bounded_batches(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

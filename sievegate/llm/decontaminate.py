@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Store, free_name
+from .store import Store, bounded_batches, free_name
 from .texts import U64, byte_view, chunks, lower_ascii, tidied
 
 Q = 8
@@ -247,6 +247,7 @@ def _passes(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_te
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` in whose text no window of an item is found, with all columns."""
+    bounded_batches(docs.sparkSession)
     scan = free_name(docs, "_scan")
     if _single(items, item_text, block):
         for needles in _blocks(items, item_key, item_text, block):
@@ -264,6 +265,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     shuffle. More are taken in blocks: each pass has one block in its plan and
     leaves a table of the texts found, by digest, which is joined at the end.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_scan"))
     none = (F.array().cast("array<bigint>").alias("_items"), F.lit(0).cast("long").alias("_windows"))
     if _single(items, item_text, block):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample
-from .store import free_name
+from .store import bounded_batches, free_name
 from .texts import tidied
 
 DICT_BYTES = 96 << 10
@@ -120,6 +120,7 @@ def fit_language(docs: DataFrame, learn, text: str = "text", lang: str = "lang",
 
 def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text", margin: float = MARGIN) -> DataFrame:
     """``docs`` with lang_pred, score and rejected; columns of these names in docs are replaced."""
+    bounded_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score", "rejected")
     schema = kept.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return kept.withColumn(free_name(kept, "_scan"), F.col(text).cast("string")).mapInArrow(_identify(model, margin), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import bounded_sample, labelled_sample
-from .store import free_name
+from .store import bounded_batches, free_name
 from .texts import Rolling, byte_view, chunks, mix64, release, tidied, words
 
 BITS = 11
@@ -225,6 +225,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id",
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """``docs`` with a last column ``score`` in 0..1; a column of that name in docs is replaced."""
+    bounded_batches(docs.sparkSession)
     rows = docs.drop("score").withColumn(free_name(docs, "_scan"), F.col(text).cast("string"))
     schema = docs.drop("score").schema.add("score", "double")
     return rows.mapInArrow(_score(model), schema)

@@ -27,10 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Rows that go to Python at once: texts are long, and Spark's own number of rows takes no account of that.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches where the session has Spark's default, so that a task's buffers hold a few megabytes of text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Store:
     """Named tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bounded_batches(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .quality import fit_scale
 from .sampling import bounded_sample, labelled_sample
-from .store import free_name
+from .store import bounded_batches, free_name
 from .texts import LETTER, Rolling, U64, byte_view, chunks, lower_ascii, release, tidied, words
 
 SAMPLE = 3000
@@ -327,5 +327,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id",
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` with a last column ``score`` in 0..1; a column of that name in docs is replaced."""
+    bounded_batches(docs.sparkSession)
     kept = docs.drop("score")
     return kept.withColumn(free_name(kept, "_scan"), F.col(text).cast("string")).mapInArrow(_score(model), kept.schema.add("score", "double"))
