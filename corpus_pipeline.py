@@ -22,12 +22,14 @@ QUALITY = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that read as label 0 go; null and empty texts get the score of an empty text, repeated rows are rows like others."""
     learn = ~F.coalesce(fold(5) == 0, F.lit(False))
     model = fit_quality(docs, table(spark, sf_dir, "labels"), learn)
     return score_quality(docs, model).where(F.col("score") >= QUALITY).select(*docs.columns)
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines leave the texts; a null text stays null, a null source is a host of its own, repeated rows count as pages."""
     return line_dedup(docs, counts=False)
 
 
@@ -40,10 +42,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go; null and empty texts are clean, null items say nothing, repeated rows go or stay together."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text; a null text is empty, repeated rows are rows like others."""
     return bpe_encode(docs, vocabulary())
 
 
