@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import decisions, gates, scan
+from .plans import decisions, gates, scan, streams
 
-QUERIES: dict = {**scan.QUERIES, **decisions.QUERIES, **gates.QUERIES}
-ORACLES: dict = {**scan.ORACLES, **decisions.ORACLES, **gates.ORACLES}
+QUERIES: dict = {**scan.QUERIES, **decisions.QUERIES, **gates.QUERIES, **streams.QUERIES}
+ORACLES: dict = {**scan.ORACLES, **decisions.ORACLES, **gates.ORACLES, **streams.ORACLES}
