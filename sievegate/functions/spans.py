@@ -10,40 +10,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MARK = "\x01"
+#: Pieces whose offsets are summed at once. An array that grows is copied at each step, so long lists are summed in blocks, and the blocks' sums once more.
+_BLOCK = 256
+_SPANS = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
-def _with_offsets(pieces: Column, matched) -> Column:
-    """From pieces to structs of start, end, text for the pieces whose place ``matched`` accepts."""
-    start = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:bigint,end:bigint,text:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc.at + F.octet_length(x)).alias("at"),
-            (acc.i + 1).alias("i"),
-            F.when(matched(acc.i), F.concat(acc.out, F.array(F.struct(acc.at.alias("start"), (acc.at + F.octet_length(x)).alias("end"), x.alias("text"))))).otherwise(acc.out).alias("out"),
-        ),
-    )
-    return start["out"]
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, though it stands in lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _offsets(pieces: Column, gap: int) -> Column:
+    """(start, end, text) of the pieces, which stand ``gap`` bytes apart."""
+
+    def within(part: Column, base: Column) -> Column:
+        step = lambda a, x: F.struct((a.at + F.octet_length(x) + gap).alias("at"), F.concat(a.out, F.array(F.struct(a.at.alias("start"), (a.at + F.octet_length(x)).alias("end"), x.alias("text")))).alias("out"))
+        return F.aggregate(part, F.struct(base.alias("at"), F.array().cast(_SPANS).alias("out")), step)["out"]
+
+    def summed(blocks: Column) -> Column:
+        add = lambda a, x: F.struct((a.at + x).alias("at"), F.concat(a.out, F.array(a.at)).alias("out"))
+        sums = F.transform(blocks, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + gap))
+        return F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), add)["out"]
+
+    in_blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / _BLOCK).cast("int")), lambda i: F.slice(p, i * _BLOCK + 1, F.lit(_BLOCK)))
+    whole = lambda blocks: F.flatten(F.zip_with(blocks, summed(blocks), within))
+    return _bound(pieces, lambda p: _bound(in_blocks(p), whole))
 
 
 def regex_hits(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of the matches of a Java pattern, in bytes; empty where none or null."""
     clean = F.replace(text, F.lit(_MARK), F.lit("\x02"))  # one byte for one byte
     pieces = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK)
-    none = F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")
-    return F.when(text.rlike(pattern), _with_offsets(pieces, lambda i: i % 2 == 1)).otherwise(none)
+    hits = F.filter(_offsets(pieces, 0), lambda x, i: i % 2 == 1)
+    return F.when(text.rlike(pattern), hits).otherwise(F.array().cast(_SPANS))
 
 
 def literal_starts(text: Column, needle: str) -> Column:
     """Byte starts of the non-overlapping occurrences of a literal."""
     pieces = F.split(text, "\\Q" + needle + "\\E")
-    size = len(needle.encode())
-    sums = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, x: F.struct((acc.at + F.octet_length(x) + size).alias("at"), F.concat(acc.out, F.array(acc.at + F.octet_length(x))).alias("out")),
-    )
-    return F.when(F.contains(text, F.lit(needle)), sums["out"]).otherwise(F.array().cast("array<bigint>"))
+    ends = lambda spans: F.transform(F.slice(spans, 1, F.size(spans) - 1), lambda x: x.end)
+    return F.when(F.contains(text, F.lit(needle)), _bound(_offsets(pieces, len(needle.encode())), ends)).otherwise(F.array().cast("array<bigint>"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, page: int = 1024) -> DataFrame:

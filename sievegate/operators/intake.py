@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.severity import default_trust
 from .detectors import INVISIBLE
@@ -31,21 +30,22 @@ def graphemes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("\\X"), F.lit(0))
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t and unicodedata.normalize("NFC", t))
+def _form(form: str):
+    def run(texts: pa.Array) -> pa.Array:
+        # Arrow's own kernel does not compose; texts that are normal already, as all ASCII is, pass as they are
+        same = lambda t: t is None or t.isascii() or unicodedata.is_normalized(form, t)
+        values = texts.to_pylist()
+        if all(map(same, values)):
+            return texts
+        return pa.array([t if same(t) else unicodedata.normalize(form, t) for t in values], type=pa.string())
 
-
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t and unicodedata.normalize("NFKC", t))
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")
 
 
 def normalize(text: Column, form: str = "nfc") -> Column:
-    """Normal form; ASCII text needs none."""
-    if form == "none":
-        return text
-    return F.when(text.rlike("^[\\x00-\\x7F]*$"), text).otherwise((_nfc if form == "nfc" else _nfkc)(text))
+    """Normal form, in Arrow batches."""
+    return text if form == "none" else _form(form.upper())(text)
 
 
 def strip_all(text: Column) -> Column:
