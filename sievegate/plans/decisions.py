@@ -10,7 +10,7 @@ from ..operators import decision as dec
 from ..operators import delegation as lease
 from ..operators import emit, ngrams, payloads, probe, terminal, tokenizer
 from .common import D, documents, table
-from .scan import _FINDINGS, _verdict
+from .scan import _FINDINGS, _SPIKES, _verdict
 
 QUERIES, ORACLES = {}, {}
 
@@ -40,7 +40,8 @@ def rare_ngram_stats(spark, sf_dir):
     return ngrams.rare_stats(documents(spark, sf_dir, False))
 
 
-@query()
+@query(f"""with d as (select doc_id, text from documents), {_SPIKES}, w as (select doc_id, avg(h) as average, max(h) as top, count(*) filter (abs(h - base) >= 3) as anomalies from levels group by 1)
+  select d.doc_id, round(coalesce(base, 0), 6) as baseline, round(coalesce(average, base, 0), 6) as average, round(greatest(coalesce(top, 0), coalesce(base, 0)), 6) as peak, coalesce(anomalies, 0) as anomalies from d left join whole using (doc_id) left join w using (doc_id)""")
 def entropy_anomalies(spark, sf_dir):
     return ngrams.entropy_profiles(documents(spark, sf_dir, False))
 
