@@ -3,7 +3,8 @@
 Trusted positives, unlabelled web text and a class prior are all that the
 scorer learns from: it minimises the non-negative unbiased risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with logistic loss. The
-prior is given, or estimated as the share of positives among labelled rows.
+prior is given, or estimated: the share of positives among labelled rows, if
+positives and unlabelled rows allow that much.
 Its scores then get a scale and an offset (logistic, on labelled rows), so that
 they read as probabilities.
 
@@ -137,6 +138,26 @@ def _least_risk(p: np.ndarray, u: np.ndarray, prior: float, rounds: int, rate: f
     return w * norm, b
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, start: float = 0.5) -> float:
+    """Share of positives among unlabelled rows, from both alone.
+
+    A scorer is fitted on half of each; on the other halves, the share of
+    unlabelled rows above a score is at least the prior times the share of
+    positives there, so the smallest ratio, where positives are not too few for
+    it to be sure, bounds the prior, and is it where no negative scores as high.
+    """
+    if len(positive) < 8 or len(unlabelled) < 8:
+        return start
+    half = lambda x, k: x[k::2].copy()
+    w, b = fit_nnpu(half(positive, 0), half(unlabelled, 0), start, rounds=60)
+    p, u = np.sort(half(positive, 1) @ w + b), np.sort(half(unlabelled, 1) @ w + b)
+    at = np.quantile(p, np.linspace(0.02, 0.8, 40))
+    above = lambda x: 1 - np.searchsorted(x, at, side="left") / len(x)
+    mine, all_ = above(p), above(u)
+    slack = np.sqrt(all_ * (1 - all_) / len(u)) / mine  # one standard error, so that the least of many is not too small
+    return float(np.clip(np.min(all_ / mine + slack), 0.01, 0.99))
+
+
 def fit_scale(score: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[float, float]:
     """Slope and offset of a logistic curve through labelled scores, by Newton steps with a weak prior."""
     center, spread = float(score.mean()), float(score.std()) or 1.0
@@ -158,20 +179,31 @@ class QualityModel:
         self.weights, self.offset, self.prior = weights, offset, prior
 
     @classmethod
-    def fit(cls, positive: list[str], unlabelled: list[str], prior: float, negative: list[str] = ()) -> QualityModel:
-        """The scorer learns from ``positive``, ``unlabelled`` and ``prior``; ``negative`` only helps to find the scale of its scores."""
+    def fit(cls, positive: list[str], unlabelled: list[str], prior: float | None, negative: list[str] = (), share: float | None = None) -> QualityModel:
+        """The scorer learns from ``positive``, ``unlabelled`` and ``prior``.
+
+        If the prior is None it is estimated from both, and is at most ``share``,
+        the share of positives among labelled rows, where that is known.
+        ``negative`` only helps to find the scale of the scores.
+        """
         if not positive or not unlabelled:
-            p = min(max(prior, 1e-6), 1 - 1e-6)
-            return cls(np.zeros(WIDTH), float(np.log(p / (1 - p))), prior)
-        p = features(positive)
-        w, b = fit_nnpu(p, features(unlabelled), prior)
+            known = share if prior is None else prior
+            p = min(max(0.5 if known is None else known, 1e-6), 1 - 1e-6)
+            return cls(np.zeros(WIDTH), float(np.log(p / (1 - p))), p)
+        p, u = features(positive), features(unlabelled)
+        if prior is None:
+            prior = estimate_prior(p, u, 0.5 if share is None else share)
+            prior = prior if share is None or share >= 1 else min(prior, share)
+        w, b = fit_nnpu(p, u, prior)
+        del u
         if negative:
+            prior_, prior = prior, prior if share is None else share
             # labels as frequent as the whole has them
             keep = min(len(positive) / max(1e-9, prior), len(negative) / max(1e-9, 1 - prior))
             good = p[: max(1, int(keep * prior))] @ w + b
             bad = features(negative[: max(1, int(keep * (1 - prior)))]) @ w + b
             slope, shift = fit_scale(np.concatenate((good, bad)), np.repeat([1.0, 0.0], [len(good), len(bad)]))
-            w, b = w * slope, b * slope + shift
+            w, b, prior = w * slope, b * slope + shift, prior_
         return cls(w.astype(np.float64), float(b), prior)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -215,9 +247,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id",
     """Fit on rows where the condition ``learn`` on docs holds. Bound: ``sample`` texts each of positives, unlabelled and labelled rows."""
     rows = docs.where(learn).select(F.col(text).cast("string").alias("t"))
     picked, share = labelled_sample(docs, labels, learn, key, text, label, sample)
-    prior = share if prior is None else prior
     loose = bounded_sample(rows.select("t", F.lit(0).alias("g")), "g", "t", 2 * sample).get(0, [])
-    model = QualityModel.fit(picked.get(1, []), loose, 0.5 if prior is None else prior, picked.get(0, []))
+    model = QualityModel.fit(picked.get(1, []), loose, prior, picked.get(0, []), share)
     del picked, loose
     release()
     return model

@@ -80,3 +80,28 @@ def test_edges(spark):
     assert score_quality(none, fit_quality(none, labels, always)).count() == 0
     assert score_toxicity(none, fit_toxicity(none, labels.limit(0), always)).count() == 0
     assert LanguageModel({}).predict("hello") == ("und", 0.0, True)
+
+
+def test_prior_from_positives_and_unlabelled():
+    from sievegate.llm.quality import WIDTH, estimate_prior
+
+    rng = np.random.default_rng(8)
+    for share in (0.3, 0.6, 0.85):
+        good = lambda n: (np.abs(rng.normal(size=(n, WIDTH))) * (1 + (np.arange(WIDTH) < 300))).astype(np.float32)
+        bad = lambda n: (np.abs(rng.normal(size=(n, WIDTH))) * (1 + (np.arange(WIDTH) >= WIDTH - 300))).astype(np.float32)
+        n = 600
+        loose = np.concatenate((good(int(n * share)), bad(n - int(n * share))))
+        assert abs(estimate_prior(good(300), loose[rng.permutation(n)]) - share) < 0.12
+    assert estimate_prior(np.zeros((2, WIDTH), dtype=np.float32), np.zeros((2, WIDTH), dtype=np.float32), 0.4) == 0.4
+
+
+def test_samples_are_whole_texts_in_hash_order(spark):
+    from sievegate.llm.sampling import bounded_sample
+
+    rows = [("a", f"{i} " + "x" * (i % 50)) for i in range(400)] + [("a", "copied text")] * 500 + [("b", "y" * 3000), ("b", "short"), ("c", None), (None, "z")]
+    df = spark.createDataFrame(rows, "g string, t string")
+    got = bounded_sample(df, "g", "t", 100, most_bytes=32_000)
+    assert set(got) == {"a", "b"} and got["b"] == ["short"] and 60 <= len(got["a"]) <= 100
+    assert set(got["a"]) <= {t for _, t in rows} and len(set(got["a"])) == len(got["a"]) and got["a"] != sorted(got["a"])
+    assert bounded_sample(df.repartition(7), "g", "t", 100, most_bytes=32_000) == got
+    assert bounded_sample(df.limit(0), "g", "t", 100) == {}
