@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.textmap import INVISIBLE_CLASS
@@ -198,3 +198,13 @@ def perplexity_hits(text: str, scorer: Callable[[str], np.ndarray] = surprisals)
 
 def perplexity(df: DataFrame, key: str = "doc_id", text: str = "text", scorer: Callable[[str], np.ndarray] = surprisals) -> DataFrame:
     return _each(df, key, text, lambda t: perplexity_hits(t, scorer), None)
+
+
+def mean_surprisal(text: Column, order: int = 4) -> Column:
+    """Mean of ``surprisals`` of each text; 0 for an empty or null one."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([float(surprisals(t, order).mean()) if t else 0.0 for t in texts.to_pylist()], type=pa.float64())
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(text)

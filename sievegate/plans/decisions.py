@@ -385,6 +385,17 @@ def html_comments(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(F.contains("html", F.lit("<!--"))).select("page_id", F.regexp_count("html", F.lit("<!--[\\s\\S]*?-->")).cast("long").alias("comments"))
 
 
+@query("""with t as (select conv_id, turn, text, length(text) as n from conversations), c as (select conv_id, turn, text, n, unnest(range(1, n + 1)) as i from t),
+  x as (select conv_id, turn, n, i, substring(text, i, 1) as ch, case when i > 4 then substring(text, i - 4, 4) end as ctx from c),
+  v as (select conv_id, turn, count(distinct ch) as v from x group by 1, 2),
+  k as (select x.*, v, count(*) over (partition by conv_id, turn, ch) as nch, count(*) over (partition by conv_id, turn, ctx) as nctx, count(*) over (partition by conv_id, turn, ctx, ch) as npair from x join v using (conv_id, turn)),
+  s as (select conv_id, turn, avg(case when ctx is null then -ln((nch + 1) / (n + v)) else -ln((npair + 1) / (nctx + v)) end) as m from k group by 1, 2)
+  select conv_id, turn, round(coalesce(m, 0), 6) as surprisal from conversations left join s using (conv_id, turn)""")
+def surprisal_means(spark, sf_dir):
+    """How surprising each turn is on the whole, under a model of itself."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(payloads.mean_surprisal(F.col("text")), 6).alias("surprisal"))
+
+
 @query()
 def perplexity_flags(spark, sf_dir):
     return payloads.perplexity(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"))
