@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_FOLDERS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,7 @@ class Store:
         bounded_batches(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _FOLDERS.append(self.path)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back; a lost executor costs no recomputation from here on."""
@@ -56,12 +58,21 @@ class Store:
 
     def drop(self, *names: str) -> None:
         """Remove tables that no pending frame reads, and let Spark clear the shuffles behind them."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(self.spark, f"{self.path}/{name}")
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables of this session's operators. Frames that operators have returned read some of them, so their results must have been saved."""
+    while _FOLDERS:
+        _remove(spark, _FOLDERS.pop())
 
 
 def parts(spark: SparkSession) -> int:

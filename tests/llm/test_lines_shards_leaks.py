@@ -226,3 +226,16 @@ def test_line_dedup_of_a_very_long_text(spark):
     rows = [(i, f"Menu\nbody {i}", "h") for i in range(12)] + [(50, long + "\nMenu", "h")]
     out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert out[50] == (long, 1) and out[3] == ("body 3", 1)
+
+
+def test_tables_are_cleared(spark):
+    import os
+
+    from sievegate.llm.store import _FOLDERS, Store, clear
+
+    store = Store(spark, "t")
+    store.put("x", spark.range(3))
+    path = store.path.removeprefix("file://") + "/x"
+    assert os.path.isdir(path) and store.path in _FOLDERS
+    clear(spark)
+    assert not os.path.isdir(path) and not _FOLDERS
