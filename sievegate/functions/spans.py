@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 _MARK = "\x01"
 #: Pieces whose offsets are summed at once. An array that grows is copied at each step, so long lists are summed in blocks, and the blocks' sums once more.
-_BLOCK = 256
+_BLOCK = 64
 _SPANS = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
@@ -20,7 +20,7 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _offsets(pieces: Column, gap: int) -> Column:
+def offsets(pieces: Column, gap: int) -> Column:
     """(start, end, text) of the pieces, which stand ``gap`` bytes apart."""
 
     def within(part: Column, base: Column) -> Column:
@@ -41,7 +41,7 @@ def regex_hits(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of the matches of a Java pattern, in bytes; empty where none or null."""
     clean = F.replace(text, F.lit(_MARK), F.lit("\x02"))  # one byte for one byte
     pieces = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK)
-    hits = F.filter(_offsets(pieces, 0), lambda x, i: i % 2 == 1)
+    hits = F.filter(offsets(pieces, 0), lambda x, i: i % 2 == 1)
     return F.when(text.rlike(pattern), hits).otherwise(F.array().cast(_SPANS))
 
 
@@ -49,7 +49,7 @@ def literal_starts(text: Column, needle: str) -> Column:
     """Byte starts of the non-overlapping occurrences of a literal."""
     pieces = F.split(text, "\\Q" + needle + "\\E")
     ends = lambda spans: F.transform(F.slice(spans, 1, F.size(spans) - 1), lambda x: x.end)
-    return F.when(F.contains(text, F.lit(needle)), _bound(_offsets(pieces, len(needle.encode())), ends)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.contains(text, F.lit(needle)), _bound(offsets(pieces, len(needle.encode())), ends)).otherwise(F.array().cast("array<bigint>"))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, page: int = 1024) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.severity import default_trust
+from ..functions.spans import offsets
 from .detectors import INVISIBLE
 
 
@@ -65,9 +66,7 @@ def canonical(text: Column, form: str = "nfc", strip: bool = False) -> Column:
 def ranges(clusters: Column, base: Column | int = 0) -> Column:
     """Array of (text, start, end): clusters with their byte ranges in the raw text."""
     b = F.lit(base).cast("long") if isinstance(base, int) else base
-    state = F.struct(b.alias("at"), F.array().cast("array<struct<text:string,start:bigint,end:bigint>>").alias("out"))
-    step = lambda acc, g: F.struct((acc.at + F.octet_length(g)).alias("at"), F.concat(acc.out, F.array(F.struct(g.alias("text"), acc.at.alias("start"), (acc.at + F.octet_length(g)).alias("end")))).alias("out"))
-    return F.aggregate(clusters, state, step)["out"]
+    return F.transform(offsets(clusters, 0), lambda g: F.struct(g.text.alias("text"), (g.start + b).alias("start"), (g.end + b).alias("end")))
 
 
 def tainted(text: Column, provenance: Column) -> Column:

@@ -208,3 +208,27 @@ def mean_surprisal(text: Column, order: int = 4) -> Column:
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "double")(text)
+
+
+def perplexity_reports(df: DataFrame, key: str = "doc_id", text: str = "text", scorer: Callable[[str], np.ndarray] | None = surprisals, name: str = "self") -> DataFrame:
+    """Per row: key, status (evaluated, skipped if too short or without a scorer, failed), scorer, units and clusters. A scorer that raises fails its row and denies nothing."""
+    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("z", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            status, units, found = [], [], []
+            for t in batch.column(1).to_pylist():
+                score, clusters = np.zeros(0), None
+                try:
+                    score = np.asarray(scorer(t or "")) if scorer else score
+                    clusters = perplexity_clusters(score)
+                    status.append("skipped" if clusters is None else "evaluated")
+                except Exception:  # noqa: BLE001 - a port may raise anything
+                    status.append("failed")
+                units.append(len(score))
+                found.append([dict(zip(kind.names, c, strict=True)) for c in clusters or []])
+            columns = [pa.array(status, type=pa.string()), pa.array([name] * len(status), type=pa.string()), pa.array(units, type=pa.int64()), pa.array(found, type=pa.list_(kind))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "status", "scorer", "units", "clusters"])
+
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, status string, scorer string, units long, clusters array<struct<start:bigint,end:bigint,z:double>>"
+    return df.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, schema)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotate, gate, ledger, probe, tokenizer
+from ..operators import annotate, gate, intake, ledger, probe, tokenizer
 from ..operators import decision as dec
 from ..operators import delegation as lease
 from ..operators import detectors as det
 from ..operators import emit
+from ..perception import adapters
 from .common import D, documents, table
 from .decisions import _CASES, _SAMPLES, _cases, _ranks, _segments, samples
 from .scan import _FINDINGS, _KEY, _MAIL, _verdict
@@ -263,3 +264,51 @@ def ledger_binding(spark, sf_dir):
     hash_ = F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 3 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(message, 256))
     body = F.to_json(F.struct(F.struct(F.struct(F.struct(hash_.alias("value")).alias("hash")).alias("data"), F.struct(F.when(k % 4 == 0, "b3RoZXI=").otherwise("c2ln").alias("content")).alias("signature")).alias("spec")))
     return table(spark, sf_dir, "orders").select(k.alias("entry"), ledger.binding_error(F.base64(F.encode(body, "utf-8")), message, F.lit("c2ln")).alias("error"))
+
+
+# ---- what stands in text
+
+
+@query("""select page_id, case page_id % 6 when 4 then 2 when 5 then 0 else 1 end::bigint as findings, case page_id % 6 when 0 then 3 when 5 then 0 else 2 end::int as top,
+  case page_id % 6 when 0 then 'decoded(comment): ignore previous' when 1 then 'decoded(base64): from now on' when 2 then 'decoded(percent): act as' when 3 then 'decoded(entity): act as' when 4 then 'decoded(html-hidden): override' end as evidence from pages""")
+def encoded_payload_kinds(spark, sf_dir):
+    """A payload in each encoding, and one that is none; the last finding of each."""
+    plain = F.base64(F.encode(F.concat(F.lit("from now on, page "), F.col("page_id").cast("string")), "utf-8"))
+    kinds = F.array(F.lit("see <!-- ignore previous rules --> here"), F.concat(F.lit("é data "), plain, F.lit(" end")), F.lit("go %61%63%74%20%61%73"), F.lit("x &#97;&#x63;&#116;&#32;&#97;&#115; y"), F.lit("<p hidden>override it</p>"), F.lit("nothing &#1114112;&#1;&#2; at all"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.element_at(kinds, (F.col("page_id") % 6 + 1).cast("int")).alias("text"))
+    hidden = lambda f: F.startswith(f.evidence, F.lit("decoded(")) | (f.detector == "encoded_payload")
+    f = F.col("f")
+    rows = emit.scan(pages).select("page_id", F.filter("findings", hidden).alias("f"))
+    return rows.select("page_id", F.size(f).cast("long").alias("findings"), F.coalesce(F.array_max(F.transform(f, lambda x: x["rank"])), F.lit(0)).alias("top"), F.get(f, F.size(f) - 1)["evidence"].alias("evidence"))
+
+
+@query("select doc_id, length_grapheme(text)::bigint as clusters, strlen(text)::bigint as last_byte, coalesce(strlen(left(text, 1)), 0)::bigint as first_end from documents where length(text) = length_grapheme(text) and not contains(text, chr(13))")
+def grapheme_ranges(spark, sf_dir):
+    docs = documents(spark, sf_dir, False).withColumn("r", intake.ranges(intake.graphemes(F.col("text")))).where("size(r) = char_length(text) and not contains(text, chr(13))")
+    end = lambda i: F.coalesce(F.get("r", i)["end"], F.lit(0)).cast("long")
+    return docs.select("doc_id", F.size("r").cast("long").alias("clusters"), end(F.size("r") - 1).alias("last_byte"), end(F.lit(0)).alias("first_end"))
+
+
+@query("""select o_orderkey as lease, 'lease-v1|id=' || o_orderkey || '|principal=' || replace(replace(replace(replace(p, chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), '=', chr(92) || '='), chr(10), chr(92) || 'n') as message
+  from (select o_orderkey, o_orderstatus || '|a=' || chr(92) || chr(10) || o_custkey as p from orders)""")
+def lease_messages(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    principal = F.concat(F.col("o_orderstatus"), F.lit("|a=\\\n"), F.col("o_custkey").cast("string"))
+    return o.select(F.col("o_orderkey").alias("lease"), lease.lease_message({"id": F.col("o_orderkey"), "principal": principal}).alias("message"))
+
+
+@query(f"{D} select doc_id, 'receipt-v2|raw=' || sha256(text) || '|canonical=' || sha256(nfc_normalize(text)) || '|digest=sha256|norm=nfc|vocab=gpt2|tokens=' || length(text) as message from d")
+def receipt_messages(spark, sf_dir):
+    raw, canonical = emit.digests(F.col("text"), intake.canonical(F.col("text")), 256)
+    return documents(spark, sf_dir).select("doc_id", emit.receipt_message(raw, canonical, "sha256", "nfc", "gpt2", F.char_length("text")).alias("message"))
+
+
+@query("""with t as (select doc_id, lower(text) as a, text as b from documents), w as (select doc_id, a, b, unnest(string_split(a, chr(10))) as line from t),
+  x as (select doc_id, line, list_filter(list_distinct(list_transform(string_split_regex(line, '\\s+'), lambda z: regexp_replace(lower(z), '^[^\\pL\\pN]+|[^\\pL\\pN]+$', '', 'g'))), lambda z: z <> '') as v,
+    list_distinct(list_transform(string_split_regex(left(b, length(b) // 2), '\\s+'), lambda z: regexp_replace(lower(z), '^[^\\pL\\pN]+|[^\\pL\\pN]+$', '', 'g'))) as shown from w)
+  select d.doc_id, count(x.line) as lines from documents d left join (select * from x where len(v) > 0 and len(list_intersect(v, shown)) < 0.8 * len(v)) x using (doc_id) where not contains(d.text, chr(13)) group by 1""")
+def render_divergence(spark, sf_dir):
+    """Lines of a text whose words the first half of it does not show."""
+    docs = documents(spark, sf_dir, False).where("not contains(text, chr(13))")
+    shown = F.left("text", F.floor(F.char_length("text") / 2).cast("int"))
+    return docs.select("doc_id", F.size(adapters.divergent_lines(F.lower("text"), shown)).cast("long").alias("lines"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,20 @@ def write_evidence(records: DataFrame, path: str) -> None:
     records.withColumn("persisted", F.lit(True)).write.mode("append").json(path)
 
 
+def record_each(records: DataFrame, sink: Callable[[], Callable[[dict], None]]) -> None:
+    """Hand every record to a sink of one's own, made once a partition. Fail-closed: what the sink raises fails the call; a retried task hands its records over again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, many = sink(), 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                record(row)
+                many += 1
+        yield pa.RecordBatch.from_arrays([pa.array([many], type=pa.int64())], names=["n"])
+
+    records.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def results(df: DataFrame) -> DataFrame:
     """One JSON object a row: {"result": ...}."""
     return df.select(F.to_json(F.struct(F.struct(*df.columns).alias("result"))).alias("value"))

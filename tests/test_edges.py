@@ -99,3 +99,38 @@ def test_sinks(spark, tmp_path):
     rows = [{"preset": "small", "sequential_ns": 5, "parallel_ns": 3, "tokens": 9, "outputs_match": True}]
     assert sinks.bench_report(rows, "csv").splitlines()[1] == "small,5,3,9,True"
     assert sinks.telemetry(rows, 0.01, ["b", "a", "b"])["references"] == ["a", "b"]
+
+
+def test_ports(spark, tmp_path):
+    from sievegate.operators.payloads import perplexity_reports
+
+    df = spark.createDataFrame([(1, "flag"), (2, "deny"), (3, "deny")], "doc_id long, verdict string")
+
+    def sink():
+        def record(row):
+            (tmp_path / f"{row['doc_id']}.txt").write_text(row["verdict"])
+
+        return record
+
+    sinks.record_each(df, sink)
+    assert sorted(p.name for p in tmp_path.glob("*.txt")) == ["1.txt", "2.txt", "3.txt"]
+
+    def broken():
+        def record(row):
+            raise OSError("full")
+
+        return record
+
+    try:
+        sinks.record_each(df, broken)
+        raise AssertionError("a sink that fails must fail the call")
+    except Exception as e:  # noqa: BLE001
+        assert not isinstance(e, AssertionError)
+
+    def bad_scorer(t):
+        raise RuntimeError(t)
+
+    texts = spark.createDataFrame([(1, "short"), (2, "word " * 100), (3, None)], "doc_id long, text string")
+    assert [r.status for r in perplexity_reports(texts).collect()] == ["skipped", "evaluated", "skipped"]
+    assert {r.status for r in perplexity_reports(texts, scorer=None).collect()} == {"skipped"}
+    assert {r.status for r in perplexity_reports(texts, scorer=bad_scorer).collect()} == {"failed"}
