@@ -1,6 +1,5 @@
 """Compare a query with its DuckDB SQL: row count, column names, and values without order."""
 
-import glob
 import math
 import os
 
