@@ -45,6 +45,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _columns(ranks: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(list(ranks), dtype=np.int64), np.array(list(ranks.values()), dtype=np.int64)
+
+
 class PairIndexBPE:
     """The model of one vocabulary file."""
 
@@ -55,81 +59,114 @@ class PairIndexBPE:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.made: list[tuple[int, int, int]] = []  # by rank: the pair and what it becomes
+        after: dict[int, dict[int, int]] = defaultdict(dict)
+        before: dict[int, dict[int, int]] = defaultdict(dict)
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank.setdefault((self.vocab[a], self.vocab[b]), (r, self.vocab[a + b]))
+            x, y = self.vocab[a], self.vocab[b]
+            self.made.append((x, y, self.vocab[a + b]))
+            before[y].setdefault(x, after[x].setdefault(y, r))
+        # of a symbol: the symbols that may stand after (before) it in a pair, and the ranks of the pairs
+        self.after = {x: _columns(y) for x, y in after.items()}
+        self.before = {x: _columns(y) for x, y in before.items()}
+        self.hits = np.full(max(self.vocab.values(), default=0) + 1, -1, dtype=np.int64)  # scratch, by symbol
         split = [p for p in file["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.pattern = regex.compile(split[0]["pattern"]["Regex"].replace(r"\s", _SPACE_IN_CLASS))
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.mark = os.path.commonprefix(list(self.added))  # what every added token begins with
         alphabet = byte_alphabet()
-        self.inner = [self.vocab.get(c) for c in alphabet]
-        self.last = [self.vocab.get(c + self.suffix) for c in alphabet]
+        # bytes inside a word, then last bytes; -1 where the vocabulary has none
+        self.spelled = np.array([self.vocab.get(c, -1) for c in alphabet] + [self.vocab.get(c + self.suffix, -1) for c in alphabet], dtype=np.int64)
+        spells = self.spelled.tolist()
+        self.first = np.array([[after.get(y, -1) for y in spells] for after in (after.get(x, {}) for x in spells)], dtype=np.int64)
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, str] = {}
 
     # -- words
 
-    def merge_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, all words at once."""
-        symbol: list[int] = []
-        start = []
-        for w in words:
-            raw = w.encode()
-            start.append(len(symbol))
-            symbol += [x for x in [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]] if x is not None]
-        start.append(len(symbol))
-        n = len(symbol)
-        right = list(range(1, n + 1))
-        left = list(range(-1, n - 1))
-        for s in start[1:]:
-            if 0 < s:
-                right[s - 1] = -1
-            if s < n:
-                left[s] = -1
-        where: dict[int, list[int]] = defaultdict(list)
-        made: dict[int, tuple[tuple[int, int], int]] = {}
-        rank = self.rank
-        for i in range(n):
-            j = right[i]
-            if j >= 0 and (hit := rank.get((symbol[i], symbol[j]))):
-                where[hit[0]].append(i)
-                made[hit[0]] = ((symbol[i], symbol[j]), hit[1])
-        active = list(where)
-        heapq.heapify(active)
+    def ranks(self, pairs: tuple[np.ndarray, np.ndarray], symbols: np.ndarray) -> np.ndarray:
+        """The rank of the pair with each of ``symbols``, -1 if there is none; ``pairs`` are an entry of ``after`` or ``before``."""
+        self.hits[pairs[0]] = pairs[1]
+        found = self.hits[symbols]
+        self.hits[pairs[0]] = -1
+        return found
+
+    def merge_words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of all words, merged at once, one word after the other, and where each word begins (and the last ends)."""
+        raw = [w.encode() for w in words]
+        stop = np.cumsum([len(w) for w in raw], dtype=np.int64)
+        kind = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64)
+        kind[stop - 1] += 256
+        known = self.spelled[kind] >= 0
+        kind = kind[known]
+        n = len(kind)
+        start = np.concatenate(([0], np.cumsum(known)))[np.concatenate(([0], stop))]
+        if not n:
+            return [], start.tolist()
+        ends = np.arange(1, n + 1)
+        ends[start[1:] - 1] = -1
+        begins = np.arange(-1, n - 1)
+        begins[start[:-1][start[:-1] < n]] = -1
+        pairs = np.where(ends[:-1] >= 0, self.first[kind[:-1], kind[1:]], -1)
+        symbol, right, left = self.spelled[kind], ends, begins
+        where: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def index(ranks: np.ndarray, places: np.ndarray) -> None:
+            some = np.flatnonzero(ranks >= 0)
+            if not len(some):
+                return
+            some = some[np.argsort(ranks[some], kind="stable")]
+            ranks, places = ranks[some], places[some]
+            cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            bounds = [0, *cut.tolist(), len(ranks)]
+            for r, i, j in zip(ranks[bounds[:-1]].tolist(), bounds[:-1], bounds[1:], strict=True):
+                if r in where:
+                    where[r].append(places[i:j])
+                else:
+                    where[r] = [places[i:j]]
+                    heapq.heappush(active, r)
+
+        index(pairs, np.arange(n - 1))
         while active:
             r = heapq.heappop(active)
-            places = where.pop(r, None)
-            if places is None:
+            found = where.pop(r)
+            a, b, new = self.made[r]
+            at = np.unique(np.concatenate(found)) if len(found) > 1 or a == b else found[0]
+            to = right[at]
+            at = at[(to >= 0) & (symbol[at] == a) & (symbol[to] == b)]  # of others another merge has taken one symbol
+            if a == b and len(at) > 1:  # places may overlap: every second one of a run, from the left
+                fresh = np.concatenate(([True], right[at[:-1]] != at[1:]))
+                run = np.arange(len(at))
+                at = at[(run - np.maximum.accumulate(np.where(fresh, run, 0))) % 2 == 0]
+            if not len(at):
                 continue
-            (a, b), new = made[r]
-            for i in sorted(places):
-                j = right[i]
-                if j < 0 or symbol[i] != a or symbol[j] != b:
-                    continue  # another merge has taken one of them
-                symbol[i], symbol[j] = new, -1
-                k = right[i] = right[j]
-                if k >= 0:
-                    left[k] = i
-                    if hit := rank.get((new, symbol[k])):
-                        if hit[0] not in where:
-                            heapq.heappush(active, hit[0])
-                        where[hit[0]].append(i)
-                        made[hit[0]] = ((new, symbol[k]), hit[1])
-                h = left[i]
-                if h >= 0 and (hit := rank.get((symbol[h], new))):
-                    if hit[0] not in where:
-                        heapq.heappush(active, hit[0])
-                    where[hit[0]].append(h)
-                    made[hit[0]] = ((symbol[h], new), hit[1])
-        return [[x for x in symbol[s:t] if x >= 0] for s, t in zip(start[:-1], start[1:], strict=True)]
-
-    def learn(self, words: Iterable[str]) -> None:
-        fresh = [w for w in words if w not in self.ids_of]
-        for w, ids in zip(fresh, self.merge_words(fresh), strict=True):
-            self.ids_of[w] = np.array(ids, dtype="<u4").tobytes()
-            self.text_of[w] = " ".join(self.token[i] for i in ids)
+            to = right[at]
+            beyond = right[to]
+            symbol[at], symbol[to] = new, -1
+            right[at] = beyond
+            inner = beyond >= 0
+            left[beyond[inner]] = at[inner]
+            if new in self.after:
+                index(self.ranks(self.after[new], symbol[beyond[inner]]), at[inner])
+            if new in self.before:
+                behind = left[at]
+                behind = behind[behind >= 0]
+                index(self.ranks(self.before[new], symbol[behind]), behind)
+        alive = symbol >= 0
+        return symbol[alive].tolist(), np.concatenate(([0], np.cumsum(alive)))[start].tolist()
+
+    def learn(self, fresh: list[str]) -> None:
+        """Take words that are not in the caches into them."""
+        if not fresh:
+            return
+        ids, start = self.merge_words(fresh)
+        raw = np.array(ids, dtype="<u4").tobytes()
+        names = [self.token[i] for i in ids]
+        for w, i, j in zip(fresh, start[:-1], start[1:], strict=True):
+            self.ids_of[w] = raw[4 * i : 4 * j]
+            self.text_of[w] = names[i] if j == i + 1 else " ".join(names[i:j])
 
     # -- texts
 
@@ -153,7 +190,7 @@ class PairIndexBPE:
             self.ids_of["\0" + token] = np.array([i], dtype="<u4").tobytes()
             self.text_of["\0" + token] = token
         all_ = [self.pieces(t) for t in texts]
-        self.learn(set().union(*all_) - self.ids_of.keys() if all_ else ())
+        self.learn([w for w in set().union(*all_) if w not in self.ids_of])
         return all_
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -165,15 +202,14 @@ class PairIndexBPE:
 
 #: White space as Unicode has it (property White_Space).
 _SPACE_IN_CLASS = r"\t-\r\x20\x85\xA0  -     　"
-_SPACES = regex.compile(f"[{_SPACE_IN_CLASS}]+")
 
 
 def normal(text: str) -> str:
+    """A text for the pattern, which passes over white space, however much."""
     if text.isascii():
-        return text.lower()  # the pattern passes over white space, however much
-    text = _SPACES.sub(" ", unicodedata.normalize("NFC", text))
+        return text.lower()
     # each character by itself: a final sigma is no special case
-    return text.replace("Σ", "σ").lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 def _slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[list[str]]:
@@ -199,11 +235,11 @@ def _encode(shared, names: list[str], digests: bool):
                 at += len(texts)
                 n, ids_, hashes, decoded = [], [], [], []
                 for words in model.prepare(texts):
-                    ids = b"".join([model.ids_of[w] for w in words])
+                    ids = b"".join(map(model.ids_of.__getitem__, words))
                     n.append(len(ids) // 4)
                     if digests:
                         hashes.append(hashlib.sha256(ids).hexdigest())
-                        decoded.append(hashlib.sha256(" ".join([x for w in words if (x := model.text_of[w])]).encode()).hexdigest())
+                        decoded.append(hashlib.sha256(" ".join(filter(None, map(model.text_of.__getitem__, words))).encode()).hexdigest())
                     else:
                         ids_.append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
                 more = [pa.array(n, type=pa.int64()), *([pa.array(hashes), pa.array(decoded)] if digests else [pa.array(ids_, type=pa.list_(pa.int32()))])]

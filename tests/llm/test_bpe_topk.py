@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -108,3 +109,28 @@ def test_bpe_empty_table_and_very_long_text(spark):
     assert bpe_digests(df.limit(0), PATH).count() == 0 and bpe_encode(df.limit(0), PATH).count() == 0
     want = Tokenizer.from_file(PATH).encode("a very long text, " * 120_000, add_special_tokens=False).ids
     assert bpe_encode(df, PATH).first().ids == want and bpe_digests(df, PATH).first().n_tokens == len(want)
+
+
+def test_bpe_merges_all_places_of_a_rank_at_once():
+    """The interpreter's calls follow the ranks in use and the words, not the symbols; the result is the library's."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    parts = ["th", "in", "er", "an", "tion", "ble", "ou", "st", "ñé", "a", "aa", "ly", "ed", "x", "日", "12", "!!"]
+    words = sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(3, 12))) for _ in range(30_000)})
+    text = " ".join(words)
+    with open(PATH) as f:
+        model = PairIndexBPE(f.read())
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = model.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert got == [Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids]
+    assert calls < len(text.encode())  # some 20 bytes a word
