@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import parts, short_batches
+
 
 def grams(text: Column, n: int = 4) -> Column:
     """All character n-grams in order; a text shorter than n has none."""
@@ -26,12 +28,9 @@ class Grams(NamedTuple):
     total: int
 
 
-def rare_of(text: str, n: int = 4, threshold: float = 0.02) -> Grams:
-    """The n-grams below ``threshold`` of a text, by sorted codes; a text shorter than n has none."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    total = max(0, len(chars) - n + 1)
-    if not total:
-        return Grams(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), 0)
+def _codes(chars: np.ndarray, n: int) -> np.ndarray:
+    """A number for each n-gram of characters, equal only where the n-grams are."""
+    total = len(chars) - n + 1
     letters, ids = np.unique(chars, return_inverse=True)
     ids, code, size = ids.astype(np.int64), np.zeros(total, dtype=np.int64), 1
     for i in range(n):
@@ -39,7 +38,16 @@ def rare_of(text: str, n: int = 4, threshold: float = 0.02) -> Grams:
             _, code = np.unique(code, return_inverse=True)
             size = int(code.max()) + 1
         code, size = code * len(letters) + ids[i : i + total], size * len(letters)
-    _, first, count = np.unique(code, return_index=True, return_counts=True)
+    return code
+
+
+def rare_of(text: str, n: int = 4, threshold: float = 0.02) -> Grams:
+    """The n-grams below ``threshold`` of a text, by sorted codes; a text shorter than n has none."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    total = max(0, len(chars) - n + 1)
+    if not total:
+        return Grams(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), 0)
+    _, first, count = np.unique(_codes(chars, n), return_index=True, return_counts=True)
     rare = count / total < threshold
     return Grams(first[rare], count[rare], count[rare] / total, total)
 
@@ -80,14 +88,80 @@ def slow_rate(history: DataFrame, key: str, now: Column, window_s: int = 3600, m
     return g.select(key, n.alias("inputs_in_window"), (n > most).alias("rate_exceeded"))
 
 
+#: A key with more inputs, or more bytes of them, is compared in pairs of blocks of about this size.
+BLOCK_ROWS, BLOCK_BYTES = 128, 1 << 20
+
+
+def shared_grams(texts: list[str], items: np.ndarray, blocks: np.ndarray, n: int = 4) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place of a, place of b, size of a, size of b, shared) of the pairs of texts with items a < b that share an n-gram; those of unlike blocks where there are two blocks.
+
+    Inputs of one item and one size count as one, in which an n-gram stands as often as in them together.
+    """
+    many = np.array([max(0, len(t) - n + 1) for t in texts])
+    if not many.sum():
+        return
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    start = np.cumsum([0, *(len(t) for t in texts[:-1])])
+    row = np.repeat(np.arange(len(texts)), many)
+    _, gram = np.unique(_codes(chars, n)[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + start[row]], return_inverse=True)
+    distinct = int(gram.max()) + 1
+    row, gram = np.divmod(np.unique(row * distinct + gram), distinct)
+    size = np.bincount(row, minlength=len(texts))
+    _, rank = np.unique(items, return_inverse=True)
+    _, place, one = np.unique(np.stack([rank, size]), axis=1, return_index=True, return_inverse=True)
+    one = one.reshape(-1)
+    row, gram = (x[np.bincount(gram)[gram] > 1] for x in (row, gram))  # others are in one text only
+    _, gram = np.unique(gram, return_inverse=True)
+    shared, width = np.zeros((len(place), len(place))), max(1, (1 << 22) // len(place))
+    order = np.argsort(gram, kind="stable")
+    row, gram = row[order], gram[order]
+    cuts = np.searchsorted(gram, np.arange(0, int(gram.max(initial=-1)) + 1 + width, width))
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if a < b:
+            held = np.zeros((len(place), int(gram[b - 1]) - k * width + 1))
+            np.add.at(held, (one[row[a:b]], gram[a:b] - k * width), 1)
+            shared += held @ held.T
+    apart = blocks[place][:, None] != blocks[place][None, :]
+    x, y = np.nonzero((shared > 0) & (rank[place][:, None] < rank[place][None, :]) & (apart | (blocks.min() == blocks.max())))
+    yield place[x], place[y], size[place[x]], size[place[y]], shared[x, y].astype(np.int64)
+
+
 def similar_inputs(history: DataFrame, key: str, item: str, text: str, n: int = 4, least: float = 0.3) -> DataFrame:
-    """Pairs (a < b) of one key whose n-gram sets have Jaccard at least ``least``, over an equi-join of the grams."""
-    sets = history.select(key, item, F.array_distinct(grams(F.col(text), n)).alias("g")).withColumn("size", F.size("g"))
-    rows = sets.select(key, item, "size", F.explode("g").alias("gram"))
-    left = rows.select(key, "gram", F.col(item).alias("a"), F.col("size").alias("na"))
-    right = rows.select(key, "gram", F.col(item).alias("b"), F.col("size").alias("nb"))
-    both = left.join(right, [key, "gram"]).where("a < b").groupBy(key, "a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    return both.where(F.col("shared") >= least * (F.col("na") + F.col("nb") - F.col("shared"))).select(key, "a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
+    """Pairs (a < b) of one key whose n-gram sets have Jaccard at least ``least``.
+
+    The inputs of a key come together; those of a large key in pairs of blocks,
+    so that no task holds more than two blocks and nothing is broadcast but the
+    numbers of blocks of large keys.
+    """
+    short_batches(history.sparkSession)
+    rows = history.select(F.col(key), F.col(item).alias("_i"), F.col(text).cast("string").alias("_t")).where(F.col(key).isNotNull() & F.col("_i").isNotNull() & (F.char_length("_t") >= n))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.octet_length("_t")) / BLOCK_BYTES)).cast("int")
+    large = rows.groupBy(key).agg(blocks.alias("_n")).where("_n > 1")
+    rows = rows.join(F.broadcast(large), key, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    # equal items are in one block
+    cells = rows.groupBy(key, F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi")).agg(F.collect_list(F.struct("_i", "_t", "_b")).alias("_rows"))
+    names = [key, "a", "b", "na", "nb", "shared"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                found = []
+                for r, (cell, lo, hi) in enumerate(zip(part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    items, texts, block = (cell.values.field(k) for k in range(3))
+                    block = block.to_numpy(zero_copy_only=False)
+                    if len(texts) < 2 or (lo < hi and block.min() == block.max()):
+                        continue
+                    for x, y, na, nb, k in shared_grams(texts.to_pylist(), items.to_numpy(zero_copy_only=False), block, n):
+                        near = k >= least * (na + nb - k)
+                        keys = part.column(0).take(pa.array(np.full(int(near.sum()), r)))
+                        found.append(pa.RecordBatch.from_arrays([keys, items.take(pa.array(x[near])), items.take(pa.array(y[near])), *(pa.array(c[near]) for c in (na, nb, k))], names=names))
+                if found:
+                    yield from pa.Table.from_batches(found).combine_chunks().to_batches(max_chunksize=100_000)
+
+    kind, of = history.schema[key].dataType.simpleString(), history.schema[item].dataType.simpleString()
+    both = cells.select(key, "_rows", "_lo", "_hi").mapInArrow(run, f"`{key}` {kind}, a {of}, b {of}, na long, nb long, shared long")
+    return both.select(key, "a", "b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
 
 def slow_rate_severity(exceeded: Column, pairs: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegate.functions import batches
-from sievegate.operators import intake, tokenizer
+from sievegate.operators import intake, ngrams, tokenizer
 from sievegate.plans import gates
 
 
@@ -83,3 +83,23 @@ def test_taint_is_linear(spark):
     short = df.select(F.explode(intake.tainted_counts(F.col("text"), p)).alias("g")).groupBy("g.context", "g.trust").agg(F.sum("g.clusters"))
     want = within(30, lambda: sorted(map(tuple, told.collect())))
     assert sorted(map(tuple, short.collect())) == want and sum(w[2] for w in want) > 120_000
+
+
+def test_inputs_of_a_large_key_in_blocks(spark, monkeypatch):
+    texts = [(k, t, "".join("abé d"[(i * i * (t % 7 + 1) + t * k) % 5] for i in range(t % 13 + (t % 5) * 4))) for k, m in ((1, 150), (2, 3), (3, 1)) for t in range(m)]
+    texts += [(2, 1, "abab abab"), (2, None, "abab"), (None, 1, "abab"), (2, 9, None)]  # an item twice
+    sets = [(k, t, {s[i : i + 4] for i in range(len(s) - 3)}) for k, t, s in texts if s and t is not None and k]
+    groups = {}
+    for k, t, g in sets:
+        groups.setdefault((k, t, len(g)), []).append(g)
+    want = []
+    for (k, a, na), x in groups.items():
+        for (j, b, nb), y in groups.items():
+            shared = sum(len(g & h) for g in x for h in y)
+            if k == j and a < b and shared and shared >= 0.3 * (na + nb - shared):
+                want.append((k, a, b, round(shared / (na + nb - shared), 6)))
+    df = spark.createDataFrame(texts, "k long, t long, s string")
+    for rows, size in ((128, 1 << 20), (10, 1 << 20), (128, 64)):
+        monkeypatch.setattr(ngrams, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(ngrams, "BLOCK_BYTES", size)
+        assert sorted(map(tuple, ngrams.similar_inputs(df, "k", "t", "s").collect())) == sorted(want) and len(want) > 300
