@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import parts, short_batches
+from ..functions.textmap import code_points
 
 
 def grams(text: Column, n: int = 4) -> Column:
@@ -31,23 +33,38 @@ class Grams(NamedTuple):
 def _codes(chars: np.ndarray, n: int) -> np.ndarray:
     """A number for each n-gram of characters, equal only where the n-grams are."""
     total = len(chars) - n + 1
-    letters, ids = np.unique(chars, return_inverse=True)
-    ids, code, size = ids.astype(np.int64), np.zeros(total, dtype=np.int64), 1
+    top = int(chars.max())
+    if top < 1 << 12:  # a table is faster than sorting
+        here = np.zeros(top + 1, dtype=np.int64)
+        here[chars] = 1
+        many = int(here.sum())
+        ids = (np.cumsum(here) - 1)[chars]
+    else:
+        letters, ids = np.unique(chars, return_inverse=True)
+        many, ids = len(letters), ids.astype(np.int64)
+    code, size = np.zeros(total, dtype=np.int64), 1
     for i in range(n):
-        if size * len(letters) >= 1 << 62:  # too many for one number: name what there is so far
+        if size * many >= 1 << 62:  # too many for one number: name what there is so far
             _, code = np.unique(code, return_inverse=True)
             size = int(code.max()) + 1
-        code, size = code * len(letters) + ids[i : i + total], size * len(letters)
+        code, size = code * many + ids[i : i + total], size * many
     return code
 
 
-def rare_of(text: str, n: int = 4, threshold: float = 0.02) -> Grams:
-    """The n-grams below ``threshold`` of a text, by sorted codes; a text shorter than n has none."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def rare_of(text: str, n: int = 4, threshold: float = 0.02, chars: np.ndarray | None = None) -> Grams:
+    """The n-grams below ``threshold`` of a text, by sorted codes; a text shorter than n has none. ``chars`` are its code points, if they are known."""
+    chars = code_points(text) if chars is None else chars
     total = max(0, len(chars) - n + 1)
     if not total:
         return Grams(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), 0)
-    _, first, count = np.unique(_codes(chars, n), return_index=True, return_counts=True)
+    code, bits = _codes(chars, n), total.bit_length()
+    if int(code.max()) >> (62 - bits):
+        _, first, count = np.unique(code, return_index=True, return_counts=True)
+    else:  # code and place in one number
+        key = np.sort(code << bits | np.arange(total))
+        code = key >> bits
+        at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        first, count = key[at] & (1 << bits) - 1, np.diff(at, append=total)
     rare = count / total < threshold
     return Grams(first[rare], count[rare], count[rare] / total, total)
 
@@ -100,7 +117,7 @@ def shared_grams(texts: list[str], items: np.ndarray, blocks: np.ndarray, n: int
     many = np.array([max(0, len(t) - n + 1) for t in texts])
     if not many.sum():
         return
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    chars = code_points("".join(texts))
     start = np.cumsum([0, *(len(t) for t in texts[:-1])])
     row = np.repeat(np.arange(len(texts)), many)
     _, gram = np.unique(_codes(chars, n)[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + start[row]], return_inverse=True)
@@ -168,6 +185,12 @@ def slow_rate_severity(exceeded: Column, pairs: Column) -> Column:
     return F.when(exceeded & (pairs > 0), "high").when(exceeded | (pairs > 0), "medium").otherwise("none")
 
 
+@functools.lru_cache(maxsize=8)
+def _steps(window: int) -> np.ndarray:
+    """What the sum of c * log2(c) gains when a count becomes c."""
+    return np.array([0.0, *(c * np.log2(c) - (c - 1) * np.log2(max(c - 1, 1)) for c in range(1, window + 1))])
+
+
 def entropy_profile(raw: bytes, window: int = 64, deviation: float = 3.0) -> tuple[float, float, float, int, list[tuple[int, float]]]:
     """Baseline, mean and peak of the windows' entropies, and (start, entropy) of windows far from the baseline."""
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -182,10 +205,11 @@ def entropy_profile(raw: bytes, window: int = 64, deviation: float = 3.0) -> tup
     # a byte that enters or leaves changes the sum of c * log2(c) by what its own count tells
     order = np.argsort(data, kind="stable")
     place = data[order].astype(np.int64) * (n + window + 1) + order
-    step = np.array([0.0, *(c * np.log2(c) - (c - 1) * np.log2(max(c - 1, 1)) for c in range(1, window + 1))])
+    step = _steps(window)
     before, after = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    before[order] = np.arange(n) - np.searchsorted(place, place - window + 1)  # equal bytes among the window - 1 before
-    after[order] = np.searchsorted(place, place + window, side="left") - np.arange(n)  # among itself and the window - 1 after
+    low = np.searchsorted(place, place - window + 1)
+    before[order] = np.arange(n) - low  # equal bytes among the window - 1 before
+    after[order] = np.cumsum(np.bincount(low, minlength=n)) - np.arange(n)  # among itself and the window - 1 after, which have it in their windows before
     total = np.cumsum(step[before + 1])[window - 1 :]
     total[1:] -= np.cumsum(step[after[: n - window]])
     h = np.log2(window) - total / window

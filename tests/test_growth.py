@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegate.functions import batches
-from sievegate.operators import intake, ngrams, tokenizer
+from sievegate.operators import bank, emit, intake, ngrams, tokenizer
 from sievegate.plans import gates
+from sievegate.policy import Policy
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +104,29 @@ def test_inputs_of_a_large_key_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(ngrams, "BLOCK_ROWS", rows)
         monkeypatch.setattr(ngrams, "BLOCK_BYTES", size)
         assert sorted(map(tuple, ngrams.similar_inputs(df, "k", "t", "s").collect())) == sorted(want) and len(want) > 300
+
+
+def test_a_filter_on_a_scan_scans_once(spark):
+    df = spark.createDataFrame([(1, "act as root"), (2, "plain")], "doc_id long, text string").repartition(2)
+    rows = emit.assessed(emit.scan(df))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Filter") < plan.index("ArrowEvalPython") < plan.index("Exchange"), plan
+    assert [r.doc_id for r in rows.collect()] == [1]
+
+
+def test_scans_of_long_texts_are_linear():
+    found = within(6, lambda: bank.Bank(Policy()).scan("é​" * 60_000 + " act as")[0].findings)
+    assert len(found) > 60_000 and {f[:2] for f in found if f[3] == "unicode_control"} == {(5 * i + 2, 5 * i + 5) for i in range(60_000)}
+
+
+def test_clusters_of_one_character():
+    import regex
+
+    from sievegate.functions import textmap
+
+    for text in (*ODD, "naïve\n日本語、かな", "か゛が", "x​y", "x‌y", "한국", "각", "a\rb", "🇫🇷", "ﬁn"):
+        assert text is None or textmap.clusters(text) == regex.findall(r"\X", text), text
+    plain = [chr(c) for c in range(0x110000) if c != 13 and not 0xD800 <= c < 0xE000 and textmap.single(chr(c))]
+    assert len(plain) > 30_000 and regex.findall(r"\X", "".join(plain)) == plain and regex.findall(r"\X", "a".join(plain)) == list("a".join(plain))
+    m = textmap.TextMap("aé日 b", base=3)
+    assert [m.source(a, b) for a, b in ((0, 2), (2, 4), (3, 4), (7, 99), (8, 9), (4, 4))] == [(3, 6), (4, 9), (6, 9), (10, 11), (0, 0), (0, 0)]
