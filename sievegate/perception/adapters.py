@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from struct import error as struct_error
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,9 +132,50 @@ def channel_rows(perceived: DataFrame) -> DataFrame:
     return perceived.select("source_id", "modality", F.explode("channels").alias("c")).select("source_id", "modality", "c.kind", "c.content")
 
 
+_WORD = re.compile("[^ \\t\\n\\x0b\\f\\r]+")
+_EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+_LINE = re.compile("\\r?\\n")
+
+
+class _Words:
+    """The distinct words of texts in lower case, without marks at their ends; what is trimmed is kept for a while, as words come again."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, str] = {}
+
+    def __call__(self, low: str) -> set[str]:
+        kept, out = self.kept, set()
+        for w in set(_WORD.findall(low)):
+            if w[0].isalnum() and w[-1].isalnum():
+                out.add(w)
+                continue
+            t = kept.get(w)
+            if t is None:
+                if len(kept) > 200_000:
+                    kept.clear()
+                t = kept[w] = _EDGE.sub("", w)
+            out.add(t)
+        out.discard("")
+        return out
+
+
 def divergent_lines(extracted: Column, rendered: Column, least: float = 0.8) -> Column:
-    """Lines of the extracted text less than ``least`` of whose words are on the rendered page; words are compared as sets, in lower case and without marks at their ends."""
-    edge = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-    words = lambda t: F.array_distinct(F.filter(F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(F.lower(w), edge, "")), lambda w: w != ""))
-    shown = words(rendered)
-    return F.filter(F.split(extracted, r"\r?\n"), lambda line: (F.size(words(line)) > 0) & (F.size(F.array_intersect(words(line), shown)) < least * F.size(words(line))))
+    """Lines of the extracted text less than ``least`` of whose words are on the rendered page; words are compared as sets, in lower case and without marks at their ends. The page's words are cut once a text."""
+
+    def run(extracted: pa.Array, low: pa.Array, rendered: pa.Array) -> pa.Array:
+        words, out = _Words(), []
+        for e, x, r in zip(extracted, low, rendered, strict=True):
+            text, page = e.as_py(), r.as_py()
+            if text is None or page is None:
+                out.append(None if text is None else [])
+                continue
+            shown, found = words(page), []
+            for line, small in zip(_LINE.split(text), _LINE.split(x.as_py()), strict=True):
+                own = words(small)
+                if own and len(own & shown) < least * len(own):
+                    found.append(line)
+            out.append(found)
+        return pa.array(out, type=pa.list_(pa.string()))
+
+    run.__annotations__ = {"extracted": pa.Array, "low": pa.Array, "rendered": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<string>")(extracted, F.lower(extracted), F.lower(rendered))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievegate.functions import batches
 from sievegate.operators import bank, emit, intake, ngrams, tokenizer
+from sievegate.perception import adapters
 from sievegate.plans import gates
 from sievegate.policy import Policy
 
@@ -130,3 +131,11 @@ def test_clusters_of_one_character():
     assert len(plain) > 30_000 and regex.findall(r"\X", "".join(plain)) == plain and regex.findall(r"\X", "a".join(plain)) == list("a".join(plain))
     m = textmap.TextMap("aé日 b", base=3)
     assert [m.source(a, b) for a, b in ((0, 2), (2, 4), (3, 4), (7, 99), (8, 9), (4, 4))] == [(3, 6), (4, 9), (6, 9), (10, 11), (0, 0), (0, 0)]
+
+
+def test_words_of_a_page_are_cut_once(spark):
+    lines = [f"Line{i} shows «Word{i}», here" for i in range(8000)]
+    page = " ".join(f"line{i} shows word{i} here" for i in range(0, 8000, 2))
+    df = spark.createDataFrame([("\r\n".join(lines), page), (None, page), ("a", None), ("... \n-", "")], "a string, b string")
+    rows = within(15, lambda: df.select(adapters.divergent_lines(F.col("a"), F.col("b")).alias("x")).collect())
+    assert [r.x for r in rows] == [lines[1::2], None, [], []]
