@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import parts, short_batches
-from ..functions.textmap import code_points
+from ..functions.textmap import byte_offsets, code_points
 
 
 def grams(text: Column, n: int = 4) -> Column:
@@ -69,28 +69,48 @@ def rare_of(text: str, n: int = 4, threshold: float = 0.02, chars: np.ndarray |
     return Grams(first[rare], count[rare], count[rare] / total, total)
 
 
+def _named(raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Array:
+    """The strings between the places ``low`` and ``high`` of UTF-8 bytes."""
+    ends = np.concatenate(([0], np.cumsum(high - low))).astype(np.int32)
+    data = raw[np.arange(ends[-1]) + np.repeat(low - ends[:-1], high - low)]
+    return pa.StringArray.from_buffers(len(low), pa.py_buffer(ends), pa.py_buffer(data))
+
+
 def rare_grams(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, threshold: float = 0.02) -> DataFrame:
     """(key, gram, n, total, first) of the n-grams below ``threshold`` of their text, each counted within its row, so nothing is shuffled."""
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, t in enumerate(batch.column(1).to_pylist()):
-                found = rare_of(t or "", n, threshold)
-                many = len(found.first)
-                if many:
-                    keys = batch.column(0).take(pa.array(np.full(many, r)))
-                    names = pa.array([t[a : a + n] for a in found.first.tolist()], type=pa.string())
-                    yield pa.RecordBatch.from_arrays([keys, names, pa.array(found.count), pa.array(np.full(many, found.total), type=pa.int32()), pa.array(found.first.astype(np.int32))], names=[key, "gram", "n", "total", "first"])
+            for part in parts(batch, 1 << 18):
+                rows, raws, places, base = [], [], [], 0
+                for r, t in enumerate(part.column(1).to_pylist()):
+                    chars = code_points(t or "")
+                    found = rare_of(t or "", n, threshold, chars)
+                    if len(found.first):
+                        at = byte_offsets(chars)
+                        places.append((at[found.first] + base, at[found.first + n] + base))
+                        raws.append(t.encode())
+                        base += len(raws[-1])
+                        rows.append((r, found))
+                if rows:
+                    many = [len(f.first) for _, f in rows]
+                    names = _named(np.frombuffer(b"".join(raws), dtype=np.uint8), *(np.concatenate(x) for x in zip(*places, strict=True)))
+                    keys = part.column(0).take(pa.array(np.repeat([r for r, _ in rows], many)))
+                    count, first = (np.concatenate([f[k] for _, f in rows]) for k in (1, 0))
+                    totals = np.repeat([f.total for _, f in rows], many)
+                    yield pa.RecordBatch.from_arrays([keys, names, pa.array(count), pa.array(totals.astype(np.int32)), pa.array(first.astype(np.int32))], names=[key, "gram", "n", "total", "first"])
 
     return df.select(key, F.col(text).cast("string").alias("_t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, gram string, n long, total int, first int")
 
 
 def rare_stats(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, threshold: float = 0.02) -> DataFrame:
     """(key, rare, confidence) of the rows with rare n-grams."""
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [rare_of(t or "", n, threshold).share for t in batch.column(1).to_pylist()]
+            found = [rare_of(t.as_py() or "", n, threshold).share for t in batch.column(1)]
             some = pa.array([len(x) > 0 for x in found], type=pa.bool_())
             best = pa.array([round(1 - float(x.min()), 6) if len(x) else None for x in found], type=pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], type=pa.int64()), best], names=[key, "rare", "confidence"]).filter(some)

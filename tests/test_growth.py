@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +140,15 @@ def test_words_of_a_page_are_cut_once(spark):
     df = spark.createDataFrame([("\r\n".join(lines), page), (None, page), ("a", None), ("... \n-", "")], "a string, b string")
     rows = within(15, lambda: df.select(adapters.divergent_lines(F.col("a"), F.col("b")).alias("x")).collect())
     assert [r.x for r in rows] == [lines[1::2], None, [], []]
+
+
+def test_rare_grams_are_named_together(spark):
+    texts = [*ODD, "né日🙂 the quick brown fox " * 3, "ab" * 400 + "xyz", "the quick brown fox jumps over the lazy dog"]
+    want = []
+    for i, t in enumerate(texts):
+        grams = [t[a : a + 4] for a in range(len(t) - 3)] if t else []
+        want += [(i, g, grams.count(g), len(grams), grams.index(g)) for g in set(grams) if grams.count(g) / len(grams) < 0.02]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, ngrams.rare_grams(df).collect())) == sorted(want) and want
+    raw = "né日🙂".encode()
+    assert ngrams._named(np.frombuffer(raw, dtype=np.uint8), np.array([0, 3, 1]), np.array([3, 6, 10])).to_pylist() == ["né", "日", "é日🙂"]
