@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegate.functions import batches
-from sievegate.operators import bank, emit, intake, ngrams, tokenizer
+from sievegate.operators import bank, emit, intake, ngrams, terminal, tokenizer
 from sievegate.perception import adapters
 from sievegate.plans import gates
 from sievegate.policy import Policy
@@ -152,3 +152,25 @@ def test_rare_grams_are_named_together(spark):
     assert sorted(map(tuple, ngrams.rare_grams(df).collect())) == sorted(want) and want
     raw = "né日🙂".encode()
     assert ngrams._named(np.frombuffer(raw, dtype=np.uint8), np.array([0, 3, 1]), np.array([3, 6, 10])).to_pylist() == ["né", "日", "é日🙂"]
+
+
+def test_plain_bytes_go_to_the_screen_in_runs():
+    text = b"\n".join(b"a plain line of some words, number %d" % i for i in range(120_000))
+    assert [s.name for s in within(2.5, lambda: terminal.scan_bytes(text + b"\x1b[3J"))] == ["erase_scrollback"]
+
+    class Single(terminal.Screen):
+        def write_run(self, run, place):
+            for i, b in enumerate(run, place):
+                self.write(b, i)
+
+    for raw in (b"x" * 450 + b"\ry" * 3, b"ab\x1b[4hcd\rxyz" * 90, b"\x1b[?7l" + b"z" * 199 + b"qrs\rab", "é".encode() * 150 + b"\rabc\x1b[2K", b"ab\tc\rzz\x08\x08q\n" * 70 + b"\x1b[H" + b"w" * 900):
+        both = []
+        for kind in (terminal.Screen, Single):
+            screen, at = kind(), 0
+            for m in terminal._FRAME.finditer(raw):
+                screen.plain(raw[at : m.start()], at)
+                screen.control(terminal.csi_name(m["body"], m["final"]), m["body"].decode(), m["final"] == b"l")
+                at = m.end()
+            screen.plain(raw[at:], at)
+            both.append((screen.finish(), [(r.cells, r.source, r.wide) for r in screen.rows], vars(screen.at)))
+        assert both[0] == both[1]
